@@ -99,7 +99,7 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of a secret replaced by [kind], and n_chars, if there, counted anew; joined by content, so repeated rows stay as many."""
     texts = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    findings, _ = scan(docs.select(F.lit(0).alias("path"), "text").distinct())
+    findings, _ = scan(docs.select(F.lit(0).alias("path"), "text"))
     found = saved(findings.where("size(spans) > 0").select("blob", "spans").distinct(), "redactions")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
