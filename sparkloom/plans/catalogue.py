@@ -1,11 +1,372 @@
-"""The queries over the test tables and the SQL that should give the same rows."""
+"""The queries over the test tables; ``oracles`` has the SQL that should give the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.functions import kmers as fk
+from sparkloom.operators import assembly, dynamics, matrix, partition, spatial
+from sparkloom.params import RANKS, SimParams
+from sparkloom.plans.oracles import SQL  # noqa: F401
+from sparkloom.sources import fixtures
 
 FLAGSHIP = "particle_step"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+K, WIDE_K = 19, 51
+P = SimParams()
+#: Steps' worth of time in which particles fly straight for the queries on migration.
+FLIGHT = 10
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Columns rounded for comparison between engines; no negative zero."""
+    return df.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in digits.items()})
+
+
+# matrices
+
+
+def _a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.matrix(spark, sf_dir)
+
+
+def _c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.matrix(spark, sf_dir, 64)
+
+
+@query
+def dgemm_coo(spark, sf_dir):
+    return rounded(matrix.product(_a(spark, sf_dir), _a(spark, sf_dir)), v=6)
+
+
+@query
+def dgemm_blocked(spark, sf_dir):
+    return rounded(matrix.blocked_product(_a(spark, sf_dir), _a(spark, sf_dir), 32), v=6)
+
+
+@query
+def dgemm_accumulate(spark, sf_dir):
+    return rounded(matrix.accumulate(_c(spark, sf_dir), _a(spark, sf_dir), _a(spark, sf_dir)), v=6)
+
+
+@query
+def dgemm_alpha(spark, sf_dir):
+    return rounded(matrix.accumulate(_c(spark, sf_dir), _a(spark, sf_dir), _a(spark, sf_dir), -2.5), v=6)
+
+
+@query
+def dgemm_verify(spark, sf_dir):
+    a = _a(spark, sf_dir)
+    return matrix.verify(matrix.blocked_product(a, a, 32), a, a, 64)
+
+
+@query
+def bench_summary(spark, sf_dir):
+    lines = fixtures.table(spark, sf_dir, "lineitem")
+    timings = lines.groupBy("l_linenumber").agg(F.count("*").alias("iterations"), (F.sum(F.col("l_quantity")) / 1e6).alias("seconds")).select((F.col("l_linenumber") * 32).cast("long").alias("n"), "iterations", "seconds")
+    return rounded(matrix.rates(timings).agg(F.avg("gflops").alias("gflops"), F.avg("percent").alias("percent")), gflops=6, percent=6)
+
+
+# particles
+
+
+@query
+def particle_lattice(spark, sf_dir):
+    p, _ = dynamics.lattice(spark, fixtures.table(spark, sf_dir, "orders").count(), P)
+    return rounded(p, x=9, y=9, vx=6, vy=6)
+
+
+def _binned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float, int]:
+    p, size = fixtures.particles(spark, sf_dir)
+    return spatial.with_cells(p, size, P), size, P.dim(size)
+
+
+@query
+def cell_assign(spark, sf_dir):
+    return _binned(spark, sf_dir)[0].select("id", "bx", "by", "cell")
+
+
+@query
+def cell_neighbors(spark, sf_dir):
+    binned, _, dim = _binned(spark, sf_dir)
+    return spatial.neighbours(binned.select("cell").distinct(), dim)
+
+
+def _forces(df: DataFrame) -> DataFrame:
+    return rounded(df.select("id", "ax", "ay"), ax=4, ay=4)
+
+
+@query
+def force_bruteforce(spark, sf_dir):
+    return _forces(spatial.forces_brute(fixtures.particles(spark, sf_dir)[0], P))
+
+
+@query
+def force_binned(spark, sf_dir):
+    return _forces(spatial.forces_binned(*fixtures.particles(spark, sf_dir), P))
+
+
+@query
+def force_halfstencil(spark, sf_dir):
+    return _forces(spatial.forces_half(*fixtures.particles(spark, sf_dir), P))
+
+
+@query
+def force_equiv(spark, sf_dir):
+    p, size = fixtures.particles(spark, sf_dir)
+    half = spatial.forces_half(p, size, P).select("id", F.col("ax").alias("hx"), F.col("ay").alias("hy"))
+    far = lambda x, y: F.abs(F.col(x) - F.col(y)) > 1e-9 * F.greatest(F.lit(1.0), F.abs(x))
+    return spatial.forces_binned(p, size, P).join(half, "id").agg(F.count("*").alias("n_particles"), F.coalesce(F.sum((far("ax", "hx") | far("ay", "hy")).cast("long")), F.lit(0)).alias("n_different"))
+
+
+def _state(df: DataFrame) -> DataFrame:
+    return rounded(df.select("id", "x", "y", "vx", "vy"), x=6, y=6, vx=4, vy=4)
+
+
+@query
+def particle_move(spark, sf_dir):
+    p, size = fixtures.particles(spark, sf_dir)
+    return _state(dynamics.moved(spatial.forces_binned(p, size, P), P))
+
+
+@query
+def particle_bounce(spark, sf_dir):
+    p, size = fixtures.particles(spark, sf_dir)
+    thrown = p.withColumns({"x": F.col("x") + F.col("vx") * (3.3 * size), "y": F.col("y") + F.col("vy") * (3.3 * size)})
+    return _state(dynamics.reflected(thrown, size))
+
+
+@query
+def particle_step(spark, sf_dir):
+    return _state(dynamics.step(*fixtures.particles(spark, sf_dir), P))
+
+
+@query
+def sim_two_steps(spark, sf_dir):
+    return _state(dynamics.simulate(*fixtures.particles(spark, sf_dir), 2, P))
+
+
+@query
+def sim_frames(spark, sf_dir):
+    return rounded(dynamics.frames(*fixtures.particles(spark, sf_dir), 2, SimParams(save_every=1)), x=6, y=6)
+
+
+# bins
+
+
+@query
+def bin_count(spark, sf_dir):
+    binned, _, dim = _binned(spark, sf_dir)
+    return spatial.bin_counts(binned, dim)
+
+
+@query
+def bin_prefix_sum(spark, sf_dir):
+    binned, _, dim = _binned(spark, sf_dir)
+    return spatial.bin_starts(spatial.bin_counts(binned, dim), dim)
+
+
+@query
+def bin_scatter(spark, sf_dir):
+    binned, _, dim = _binned(spark, sf_dir)
+    return spatial.scattered(binned, dim)
+
+
+@query
+def bin_linked_list(spark, sf_dir):
+    return spatial.linked(_binned(spark, sf_dir)[0])
+
+
+@query
+def bin_members(spark, sf_dir):
+    return spatial.members(_binned(spark, sf_dir)[0])
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(id, old_cell, new_cell, old_rank, new_rank, x, y) of particles that fly straight for FLIGHT steps."""
+    p, size = fixtures.particles(spark, sf_dir)
+    dim = P.dim(size)
+    flown = p.withColumns({"x": F.col("x") + F.col("vx") * (P.dt * FLIGHT), "y": F.col("y") + F.col("vy") * (P.dt * FLIGHT)})
+    new = spatial.with_cells(dynamics.reflected(flown, size), size, P).select("id", "x", "y", F.col("cell").alias("new_cell"))
+    both = spatial.with_cells(p, size, P).select("id", F.col("cell").alias("old_cell")).join(new, "id")
+    return both.withColumns({f"{w}_rank": partition.block_rank(F.col(f"{w}_cell"), dim * dim, RANKS) for w in ("old", "new")}), dim
+
+
+@query
+def cell_changes(spark, sf_dir):
+    return _changes(spark, sf_dir)[0].where("old_cell <> new_cell").select("id", "old_cell", "new_cell")
+
+
+# ranks
+
+
+@query
+def rank_assign(spark, sf_dir):
+    binned, _, dim = _binned(spark, sf_dir)
+    return binned.select("id", "cell", partition.block_rank(F.col("cell"), dim * dim, RANKS).alias("rank"))
+
+
+@query
+def rank_assign_strip(spark, sf_dir):
+    binned, _, dim = _binned(spark, sf_dir)
+    return binned.select("id", "bx", partition.strip_rank(F.col("bx"), dim, RANKS).alias("rank"), partition.strip_place(F.col("bx"), dim, RANKS, 1).alias("place"))
+
+
+@query
+def halo_send(spark, sf_dir):
+    return partition.halo_send(_binned(spark, sf_dir)[2], RANKS, spark)
+
+
+@query
+def halo_recv(spark, sf_dir):
+    return partition.halo_receive(_binned(spark, sf_dir)[2], RANKS, spark)
+
+
+@query
+def migration_route(spark, sf_dir):
+    return partition.routed(_changes(spark, sf_dir)[0]).select("id", "old_cell", "new_cell", "old_rank", "new_rank", "route")
+
+
+@query
+def migration_matrix(spark, sf_dir):
+    return partition.sent(partition.routed(_changes(spark, sf_dir)[0]), RANKS)
+
+
+@query
+def send_displacements(spark, sf_dir):
+    return partition.displacements(partition.sent(partition.routed(_changes(spark, sf_dir)[0]), RANKS))
+
+
+@query
+def migration_apply(spark, sf_dir):
+    return partition.migrated(partition.routed(_changes(spark, sf_dir)[0]))
+
+
+@query
+def gather_ordered(spark, sf_dir):
+    return partition.gathered(rounded(_changes(spark, sf_dir)[0].select("id", "x", "y"), x=6, y=6))
+
+
+# k-mers
+
+
+def _kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.kmers(spark, sf_dir, K)
+
+
+@query
+def kmer_size(spark, sf_dir):
+    return assembly.width(fixtures.kmer_lines(spark, sf_dir, K))
+
+
+@query
+def kmer_count(spark, sf_dir):
+    return fixtures.kmer_lines(spark, sf_dir, K).agg(F.count("*").alias("n"))
+
+
+@query
+def kmer_parse(spark, sf_dir):
+    return assembly.parsed(fixtures.kmer_lines(spark, sf_dir, K), K).withColumn("shown", F.concat_ws(" ", "kmer", F.concat("b_ext", "f_ext")))
+
+
+@query
+def kmer_block_split(spark, sf_dir):
+    lines = fixtures.kmer_lines(spark, sf_dir, K)
+    share = -(-lines.count() // RANKS)
+    return lines.groupBy(F.floor(F.col("line_no") / share).cast("long").alias("rank")).agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+
+
+@query
+def kmer_validate(spark, sf_dir):
+    lines = fixtures.kmer_lines(spark, sf_dir, K)
+    spoilt = F.when(F.col("line_no") % 97 == 0, F.concat(F.lit("N"), F.expr("substr(value, 2)"))).when(F.col("line_no") % 89 == 0, F.expr("concat(substr(value, 2, 18), '  ', substr(value, 21))")).otherwise(F.col("value"))
+    return assembly.faults(assembly.parsed(lines.select(spoilt.alias("value")), K).withColumn("kmer", F.rtrim("kmer")), K)
+
+
+@query
+def kmer_pack(spark, sf_dir):
+    return _kmers(spark, sf_dir).select("kmer", F.hex(fk.packed(F.col("kmer"), K)).alias("packed"))
+
+
+@query
+def kmer_unpack(spark, sf_dir):
+    return _kmers(spark, sf_dir).select("kmer", fk.unpacked(fk.packed(F.col("kmer"), K), K).alias("unpacked"))
+
+
+@query
+def kmer_hash(spark, sf_dir):
+    return _kmers(spark, sf_dir).select("kmer", fk.hashed(F.col("kmer"), K).alias("hash"))
+
+
+@query
+def kmer_hash_51(spark, sf_dir):
+    return fixtures.kmers(spark, sf_dir, WIDE_K).select("kmer", fk.hashed(F.col("kmer"), WIDE_K).cast("string").alias("hash"))
+
+
+@query
+def kmer_partition(spark, sf_dir):
+    h = fk.hashed(F.col("kmer"), K)
+    return _kmers(spark, sf_dir).select("kmer", (h % RANKS).alias("rank"), fk.shifted_bucket(h, fk.bit_length(RANKS), 1024).alias("bucket"))
+
+
+@query
+def kmer_slots(spark, sf_dir):
+    known = _kmers(spark, sf_dir)
+    slots = 2 * known.count()
+    share = -(-slots // RANKS)
+    slot = fk.hashed(F.col("kmer"), K) % slots
+    return known.select("kmer", slot.alias("slot"), F.floor(slot / share).cast("long").alias("rank"), (slot % share).alias("local"))
+
+
+@query
+def kmer_next(spark, sf_dir):
+    return _kmers(spark, sf_dir).where("f_ext <> 'F'").select("kmer", fk.following(F.col("kmer"), F.col("f_ext"), K).alias("next"))
+
+
+@query
+def kmer_prev(spark, sf_dir):
+    return _kmers(spark, sf_dir).where("b_ext <> 'F'").select("kmer", fk.preceding(F.col("kmer"), F.col("b_ext"), K).alias("prev"))
+
+
+@query
+def kmer_lookup(spark, sf_dir):
+    return assembly.lookup(_kmers(spark, sf_dir), K)
+
+
+@query
+def start_nodes(spark, sf_dir):
+    return assembly.starts(_kmers(spark, sf_dir))
+
+
+@query
+def end_nodes(spark, sf_dir):
+    return assembly.ends(_kmers(spark, sf_dir))
+
+
+@query
+def dangling_edges(spark, sf_dir):
+    lines = fixtures.kmer_lines(spark, sf_dir, K).where("line_no % 700 <> 6")
+    return assembly.dangling(assembly.parsed(lines, K), K)
+
+
+@query
+def contigs(spark, sf_dir):
+    return assembly.contigs(_kmers(spark, sf_dir), K)
+
+
+@query
+def contigs_51(spark, sf_dir):
+    return assembly.contigs(fixtures.kmers(spark, sf_dir, WIDE_K), WIDE_K)
+
+
+@query
+def assembly_stats(spark, sf_dir):
+    return assembly.stats(assembly.contigs(_kmers(spark, sf_dir), K))
