@@ -1,14 +1,14 @@
 """MinHash near-duplicates by an inverted join of signature coordinates.
 
 Every distinct shingle set has COORDINATES minima, hence as many tokens (coordinate, value); two sets of Jaccard
-similarity 0.75 agree in 96 of 128 coordinates on average and in fewer than MATCHES with a chance of about one in a
-million. Sets that have fewer than SIFT_MATCHES of their first SIFT tokens in common with any other set (a chance of
+similarity 0.75 agree in 96 of 128 coordinates on average, and in fewer than MATCHES with a chance of 3e-5 (of 1e-8 at
+0.8). Sets that have fewer than SIFT_MATCHES of their first SIFT tokens in common with any other set (a chance of
 3e-7 for a linked one) go no further. The tokens of the others are put in one global order, the rarest first; two
 signatures with MATCHES common tokens have one in common among the first COORDINATES - MATCHES + 1 of each, so only
 those prefixes are posted (prefix filter), and tokens that one set alone has are never posted. Pairs that are already
-in one component are skipped: first each posting list is merged with its first document alone, then the documents
-outside a list's largest component meet single members of it for some rounds, and at the end every pair of a list that
-is still in different components is made. What has MATCHES common coordinates is confirmed on whole shingle sets.
+in one component are skipped: first each posting list is merged with its first document alone, and then the documents
+outside a list's largest component meet the others of the list that are in different components. What has MATCHES
+common coordinates is confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -25,10 +25,8 @@ from sparkloom.llm.text_hash import U, mix, text_shingles
 from sparkloom.scratch import drop, saved
 
 WIDTH, PERCENT = 5, 75
-COORDINATES, MATCHES = 128, 72
+COORDINATES, MATCHES = 128, 76
 SIFT, SIFT_MATCHES = 16, 3
-#: Rounds of pivots before all remaining pairs are made, and the pairs per posting at which no more rounds are needed.
-PIVOTS, LIGHT = 2, 4
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**64, COORDINATES, dtype=U) | U(1)
 _B = _rng.integers(0, 2**64, COORDINATES, dtype=U)
@@ -119,22 +117,15 @@ def _first_pairs(postings: DataFrame) -> DataFrame:
     return ranked.where("place <= 2").select(F.col("rep").alias("a"), "b")
 
 
-def _placed(postings: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists that hold several components: (token, rep, component, largest), and per list its largest component, a member of it and its sizes."""
+def _placed(postings: DataFrame, component: DataFrame) -> DataFrame:
+    """(token, rep, component, largest): the lists that hold several components, with each list's largest one."""
     placed = saved(postings.join(component, postings.rep == component.node, "left").select("token", "rep", F.coalesce("component", "rep").alias("component")), "placed")
-    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("token", "rep")).alias("member"))
-    lists = sizes.groupBy("token").agg(F.max_by(F.struct("component", "member"), F.struct("n", "component")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    lists = saved(lists.where("parts > 1").select("token", F.col("top.component").alias("largest"), F.col("top.member").alias("member"), "most", "n"), "lists")
-    rest = saved(placed.join(lists.select("token", "largest", "member"), "token"), "rest")
-    drop(placed)
-    return rest, lists
-
-
-def _pivot_pairs(rest: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Documents outside a list's largest component against one member of it for each list; of each document's the three that agree most."""
-    pairs = rest.where("component <> largest").select(F.col("rep").alias("a"), F.col("member").alias("b")).distinct()
-    ranked = _agreeing(pairs, sigs).withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b")))
-    return ranked.where("place <= 3")
+    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
+    lists = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
+    lists = saved(lists.where("parts > 1").select("token", "largest"), "lists")
+    rest = saved(placed.join(lists, "token"), "rest")
+    drop(placed, lists)
+    return rest
 
 
 def _all_pairs(rest: DataFrame) -> DataFrame:
@@ -171,16 +162,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = sets.select("rep", "sig")
     postings = _postings(sigs)
     component = _merged(None, _confirmed(_agreeing(_first_pairs(postings), sigs), sets))
-    for step in range(PIVOTS + 1):
-        rest, lists = _placed(postings, component)
-        work, size = lists.agg(F.sum((F.col("n") - F.col("most")) * F.col("n")), F.sum("n")).first()
-        last = step == PIVOTS or (work or 0) <= LIGHT * (size or 0)
-        links = _confirmed(_agreeing(_all_pairs(rest), sigs) if last else _pivot_pairs(rest, sigs), sets)
-        component = _merged(component, links)
-        drop(rest, lists)
-        if last:
-            break
-    drop(sets, postings)
+    rest = _placed(postings, component)
+    component = _merged(component, _confirmed(_agreeing(_all_pairs(rest), sigs), sets))
+    drop(sets, postings, rest)
     named = saved(classes.join(component, classes.rep == component.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component")), "named")
     out = features.drop("sift").join(named, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")))
