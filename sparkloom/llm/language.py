@@ -75,7 +75,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     """``docs`` with lang_pred and score added; only the column text is looked at.
 
     lang_pred is the language of least distance (the first by name of equals), ``und`` for a null text, one without a
-    letter, or when no language is known. score is 1 less the distance's share of the greatest possible one, 0 for ``und``.
+    letter, or when no language is known. Columns of those names are replaced. Rows and equal texts are judged alike, an empty table gives an empty one. score is 1 less the distance's share of the greatest possible one, 0 for ``und``.
     """
     names = sorted(profiles)
     known = np.unique(np.array([g for p in profiles.values() for g in p], np.uint32))
@@ -102,8 +102,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
                 best = int(np.argmin(away))
                 langs.append(names[best])
                 scores.append(float(1 - away[best] / (RANKS * len(own))))
-            kept = [batch.column(c) for c in batch.schema.names if c != "__letters"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [c for c in batch.schema.names if c != "__letters"] + ["lang_pred", "score"])
+            own = {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+            yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in schema.names], schema.names)
 
     return asked.mapInArrow(predict, schema)
 

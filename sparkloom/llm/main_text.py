@@ -177,7 +177,7 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html); null html is empty. No row meets another."""
+    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html); null html is empty. No row meets another, so repeated and null ids are kept; other columns are ignored."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -89,7 +89,10 @@ def joined(spans: Column) -> Column:
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every whole text of ``docs`` (doc_id, text), scanned from an empty ledger."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every whole text of ``docs`` (doc_id, text), scanned from an empty ledger.
+
+    Null is the empty text; other columns are ignored; rows that repeat, also with one doc_id or none, are each given; no rows give none.
+    """
     findings, _ = scan(docs.select(F.col("doc_id").alias("path"), "text"))
     base = F.filter("spans", lambda s: s.kind.isin([r.name for r in BASE]))
     count = lambda name: F.size(F.filter("spans", lambda s: s.kind == name)).cast("long").alias(f"n_{name}")
@@ -98,9 +101,9 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of a secret replaced by [kind], and n_chars, if there, counted anew; joined by content, so repeated rows stay as many."""
-    texts = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256))
     findings, _ = scan(docs.select(F.lit(0).alias("path"), "text"))
-    found = saved(findings.where("size(spans) > 0").select("blob", "spans").distinct(), "redactions")
+    found = saved(findings.where("size(spans) > 0").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).distinct(), "redactions")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
     def step(state: Column, s: Column) -> Column:
@@ -109,8 +112,8 @@ def redacted(docs: DataFrame) -> DataFrame:
         new = F.when(fresh, F.concat(state.text, gap, F.lit("["), s.kind, F.lit("]"))).otherwise(state.text)
         return F.struct(F.greatest(state.at, s.end).alias("at"), new.alias("text"))
 
-    cut = F.aggregate("spans", start, step, lambda s: F.concat(s.text, F.substring(F.col("text"), s.at + 1, F.length("text"))))
-    out = texts.join(found, "blob", "left").withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
+    cut = F.aggregate("__spans", start, step, lambda s: F.concat(s.text, F.substring(F.col("text"), s.at + 1, F.length("text"))))
+    out = texts.join(found, "__blob", "left").withColumn("text", F.when(F.size("__spans") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
