@@ -6,9 +6,10 @@ similarity 0.75 agree in 96 of 128 coordinates on average, and in fewer than MAT
 3e-7 for a linked one) go no further. The tokens of the others are put in one global order, the rarest first; two
 signatures with MATCHES common tokens have one in common among the first COORDINATES - MATCHES + 1 of each, so only
 those prefixes are posted (prefix filter), and tokens that one set alone has are never posted. Pairs that are already
-in one component are skipped: first each posting list is merged with its first document alone, and then the documents
-outside a list's largest component meet the others of the list that are in different components. What has MATCHES
-common coordinates is confirmed on whole shingle sets.
+in one component are skipped: first each posting list is merged with its first document alone, and what has MATCHES
+common coordinates is confirmed on whole shingle sets. Then the lists that still hold several components are put
+together by their largest one, and the documents outside it meet the others of these lists, in tasks of two bounded
+blocks each; a task counts the common coordinates, confirms on whole sets and returns only links that join components.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from sparkloom.scratch import drop, saved
 WIDTH, PERCENT = 5, 75
 COORDINATES, MATCHES = 128, 76
 SIFT, SIFT_MATCHES = 16, 3
+BLOCK = 2**18
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**64, COORDINATES, dtype=U) | U(1)
 _B = _rng.integers(0, 2**64, COORDINATES, dtype=U)
@@ -66,7 +68,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             sigs = np.concatenate([signature(s) for s in found]).view(np.int32) if found else np.zeros(0, np.int32)
             at = pa.array(np.arange(len(found) + 1, dtype=np.int32) * COORDINATES)
-            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)), pa.ListArray.from_arrays(at, pa.array(sigs))], ["rep", "shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)), pa.ListArray.from_arrays(at, pa.array(sigs)), pa.array([len(x) for x in found], pa.int64())], ["rep", "shingles", "sig", "n"])
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -128,12 +130,94 @@ def _placed(postings: DataFrame, component: DataFrame) -> DataFrame:
     return rest
 
 
-def _all_pairs(rest: DataFrame) -> DataFrame:
-    """Distinct pairs of one list in different components; members of a list's largest component are not paired with each other."""
-    x, y = rest.where("component <> largest").alias("x"), rest.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.rep") < F.col("y.rep")))
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(apart)
-    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+def _members(rest: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(rep, component, tasks): which block comparisons a document takes part in, for documents of lists with one largest component.
+
+    The documents outside the largest component (x of them in blocks) meet each other and those inside it (y blocks), one
+    task for two blocks; a block is a share of the documents dealt by a hash, of about BLOCK longs whatever the group's size.
+    """
+    members = rest.select("largest", "rep", "component").distinct().join(sizes, "rep")
+    outside, weight = F.col("component") != F.col("largest"), F.col("n") + COORDINATES
+    blocks = lambda rows: F.ceil(F.sum(F.when(rows, weight)) / BLOCK)
+    dealt = members.join(members.groupBy("largest").agg(blocks(outside).alias("x"), blocks(~outside).alias("y")), "largest")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(outside, F.col("x")).otherwise(F.col("y"))))
+
+    def task(inside, i, j, left, right):
+        return F.struct("largest", F.lit(inside).alias("inside"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+
+    own, yes, no = F.col("block"), F.lit(True), F.lit(False)
+    all_x, all_y = (F.sequence(F.lit(0).cast("long"), F.col(n) - 1) for n in "xy")
+    with_x = F.transform(all_x, lambda k: task(False, F.least(own, k), F.greatest(own, k), own <= k, own >= k))
+    with_y = F.transform(all_y, lambda k: task(True, own, k, yes, no))
+    from_y = F.transform(all_x, lambda k: task(True, k, own, no, yes))
+    return dealt.select("rep", "component", F.when(outside, F.concat(with_x, with_y)).otherwise(from_y).alias("tasks"))
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a has in common with each of b, by products of incidence matrices of 4096 values each."""
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s]), len(s)) for s in (a, b)]
+    shared, out = np.intersect1d(sides[0][0], sides[1][0]), np.zeros((len(a), len(b)), np.int64)
+    for k in range(0, len(shared), 4096):
+        part, matrices = shared[k : k + 4096], []
+        for values, rows, n in sides:
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[rows[hit], at[hit]] = 1
+            matrices.append(matrix)
+        out += (matrices[0] @ matrices[1].T).astype(np.int64)
+    return out
+
+
+def _forest(pairs: np.ndarray) -> list[int]:
+    """The positions of those pairs that join two trees, taken in order."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(pairs.tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links (a, b) that join the components of two blocks: MATCHES equal coordinates, then the whole shingle sets."""
+    rep, component = table["rep"].to_numpy(), table["component"].to_numpy()
+    sig = np.ascontiguousarray(table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES).T)
+    left, right = (np.flatnonzero(table[n].to_numpy()) for n in ("left", "right"))
+    lists = table["shingles"].combine_chunks()
+    ends, values = np.cumsum(lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    sizes = np.diff(ends, prepend=0)
+    agree = np.zeros((len(left), len(right)), np.uint8)
+    for c in sig:
+        agree += c[left, None] == c[right]
+    low, high = np.minimum(sizes[left, None], sizes[right]), np.maximum(sizes[left, None], sizes[right])
+    near = (agree >= MATCHES) & (component[left, None] != component[right]) & (100 * low >= PERCENT * high)
+    left, right, near = left[near.any(axis=1)], right[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+    found = np.zeros((0, 2), np.int64)
+    if len(left):
+        common = _common(*([values[ends[k] - sizes[k] : ends[k]] for k in side] for side in (left, right)))
+        x, y = np.nonzero(near & (100 * common >= PERCENT * (sizes[left, None] + sizes[right] - common)))
+        found = np.stack([left[x], right[y]], axis=1)
+        found = found[_forest(component[found])]
+    return pa.table({"a": pa.array(rep[found[:, 0]], pa.int64()), "b": pa.array(rep[found[:, 1]], pa.int64())})
+
+
+def _links_outside(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components, found block by block; only those that join components are returned."""
+    members = saved(_members(rest, sets.select("rep", "n")), "members")
+    whole = sets.join(members, "rep").select("rep", "component", "sig", "shingles", F.explode("tasks").alias("task"))
+    dealt = whole.select("task.*", "rep", "component", "sig", "shingles")
+    links = saved(dealt.groupBy("largest", "inside", "i", "j").applyInArrow(_block_links, "a long, b long"), "links")
+    drop(members)
+    return links
 
 
 def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -158,12 +242,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = saved(taking.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     first = taking.join(classes.drop("n_shingles"), ["k1", "k2"]).where("doc_id = rep").select("rep", "sift").distinct()
     own = docs.withColumnRenamed("doc_id", "rep").join(_sifted(first), "rep", "left_semi")
-    sets = saved(own.mapInArrow(_sets, "rep long, shingles array<long>, sig array<int>"), "sets")
+    sets = saved(own.mapInArrow(_sets, "rep long, shingles array<long>, sig array<int>, n long"), "sets")
     sigs = sets.select("rep", "sig")
     postings = _postings(sigs)
     component = _merged(None, _confirmed(_agreeing(_first_pairs(postings), sigs), sets))
     rest = _placed(postings, component)
-    component = _merged(component, _confirmed(_agreeing(_all_pairs(rest), sigs), sets))
+    component = _merged(component, _links_outside(rest, sets))
     drop(sets, postings, rest)
     named = saved(classes.join(component, classes.rep == component.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component")), "named")
     out = features.drop("sift").join(named, ["k1", "k2"], "left")
