@@ -2,9 +2,12 @@
 
 The parser's events build blocks (the "lines" of a page: text between two block-level tags). A block's ratio is its text
 length over the number of its tags. Ratios are smoothed with a Gaussian over neighbouring blocks and parted by a
-threshold into two clusters; the region that holds the text of the upper cluster is the article, found among the page's
-article or main elements, or else as the smallest element with most of that text. Navigation, headers, footers, asides,
-forms, scripts, styles and elements named as adverts, notices or comments never belong to it.
+threshold into two clusters. The page's article or main elements are a prior: if they hold at least half of the text of
+the upper cluster, each of them with a block of that cluster is given whole, with the cluster's other blocks in the same
+main element. Else the upper cluster itself is the text, with what lies between its blocks or beside them in their common
+element, and with the headings and paragraphs next to it; only blocks that are mostly links are left out there.
+Navigation, headers, footers, asides, forms, scripts, styles and elements named as adverts, notices or comments never
+belong to it.
 """
 
 from __future__ import annotations
@@ -26,33 +29,43 @@ APART = frozenset("nav header footer aside form menu dialog button select textar
 PARTING = frozenset(("br", "img", "td", "th", "wbr"))
 WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|comment\w*|disqus|respond|replies|reply|sidebar|side-bar|widget\w*|related|recommend\w*|share|sharing|social|breadcrumb\w*|menu|nav|navbar|navigation|pagination|pager|footer|header|masthead|copyright|login|search|skip)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks next to the main run that continue it.
+FLOWING = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption caption".split())
+#: The share of the upper cluster's text with which article or main elements count as the article.
+PRIOR = 0.5
 SPACE = re.compile(r"\s+")
 #: An open paragraph or item ends where one of these begins.
 CLOSES = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
 
 class _Element:
-    __slots__ = ("apart", "name", "parent", "silent")
+    __slots__ = ("apart", "article", "linked", "main", "name", "parent", "silent")
 
     def __init__(self, name: str, parent: _Element | None, apart: bool, silent: bool):
         self.name, self.parent, self.apart, self.silent = name, parent, apart, silent
+        self.linked = name == "a" or (parent is not None and parent.linked)
+        # the outermost article and main elements around
+        self.article = parent and parent.article or (self if name == "article" else None)
+        self.main = parent and parent.main or (self if name == "main" else None)
 
 
 class Blocks(HTMLParser):
-    """Gathers (text, tags, element) blocks of a page while it is parsed."""
+    """Gathers (text, tags, characters in links, element) blocks of a page while it is parsed."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.at = self.root = _Element("", None, False, False)
-        self.blocks: list[tuple[str, int, _Element]] = []
+        self.blocks: list[tuple[str, int, int, _Element]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.links = 0
 
     def _end_block(self) -> None:
         if text := SPACE.sub(" ", "".join(self.parts)).strip():
-            self.blocks.append((text, self.tags, self.at))
+            self.blocks.append((text, self.tags, self.links, self.at))
             self.tags = 0
         self.parts = []
+        self.links = 0
 
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         if name in BLOCKS:
@@ -105,8 +118,10 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.at.silent:
             self.parts.append(data)
+            if self.at.linked:
+                self.links += len(data.strip())
 
-    def done(self) -> list[tuple[str, int, _Element]]:
+    def done(self) -> list[tuple[str, int, int, _Element]]:
         self.close()
         self._end_block()
         return self.blocks
@@ -147,33 +162,54 @@ def _above(e: _Element) -> Iterator[_Element]:
         e = e.parent
 
 
+def _upper(blocks: list[tuple[str, int, int, _Element]]) -> list[bool]:
+    """Whether each block is in the upper cluster of smoothed ratios."""
+    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in blocks])
+    cut = min(threshold(ratios), max(ratios))  # a mean of equal values may round above them
+    return [r >= cut for r in ratios]
+
+
+def _by_prior(blocks: list[tuple[str, int, int, _Element]], upper: list[bool]) -> list[bool] | None:
+    """The blocks of the article or main elements, where they hold PRIOR of the upper cluster's text."""
+    everything = sum(len(b[0]) for b, u in zip(blocks, upper, strict=True) if u)
+    for kind in ("article", "main"):
+        tops = [getattr(b[3], kind) for b in blocks]
+        own = {top for top, u in zip(tops, upper, strict=True) if u and top}
+        if own and sum(len(b[0]) for b, top, u in zip(blocks, tops, upper, strict=True) if u and top) >= PRIOR * everything:
+            mains = {top.main for top in own if top.main}
+            return [top in own or (u and b[3].main in mains) for b, top, u in zip(blocks, tops, upper, strict=True)]
+    return None
+
+
+def _by_clusters(blocks: list[tuple[str, int, int, _Element]], upper: list[bool]) -> list[bool]:
+    """The upper cluster's blocks, those between them or in their common element, and the headings and paragraphs next to these."""
+    flows = [2 * links <= len(text) or e.name in HEADINGS for text, _, links, e in blocks]
+    core = [k for k, u in enumerate(upper) if u]
+    shared = list(_above(blocks[core[0]][3]))[::-1]  # from the root down
+    for k in core[1:]:
+        path = list(_above(blocks[k][3]))[::-1]
+        shared = [a for a, b in zip(shared, path, strict=False) if a is b]
+    region = shared[-1] if shared[-1].name not in ("", "html", "body") else None
+    inside = [k for k, b in enumerate(blocks) if region is not None and any(a is region for a in _above(b[3]))]
+    first, last = min(core + inside), max(core + inside)
+    continues = [f and b[3].name in FLOWING for f, b in zip(flows, blocks, strict=True)]
+    while first > 0 and continues[first - 1]:
+        first -= 1
+    while last + 1 < len(blocks) and continues[last + 1]:
+        last += 1
+    return [first <= k <= last and (upper[k] or flows[k]) for k in range(len(blocks))]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, white space within a block as one space, joined by two line ends; empty if there is none."""
     parser = Blocks()
     parser.feed(html or "")
-    blocks = [b for b in parser.done() if not b[2].apart]
+    blocks = [b for b in parser.done() if not b[3].apart]
     if not blocks:
         return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _ in blocks])
-    cut = threshold(ratios)
-    mass: dict[_Element, float] = {}
-    everything = 0.0
-    for (text, _, e), ratio in zip(blocks, ratios, strict=True):
-        weight = len(text) * (1.0 if ratio >= cut else 0.25)
-        everything += weight
-        for a in _above(e):
-            mass[a] = mass.get(a, 0.0) + weight
-    for kind in ("article", "main"):
-        if own := [e for e in mass if e.name == kind and not any(a.name == kind for a in _above(e.parent))]:
-            region = max(own, key=lambda e: mass[e])  # the first of equals
-            break
-    else:
-        # the smallest element with nearly all of the text that the upper cluster holds
-        region, depth = parser.root, 0
-        for e in mass:
-            if mass[e] >= 0.7 * everything and (d := sum(1 for _ in _above(e))) > depth and e.name not in ("p", "b", "i", "em", "strong", "span", "a", "font"):
-                region, depth = e, d
-    return "\n\n".join(text for text, _, e in blocks if any(a is region for a in _above(e)))
+    upper = _upper(blocks)
+    kept = _by_prior(blocks, upper) or _by_clusters(blocks, upper)
+    return "\n\n".join(b[0] for b, k in zip(blocks, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

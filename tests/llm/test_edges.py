@@ -149,3 +149,22 @@ def test_pieces_and_words_as_the_libraries_give_them(spark):
     tokenizer = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
     for r in token_table(df, queries.vocabulary("word_bpe_49k.json")).collect():
         assert r.n_tokens == len(tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids) + 1, texts[r.doc_id]
+
+
+def test_main_text_is_what_the_clusters_select():
+    long = "a sentence of the text that goes on for a good while, " * 6
+    nav = "".join(f"<div><a href=x>link {i}</a></div>" for i in range(6))
+    body = "".join(f"<p>{long}{i}</p>" for i in range(4))
+    texts = [f"{long}{i}" for i in range(4)]
+    # title, introduction and end beside an element with most of the text, and no article or main
+    page = f"<body>{nav}<div><h1>T</h1><p>intro</p><div>{body}</div><p>outro</p></div>{nav}</body>"
+    assert main_text(page).split("\n\n") == ["T", "intro", *texts, "outro"]
+    quote = f"<body>{nav}<div><h1>T</h1><p>intro</p><blockquote>{body}</blockquote></div>{nav}</body>"
+    assert main_text(quote).split("\n\n") == ["T", "intro", *texts]
+    # every article with text, but not those that the clusters leave out
+    cards = "".join(f"<article><a href=x><b>card</b> <i>{i}</i></a></article>" for i in range(5))
+    page = f"<body>{nav}<article><h2>A</h2>{body}</article><article><h2>B</h2>{body}</article>{nav}{cards}</body>"
+    assert main_text(page).split("\n\n") == ["A", *texts, "B", *texts]
+    # an article element that holds little of the upper cluster's text does not hide the rest
+    page = f"<body>{nav}<article><p>teaser</p></article>{nav}<div><h1>T</h1>{body}</div></body>"
+    assert main_text(page).split("\n\n") == ["T", *texts]
