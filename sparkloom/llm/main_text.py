@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -27,7 +28,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
 APART = frozenset("nav header footer aside form menu dialog button select textarea input label fieldset search".split()) | SILENT
 PARTING = frozenset(("br", "img", "td", "th", "wbr"))
-WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|comment\w*|disqus|respond|replies|reply|sidebar|side-bar|widget\w*|related|recommend\w*|share|sharing|social|breadcrumb\w*|menu|nav|navbar|navigation|pagination|pager|footer|header|masthead|copyright|login|search|skip)(?=$|[\s_-])", re.I)
+#: A class or id sets an element apart if it is one of these words, or is made of them and of NEUTRAL ones only.
+WORDS = re.compile(r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|comment\w*|disqus|respond|replies|reply|sidebar|widget\w*|related|recommend\w*|share|sharing|social|breadcrumb\w*|menu|nav|navbar|navigation|pagination|pager|footer|header|masthead|copyright|login|search|skip")
+ASIDES = re.compile(r"comment\w*|reply|replies|related|teaser\w*|advert\w*|promo\w*")  # those that tell of an article element
+NEUTRAL = re.compile(r"site|page|main|global|local|primary|secondary|post|posts|article|articles|story|stories|entry|news|blog|top|bottom|left|right|side|inner|outer|list|item|items|area|bar|box|block|unit|slot|wrap|wrapper|container|holder|group|row|section|panel|button|buttons|btn|link|links|icon|icons|media|text|message|body|form|id|js|\d+")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks next to the main run that continue it.
@@ -39,11 +43,23 @@ SPACE = re.compile(r"\s+")
 CLOSES = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
 
+@lru_cache(4096)
+def set_apart(names: str, words: re.Pattern) -> bool:
+    """Whether one of the class or id names says that its element is no part of the text; a name like has-sidebar or site-nav-open does not."""
+    for name in names.lower().split():
+        parts = [p for p in re.split("[-_]+", name) if p]
+        named = [bool(words.fullmatch(p)) for p in parts]
+        if name == "side-bar" or (any(named) and all(n or NEUTRAL.fullmatch(p) for n, p in zip(named, parts, strict=True))):
+            return True
+    return False
+
+
 class _Element:
-    __slots__ = ("apart", "article", "linked", "main", "name", "parent", "silent")
+    __slots__ = ("apart", "article", "by_name", "holds", "linked", "main", "name", "parent", "silent")
 
-    def __init__(self, name: str, parent: _Element | None, apart: bool, silent: bool):
+    def __init__(self, name: str, parent: _Element | None, apart: bool, silent: bool, by_name: bool = False):
         self.name, self.parent, self.apart, self.silent = name, parent, apart, silent
+        self.by_name, self.holds = by_name, False  # set apart by its class or id; holds an article or main element
         self.linked = name == "a" or (parent is not None and parent.linked)
         # the outermost article and main elements around
         self.article = parent and parent.article or (self if name == "article" else None)
@@ -58,6 +74,7 @@ class Blocks(HTMLParser):
         self.at = self.root = _Element("", None, False, False)
         self.blocks: list[tuple[str, int, int, _Element]] = []
         self.parts: list[str] = []
+        self.elements: list[_Element] = []
         self.tags = self.links = 0
 
     def _end_block(self) -> None:
@@ -85,16 +102,15 @@ class Blocks(HTMLParser):
             if name in PARTING:
                 self.parts.append(" ")
             return
-        named = name in ("body", "html", "article", "main")
-        apart = name in APART
+        apart, by_name = name in APART, False
+        words = ASIDES if name == "article" else WORDS
         for key, value in attrs:
-            if value and not named and key in ("class", "id") and WORDS.search(value):
-                apart = True
+            if value and name not in ("body", "html", "main") and key in ("class", "id") and set_apart(value, words):
+                by_name = True
             elif (key == "role" and value in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and value and "display:none" in value.replace(" ", "")):
                 apart = True
-            elif named and name == "article" and value and key in ("class", "id") and re.search(r"comment|reply|related|teaser|advert|promo", value, re.I):
-                apart = True
-        self.at = _Element(name, self.at, self.at.apart or apart, self.at.silent or name in SILENT)
+        self.at = _Element(name, self.at, self.at.apart or apart, self.at.silent or name in SILENT, by_name)
+        self.elements.append(self.at)
 
     def handle_startendtag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(name, attrs)
@@ -169,6 +185,36 @@ def _upper(blocks: list[tuple[str, int, int, _Element]]) -> list[bool]:
     return [r >= cut for r in ratios]
 
 
+def _without_named(blocks: list[tuple[str, int, int, _Element]], elements: list[_Element]) -> list[tuple[str, int, int, _Element]]:
+    """The blocks outside elements that their names set apart.
+
+    A name counts for nothing if the element holds an article or main element, or, where no such element with text is
+    elsewhere, more than half of the upper cluster's text.
+    """
+    for e in reversed(elements):  # children before their parents
+        if not e.apart:
+            e.by_name = e.by_name and not e.holds
+            if e.holds or (not e.by_name and e.name in ("article", "main")):
+                e.parent.holds = True
+    if not any(e.by_name for e in elements):
+        return blocks
+    mass: dict[_Element, int] = {}
+    everything, prior = 0, False
+    for (text, _, _, e), u in zip(blocks, _upper(blocks), strict=True):
+        around = list(_above(e))
+        prior = prior or ((e.article or e.main) is not None and not any(a.by_name for a in around))
+        if u:
+            everything += len(text)
+            for a in around:
+                if a.by_name:
+                    mass[a] = mass.get(a, 0) + len(text)
+    for e in elements:
+        if e.by_name and not prior and 2 * mass.get(e, 0) > everything:
+            e.by_name = False
+        e.apart = e.apart or e.by_name or e.parent.apart
+    return [b for b in blocks if not b[3].apart]
+
+
 def _by_prior(blocks: list[tuple[str, int, int, _Element]], upper: list[bool]) -> list[bool] | None:
     """The blocks of the article or main elements, where they hold PRIOR of the upper cluster's text."""
     everything = sum(len(b[0]) for b, u in zip(blocks, upper, strict=True) if u)
@@ -205,6 +251,8 @@ def main_text(html: str | None) -> str:
     parser = Blocks()
     parser.feed(html or "")
     blocks = [b for b in parser.done() if not b[3].apart]
+    if blocks:
+        blocks = _without_named(blocks, parser.elements)
     if not blocks:
         return ""
     upper = _upper(blocks)

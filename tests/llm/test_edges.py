@@ -168,3 +168,21 @@ def test_main_text_is_what_the_clusters_select():
     # an article element that holds little of the upper cluster's text does not hide the rest
     page = f"<body>{nav}<article><p>teaser</p></article>{nav}<div><h1>T</h1>{body}</div></body>"
     assert main_text(page).split("\n\n") == ["T", *texts]
+
+
+def test_main_text_within_elements_of_telling_names():
+    long = "a sentence of the text that goes on for a good while, " * 6
+    body = "".join(f"<p>{long}{i}</p>" for i in range(3))
+    texts = [f"{long}{i}" for i in range(3)]
+    for name in ("content has-sidebar", "layout with-sidebar", "entry no-share", "site-nav-open", "sidebar", "modal"):
+        for tag in ("div class", "div id", "section class"):
+            page = f"<body><nav>n</nav><{tag}='{name}'><article><h1>T</h1>{body}</article></{tag.split()[0]}></body>"
+            assert main_text(page).split("\n\n") == ["T", *texts], name
+        # most of the page's text, without an article element
+        assert main_text(f"<body><nav>n</nav><div class='{name}'><h1>T</h1>{body}</div><div>x</div></body>").split("\n\n") == ["T", *texts], name
+    assert main_text(f"<article class='post has-comments'>{body}</article>").split("\n\n") == texts
+    assert main_text(f"<article>{body}<section class='social-history'><p>of a town</p></section></article>").split("\n\n") == [*texts, "of a town"]
+    # names of nothing else still set apart, however long a comment is
+    for name in ("comments", "post comment-list", "related-posts", "cookie-banner", "site_footer", "ad ad-300"):
+        assert main_text(f"<article>{body}<div class='{name}'><p>no</p></div></article><div id='{name}'>{body * 3}</div>").split("\n\n") == texts, name
+    assert main_text(f"<article>{body}</article><div class=comments><article class=comment-body>{body * 3}</article></div>").split("\n\n") == texts
