@@ -21,6 +21,8 @@ from sparkloom.scratch import saved
 SAMPLE, LISTS, SHARE, LEAST = 20_000, 256, 0.6, 8
 #: Columns of a block, and the tests' parameter: larger abandons less.
 COLUMNS, EPSILON = 16, 2.1
+#: Rounding of squared distances that the tests allow: a share of the distance, and of the squared norms.
+RELATIVE, ABSOLUTE = 1e-9, 1e-12
 #: Rows and queries that meet in one task at a time.
 ROWS, QUERIES = 8192, 2048
 
@@ -49,12 +51,15 @@ def scan(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.n
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
     turned = rows @ rotation
+    norms = (rows**2).sum(1)
     width = rows.shape[1]
     blocks = [np.ascontiguousarray(turned[:, d : d + COLUMNS].T) for d in range(0, width, COLUMNS)]
     for query_id, query, q in zip(query_ids.tolist(), queries, queries @ rotation, strict=True):
         first = np.flatnonzero(ids[: 4 * k + 1] != query_id)
         near = np.sort(((rows[first] - query) ** 2).sum(1))
         bound = near[k - 1] if len(near) >= k else np.inf
+        # rows and queries are rotated apart, so that even copies differ by rounding
+        slack = ABSOLUTE * (norms + (query**2).sum())
         alive = np.flatnonzero(ids != query_id)
         partial = np.zeros(len(alive))
         for b, block in enumerate(blocks):
@@ -62,11 +67,11 @@ def scan(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.n
             partial = partial + ((part - q[b * COLUMNS : b * COLUMNS + len(block), None]) ** 2).sum(0)
             seen = b * COLUMNS + len(block)
             if seen < width:
-                keep = partial <= bound * seen / width * (1 + EPSILON / np.sqrt(seen)) ** 2
+                keep = partial <= bound * seen / width * (1 + EPSILON / np.sqrt(seen)) ** 2 * (1 + RELATIVE) + slack[alive]
                 alive, partial = alive[keep], partial[keep]
         if len(alive) > 4 * k:  # rotation rounds, so keep a little more than k
-            limit = np.partition(partial, k - 1)[k - 1]
-            alive = alive[partial <= limit * (1 + 1e-9) + 1e-12]
+            limit = np.partition(partial - slack[alive], k - 1)[k - 1]
+            alive = alive[partial - slack[alive] <= limit * (1 + RELATIVE) + 2 * slack[alive].max()]
         score = np.sqrt(((rows[alive] - query) ** 2).sum(1))
         best = np.lexsort((ids[alive], score))[:k]
         yield query_id, ids[alive][best], score[best]

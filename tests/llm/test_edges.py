@@ -186,3 +186,28 @@ def test_main_text_within_elements_of_telling_names():
     for name in ("comments", "post comment-list", "related-posts", "cookie-banner", "site_footer", "ad ad-300"):
         assert main_text(f"<article>{body}<div class='{name}'><p>no</p></div></article><div id='{name}'>{body * 3}</div>").split("\n\n") == texts, name
     assert main_text(f"<article>{body}</article><div class=comments><article class=comment-body>{body * 3}</article></div>").split("\n\n") == texts
+
+
+def test_neighbours_among_many_copies(spark):
+    import numpy as np
+
+    from sparkloom.llm.neighbours import scan as scan_lists
+
+    width = 64
+    random = np.random.default_rng(5)
+    rotation = np.linalg.qr(np.random.default_rng(2).standard_normal((width, width)))[0]
+    for scale in (1e-4, 1.0, 1e5):
+        rows = random.standard_normal((1800, width)) * scale
+        copies = random.permutation(1800)[:600]
+        rows[copies] = rows[0]
+        rows[0] = rows[copies[0]]
+        ids = np.arange(1800)
+        equal = np.flatnonzero((rows == rows[copies[0]]).all(1))
+        for n in (1, 7):  # one query in a task, or several
+            asked = equal[:n]
+            for query, found, scores in scan_lists(ids, rows, asked, rows[asked], rotation, 10):
+                assert found.tolist() == [i for i in equal.tolist() if i != query][:10] and not scores.any()
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    query = int(equal[3])
+    got = nearest(table, table.where(F.col("vec_id") == query)).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 0.0) for i in equal.tolist() if i != query][:10]
