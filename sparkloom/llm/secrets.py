@@ -29,12 +29,18 @@ class Rule:
 ASSIGN = Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8)
 ACCESS = Rule("access", r"AKIA[A-Z0-9]+", 0, 16)
 HEX = Rule("hex", r"[0-9a-f]+", 0, 32)
-KEY_BLOCK = Rule("keyblock", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1)
-PREFIXED = Rule("prefixed", r"(?:ghp_|gho_|ghs_|xox[abp]-|sk_live_)[A-Za-z0-9_-]+", 0, 20)
+# a key up to its END line, or where that is missing, to the end of its header and base64 lines, also with line ends written as \\n
+_BREAK = r"(?:\s|\\[nrt])"
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_HEADERS = rf"(?:{_BREAK}*+[A-Za-z-]++:[^\r\n\\]*+)*+"
+_LAST = rf"{_BREAK}++[A-Za-z0-9+/]++={{0,2}}(?=\x20*+(?:[\r\n\"']|\\[nr]|$))"
+_LINES = rf"(?:{_HEADERS}(?:(?:{_BREAK}|[>\"'#*|+,])*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{_LAST})?)?"
+KEY_BLOCK = Rule("keyblock", rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:{_TO_END}|{_LINES})", 0, 1, 2)
+PREFIXED = Rule("prefixed", r"(?:gh[oprsu]_|github_pat_|xox[abeoprs]-|[rs]k_live_)[A-Za-z0-9_-]+", 0, 20, 2)
 BASE = (ASSIGN, ACCESS, HEX)
 RULES = (*BASE, KEY_BLOCK, PREFIXED)
 #: What a text must hold for the rule to match at all, cheap to test.
-NEEDS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}", "keyblock": "PRIVATE KEY-----", "prefixed": "ghp_|gho_|ghs_|xox[abp]-|sk_live_"}
+NEEDS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}", "keyblock": "PRIVATE KEY(?: BLOCK)?-----", "prefixed": "gh[oprsu]_|github_pat_|xox[abeoprs]-|[rs]k_live_"}
 
 
 def _spans(text: Column, rule: Rule) -> Column:
@@ -61,8 +67,8 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     """(findings, additions): findings has (path, blob, spans) for every row of ``paths`` (path, text), additions the rows to append to the ledger.
 
     ``spans`` are structs (begin, end, kind) in code points, ordered by begin, then as the rules are listed. Null is the
-    empty text. Rows that repeat a path or a text each get their findings. Only blobs with a pair (rule, version) that the
-    ledger lacks are scanned, each once however many paths hold it; additions has a row per blob, rule and version that
+    empty text. Rows that repeat a path or a text each get their findings. Only the pairs (rule, version) of a blob that
+    the ledger lacks are scanned, each once however many paths hold it; additions has a row per blob, rule and version that
     was missing, with its spans, so that later scans need not read those texts.
     """
     spark = paths.sparkSession
@@ -71,10 +77,12 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, .
     wanted = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")
     named = F.broadcast(wanted)  # a few rules
     held = saved(known.join(named, ["rule", "version"]), "held")
-    complete = held.groupBy("blob").agg(F.countDistinct("rule").alias("n")).where(F.col("n") == len(rules)).select("blob")
-    unseen = own.join(complete, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
-    each = unseen.select("blob", F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).cast("int").alias("version"), _spans(F.col("text"), r).alias("spans")) for r in rules])).alias("found"))
-    additions = saved(each.select("blob", "found.*").join(held.select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti"), "additions")
+    seen = held.groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # a few rules of one blob
+    unseen = own.join(seen, "blob", "left").where(F.coalesce(F.size("seen"), F.lit(0)) < len(rules)).groupBy("blob").agg(F.first("text").alias("text"), F.first("seen").alias("seen"))
+    pair = lambda r: F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).cast("int").alias("version"), _spans(F.col("text"), r).alias("spans"))
+    missing = lambda r: ~F.coalesce(F.array_contains("seen", r.name), F.lit(False))
+    each = unseen.select("blob", F.explode(F.array(*[F.when(missing(r), pair(r)) for r in rules])).alias("found"))
+    additions = saved(each.where("found is not null").select("blob", "found.*"), "additions")
     order = {r.name: k for k, r in enumerate(rules)}
     place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     hits = additions.unionByName(held.select(*additions.columns)).where("size(spans) > 0").select("blob", F.explode("spans").alias("s"))

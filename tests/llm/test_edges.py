@@ -211,3 +211,29 @@ def test_neighbours_among_many_copies(spark):
     query = int(equal[3])
     got = nearest(table, table.where(F.col("vec_id") == query)).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(i, 0.0) for i in equal.tolist() if i != query][:10]
+
+
+def test_private_keys_go_whole(spark):
+    lines = [("Ab3+/" * 13)[:64] for _ in range(5)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n"
+    key = "\n".join(lines)
+    texts = [
+        (f"before {begin}\n{key}\nQIDAQAB=\n{end} after", "before [keyblock] after"),
+        (f"before {begin}\n{head}{key}\n{end}\nafter it", "before [keyblock]\nafter it"),
+        (f"before {begin}\n{head}{key}\nQIDAQAB\nafter the key", "before [keyblock]\nafter the key"),
+        (f"before {begin}\n{key}", "before [keyblock]"),
+        (f'{{"k": "{begin}\\n' + "\\n".join(lines) + f'\\n{end}\\n"}}', '{"k": "[keyblock]\\n"}'),
+        (f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n{key}\n=abcd\n-----END PGP PRIVATE KEY BLOCK----- x", "[keyblock] x"),
+        (f"{begin}\n{key}\n{begin}\n{key}\n{end} x", "[keyblock]\n[keyblock] x"),
+        (f"a {begin} line starts a key", "a [keyblock] line starts a key"),
+        (f"{begin}\n{key * 5000}\n{end} x", "[keyblock] x"),
+    ]
+    texts += [(f"x {p}{'a1B2' * 8} y", "x [prefixed] y") for p in ("ghu_", "ghr_", "github_pat_", "xoxr-", "rk_live_", "ghp_")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "path long, text string")
+    for r in redacted(docs).collect():
+        assert r.text == texts[r.path][1], r.path
+    # only the pairs that a ledger lacks are scanned
+    findings, additions = scan(docs)
+    _, more = scan(docs, additions.where("rule != 'keyblock' or blob != sha2('', 256)").where("rule != 'hex'"))
+    assert {r.rule for r in more.collect()} == {"hex"} and more.count() == len(texts)
