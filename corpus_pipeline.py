@@ -20,15 +20,22 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least doc_id. Rows that repeat stay once."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").withColumn("__tie", F.xxhash64("text")).dropDuplicates(["doc_id", "__tie"]).select(*docs.columns)
+    """One document of each group of near-duplicates: one with the least doc_id. Rows that repeat stay once, those without doc_id are in no group.
+
+    Rows are told apart by doc_id and text, as a doc_id can be that of several texts.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    judged = near_duplicates(keyed.where("doc_id is not null").select(F.col("__key").alias("doc_id"), "text", F.col("doc_id").alias("__own")), carry="__own")
+    least = judged.groupBy("component_id").agg(F.min(F.struct("__own", F.col("doc_id").alias("__key"))).alias("least"))
+    stays = keyed.join(least.select("least.__key", F.lit(True).alias("__stays")), "__key", "left").where("doc_id is null or __stays")
+    return stays.dropDuplicates(["__key", "doc_id"]).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of ``benchmark``."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage of ``benchmark``. A text alone decides, so rows are judged by its hash, whatever their doc_id."""
+    hashed = F.sha2("text", 256)
+    found = contamination(docs.select(hashed.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("__text")).distinct()
+    return docs.withColumn("__text", hashed).join(found, "__text", "left_anti").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

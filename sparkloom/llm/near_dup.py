@@ -53,9 +53,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k2.append(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
             sigs.append(signature(s, SIFT))
         values = np.concatenate(sigs).view(np.int32) if sigs else np.zeros(0, np.int32)
+        carried = [c for c in ("carried",) if c in batch.schema.names]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(k1, U).view(np.int64)), pa.array(np.array(k2, U).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * SIFT), pa.array(values))],
-            ["doc_id", "n_shingles", "k1", "k2", "sift"],
+            [batch.column("doc_id"), *map(batch.column, carried), pa.array(sizes, pa.int64()), pa.array(np.array(k1, U).view(np.int64)), pa.array(np.array(k2, U).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * SIFT), pa.array(values))],
+            ["doc_id", *carried, "n_shingles", "k1", "k2", "sift"],
         )
 
 
@@ -227,17 +228,20 @@ def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
     return saved(connected_components(links), "components")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for the texts of ``docs`` (doc_id long, text string; other columns are ignored).
 
     A text's set holds its distinct 5-word shingles (A-Z in lower case, words parted by ASCII white space), or its whole
     word sequence if shorter. Sets with 100 * intersection >= 75 * union are linked; component_id is the smallest doc_id
     reachable, kept says that it is the row's own. A null, empty or blank text has the empty set and stands alone. Rows
     that repeat a doc_id are judged each by its own text. A row without doc_id takes no part: component_id is null, kept
-    true. Equal sets are one class from the start, so exact copies never meet in pairs.
+    true. Equal sets are one class from the start, so exact copies never meet in pairs. ``carry`` names a long column of
+    ``docs`` that each row brings along, last in the result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = saved(docs.mapInArrow(_features, "doc_id long, n_shingles long, k1 long, k2 long, sift array<int>"), "features")
+    own = [F.col(carry).cast("long").alias("carried")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own)
+    docs = rows.select("doc_id", "text")
+    features = saved(rows.mapInArrow(_features, f"doc_id long, {'carried long, ' if carry else ''}n_shingles long, k1 long, k2 long, sift array<int>"), "features")
     taking = features.where("n_shingles > 0 and doc_id is not null")
     classes = saved(taking.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     first = taking.join(classes.drop("n_shingles"), ["k1", "k2"]).where("doc_id = rep").select("rep", "sift").distinct()
@@ -252,5 +256,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = saved(classes.join(component, classes.rep == component.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component")), "named")
     out = features.drop("sift").join(named, ["k1", "k2"], "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), *([F.col("carried").alias(carry)] if carry else []))
 
