@@ -27,14 +27,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again; no stage behind it runs a second time."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete the files of tables made by ``saved`` that nothing reads any more."""
+def drop(*tables: DataFrame | None) -> None:
+    """Delete the files of tables made by ``saved`` that nothing reads any more; what is derived from one, or None, is left alone."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        if at := getattr(df, "_saved_at", None):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
