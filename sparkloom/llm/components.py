@@ -37,4 +37,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = saved(_relink(large, False), "edges")
         drop(now, large)
         now = small
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select("b", "b").distinct())
+    out = saved(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select("b", "b").distinct()), "components")
+    drop(now)
+    return out

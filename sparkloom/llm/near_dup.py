@@ -1,15 +1,19 @@
 """MinHash near-duplicates by an inverted join of signature coordinates.
 
 Every distinct shingle set has COORDINATES minima, hence as many tokens (coordinate, value); two sets of Jaccard
-similarity 0.75 agree in 96 of 128 coordinates on average, and in fewer than MATCHES with a chance of 3e-5 (of 1e-8 at
+similarity 0.75 agree in 96 of 128 coordinates on average, and in fewer than MATCHES with a chance of 3.5e-5 (of 1e-8 at
 0.8). Sets that have fewer than SIFT_MATCHES of their first SIFT tokens in common with any other set (a chance of
-3e-7 for a linked one) go no further. The tokens of the others are put in one global order, the rarest first; two
+4e-7 for a linked one) go no further. The tokens of the others are put in one global order, the rarest first; two
 signatures with MATCHES common tokens have one in common among the first COORDINATES - MATCHES + 1 of each, so only
 those prefixes are posted (prefix filter), and tokens that one set alone has are never posted. Pairs that are already
-in one component are skipped: first each posting list is merged with its first document alone, and what has MATCHES
-common coordinates is confirmed on whole shingle sets. Then the lists that still hold several components are put
-together by their largest one, and the documents outside it meet the others of these lists, in tasks of two bounded
-blocks each; a task counts the common coordinates, confirms on whole sets and returns only links that join components.
+in one component are skipped: ROUNDS times the documents outside each list's largest component count their collisions
+with one head of that component, and the best of these pairs is confirmed on whole shingle sets. The lists that then
+still hold several components are put together by their largest one, and the documents outside it meet the others of these lists, in
+tasks of two bounded blocks each. A task first counts the common coordinates of whole signatures; only documents with a partner
+that reaches MATCHES meet again with their shingle sets, and only links that join components leave a task.
+
+Texts are read in each pass but never shuffled whole: of the documents whose sets are needed, a bitmap of fixed size
+leaves out the others before the join. Joins with tables that grow with the corpus are merged at any size.
 """
 
 from __future__ import annotations
@@ -22,13 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import connected_components
+from sparkloom.llm.marks import marks, parted
 from sparkloom.llm.text_hash import U, mix, text_shingles
 from sparkloom.scratch import drop, saved
 
 WIDTH, PERCENT = 5, 75
 COORDINATES, MATCHES = 128, 76
-SIFT, SIFT_MATCHES = 16, 3
+SIFT, SIFT_MATCHES = 24, 7
+ROUNDS = 2
 BLOCK = 2**18
+#: Where a class's text is found.
+PLACE = ["doc_id", "own_text"]
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**64, COORDINATES, dtype=U) | U(1)
 _B = _rng.integers(0, 2**64, COORDINATES, dtype=U)
@@ -45,19 +53,21 @@ def signature(shingles: np.ndarray, n: int = COORDINATES) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, k1, k2, sigs = [], [], [], []
-        for s in text_shingles(batch.column("text"), WIDTH):
-            sizes.append(len(s))
-            with np.errstate(over="ignore"):
-                k1.append(mix(s).sum(dtype=U))
-                k2.append(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
-            sigs.append(signature(s, SIFT))
-        values = np.concatenate(sigs).view(np.int32) if sigs else np.zeros(0, np.int32)
-        carried = [c for c in ("carried",) if c in batch.schema.names]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *map(batch.column, carried), pa.array(sizes, pa.int64()), pa.array(np.array(k1, U).view(np.int64)), pa.array(np.array(k2, U).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * SIFT), pa.array(values))],
-            ["doc_id", *carried, "n_shingles", "k1", "k2", "sift"],
-        )
+        for k in range(0, len(batch), 2000):
+            part = batch.slice(k, 2000)
+            sizes, k1, k2, sigs = [], [], [], []
+            for s in text_shingles(part.column("text"), WIDTH):
+                sizes.append(len(s))
+                with np.errstate(over="ignore"):
+                    k1.append(mix(s).sum(dtype=U))
+                    k2.append(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U))
+                sigs.append(signature(s))
+            values = np.concatenate(sigs).view(np.int32) if sigs else np.zeros(0, np.int32)
+            carried = [c for c in ("carried",) if c in part.schema.names]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("own_text"), *map(part.column, carried), pa.array(sizes, pa.int64()), pa.array(np.array(k1, U).view(np.int64)), pa.array(np.array(k2, U).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * COORDINATES), pa.array(values))],
+                ["doc_id", "own_text", *carried, "n_shingles", "k1", "k2", "sig"],
+            )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,91 +77,114 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = list(text_shingles(part.column("text"), WIDTH))
             offsets = np.cumsum([0, *map(len, found)])
             values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            sigs = np.concatenate([signature(s) for s in found]).view(np.int32) if found else np.zeros(0, np.int32)
-            at = pa.array(np.arange(len(found) + 1, dtype=np.int32) * COORDINATES)
-            yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)), pa.ListArray.from_arrays(at, pa.array(sigs)), pa.array([len(x) for x in found], pa.int64())], ["rep", "shingles", "sig", "n"])
-
-
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in MATCHES coordinates or more, with that number."""
-    side = lambda n: sigs.select(F.col("rep").alias(n), F.col("sig").alias(f"sig_{n}"))
-    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= MATCHES)
-
-
-def _confirmed(close: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole shingle sets reach PERCENT."""
-    close = saved(close.select("a", "b"), "close")
-    ids = close.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    need = saved(sets.join(ids, "rep", "left_semi"), "need")
-    side = lambda n: need.select(F.col("rep").alias(n), F.col("shingles").alias(f"set_{n}"))
-    both = close.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")).cast("long"))
-    edges = saved(both.where(100 * F.col("common") >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b"), "links")
-    drop(close, need)
-    return edges
+            others = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(part.column, others), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], [*others, "shingles"])
+
+
+def _with_sets(texts: DataFrame, sigs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (rep, further columns), each with its class's shingle set, saved."""
+    keyed = saved(wanted.join(sigs.select("rep", *PLACE).hint("merge"), "rep"), "wanted")
+    bitmap = marks(keyed, PLACE)
+    found = parted(texts, PLACE, bitmap)[0].groupBy(*PLACE).agg(F.first("text").alias("text"))  # rows that repeat count once
+    types = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in wanted.columns)
+    out = saved(found.join(keyed.hint("merge"), PLACE).select(*wanted.columns, "text").mapInArrow(_sets, f"{types}, shingles array<long>"), "sets")
+    drop(bitmap, keyed)
+    return out
 
 
-def _tokens(sigs: DataFrame, column: str) -> DataFrame:
-    """(rep, token) for every coordinate, a token being the coordinate and its value in one long."""
-    return sigs.select("rep", F.posexplode(column).alias("coordinate", "value")).select("rep", (F.shiftleft(F.col("coordinate").cast("long"), 32) + F.col("value").cast("long") + 2**31).alias("token"))
+def _tokens(sigs: DataFrame, n: int = COORDINATES) -> DataFrame:
+    """(rep, token) for each of the first n coordinates, a token being the coordinate and its value in one long."""
+    each = sigs.select("rep", F.posexplode(F.slice("sig", 1, n)).alias("coordinate", "value"))
+    return each.select("rep", (F.shiftleft(F.col("coordinate").cast("long"), 32) + F.col("value").cast("long") + 2**31).alias("token"))
 
 
-def _sifted(sigs: DataFrame) -> DataFrame:
-    """The rep of each set that has SIFT_MATCHES tokens in common with others."""
-    tokens = _tokens(sigs, "sift")
-    counts = saved(tokens.groupBy("token").count().where("count > 1"), "counts")
-    return saved(tokens.join(counts, "token").groupBy("rep").count().where(F.col("count") >= SIFT_MATCHES).select("rep"), "sifted")
+def _sifted(classes: DataFrame) -> DataFrame:
+    """(rep, doc_id, own_text, sig, n) of each class that has SIFT_MATCHES of its first SIFT tokens in common with others."""
+    tokens = _tokens(classes, SIFT)
+    counts = tokens.groupBy("token").count().where("count > 1").select("token")
+    ids = saved(tokens.join(counts.hint("merge"), "token").groupBy("rep").count().where(F.col("count") >= SIFT_MATCHES).select("rep"), "sifted")
+    bitmap = marks(ids, ["rep"])
+    found = parted(classes.select("rep", *PLACE, "sig", F.col("n_shingles").alias("n")), ["rep"], bitmap)[0]
+    out = saved(found.join(ids.hint("merge"), "rep"), "signatures")
+    drop(ids, bitmap)
+    return out
 
 
 def _postings(sigs: DataFrame) -> DataFrame:
     """(token, rep) for the tokens in each signature's prefix that another signature has too."""
-    tokens = _tokens(sigs, "sig")
-    counts = saved(tokens.groupBy("token").count().where("count > 1"), "counts")
+    tokens = _tokens(sigs)
+    counts = tokens.groupBy("token").count().where("count > 1")
     own = Window.partitionBy("rep")
-    ranked = tokens.join(counts, "token").withColumns({"place": F.row_number().over(own.orderBy("count", "token")), "n": F.count("*").over(own)})
+    ranked = tokens.join(counts.hint("merge"), "token").withColumns({"place": F.row_number().over(own.orderBy("count", "token")), "n": F.count("*").over(own)})
     return saved(ranked.where(F.col("place") + COORDINATES - F.col("n") <= COORDINATES - MATCHES + 1).select("token", "rep"), "postings")
 
 
-def _first_pairs(postings: DataFrame) -> DataFrame:
-    """For each document the two first documents of its lists that stand there most often."""
-    first = saved(postings.groupBy("token").agg(F.min("rep").alias("b")), "first")
-    pairs = postings.join(first, "token").where("rep <> b").groupBy("rep", "b").count()
-    ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("count"), "b")))
-    return ranked.where("place <= 2").select(F.col("rep").alias("a"), "b")
-
-
-def _placed(postings: DataFrame, component: DataFrame) -> DataFrame:
+def _placed(postings: DataFrame, component: DataFrame | None) -> DataFrame:
     """(token, rep, component, largest): the lists that hold several components, with each list's largest one."""
-    placed = saved(postings.join(component, postings.rep == component.node, "left").select("token", "rep", F.coalesce("component", "rep").alias("component")), "placed")
+    if component is None:
+        placed = postings.withColumn("component", F.col("rep"))
+    else:
+        named = component.select(F.col("node").alias("rep"), F.col("component").alias("found"))
+        placed = saved(postings.join(named.hint("merge"), "rep", "left").select("token", "rep", F.coalesce("found", "rep").alias("component")), "placed")
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
     lists = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"))
     lists = saved(lists.where("parts > 1").select("token", "largest"), "lists")
-    rest = saved(placed.join(lists, "token"), "rest")
-    drop(placed, lists)
+    rest = saved(placed.join(lists.hint("merge"), "token"), "rest")
+    drop(placed if component is not None else None, lists)
     return rest
 
 
+def _head_links(rest: DataFrame, sigs: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
+    """Links (a, b) between a document outside its lists' largest components and the head that it collides with most often.
+
+    A list's head is the document of its largest component with the least hash, another one each turn. Collisions are
+    counted by pair; pairs with MATCHES common coordinates are confirmed on whole shingle sets.
+    """
+    inside = rest.where("component = largest").groupBy("token").agg(F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("hub"))
+    pairs = rest.where("component <> largest").join(inside.hint("merge"), "token").groupBy("rep", "hub").count()
+    best = saved(pairs.groupBy("rep").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")), "heads")
+    hub_sigs = sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig"))
+    agree = F.size(F.filter(F.zip_with("sig", "hub_sig", lambda x, y: x == y), lambda x: x))
+    close = best.join(sigs.select("rep", "sig").hint("merge"), "rep").join(hub_sigs.hint("merge"), "hub").where(agree >= MATCHES)
+    close = saved(close.select("rep", "hub"), "close")
+    wanted = saved(close.unionAll(close.select(F.col("hub").alias("rep"), "hub").distinct()), "wanted")
+    sets = _with_sets(texts, sigs, wanted)
+    hubs = sets.where("rep = hub").select("hub", F.col("shingles").alias("hub_set")).dropDuplicates(["hub"])
+    both = sets.where("rep <> hub").join(hubs.hint("merge"), "hub").withColumn("common", F.size(F.array_intersect("shingles", "hub_set")).cast("long"))
+    linked = 100 * F.col("common") >= PERCENT * (F.size("shingles") + F.size("hub_set") - F.col("common"))
+    links = saved(both.where(linked).select(F.col("rep").alias("a"), F.col("hub").alias("b")), "links")
+    drop(best, close, wanted, sets)
+    return links
+
+
+TASK = ["largest", "inside", "i", "j"]
+
+
 def _members(rest: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(rep, component, tasks): which block comparisons a document takes part in, for documents of lists with one largest component.
+    """(rep, component, n, tasks): which block comparisons a document takes part in, for documents of lists with one largest component.
 
     The documents outside the largest component (x of them in blocks) meet each other and those inside it (y blocks), one
     task for two blocks; a block is a share of the documents dealt by a hash, of about BLOCK longs whatever the group's size.
     """
-    members = rest.select("largest", "rep", "component").distinct().join(sizes, "rep")
+    members = saved(rest.select("largest", "rep", "component").distinct().join(sizes.hint("merge"), "rep"), "members")
     outside, weight = F.col("component") != F.col("largest"), F.col("n") + COORDINATES
-    blocks = lambda rows: F.ceil(F.sum(F.when(rows, weight)) / BLOCK)
-    dealt = members.join(members.groupBy("largest").agg(blocks(outside).alias("x"), blocks(~outside).alias("y")), "largest")
+    blocks = lambda rows: F.coalesce(F.ceil(F.sum(F.when(rows, weight)) / BLOCK), F.lit(0))
+    counted = saved(members.groupBy("largest").agg(blocks(outside).alias("x"), blocks(~outside).alias("y")), "blocks")
+    dealt = members.join(counted.hint("merge"), "largest")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(outside, F.col("x")).otherwise(F.col("y"))))
 
     def task(inside, i, j, left, right):
         return F.struct("largest", F.lit(inside).alias("inside"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
 
     own, yes, no = F.col("block"), F.lit(True), F.lit(False)
-    all_x, all_y = (F.sequence(F.lit(0).cast("long"), F.col(n) - 1) for n in "xy")
+    all_x, all_y = (F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>")) for n in "xy")
     with_x = F.transform(all_x, lambda k: task(False, F.least(own, k), F.greatest(own, k), own <= k, own >= k))
     with_y = F.transform(all_y, lambda k: task(True, own, k, yes, no))
     from_y = F.transform(all_x, lambda k: task(True, k, own, no, yes))
-    return dealt.select("rep", "component", F.when(outside, F.concat(with_x, with_y)).otherwise(from_y).alias("tasks"))
+    tasks = F.when(outside, F.concat(with_x, with_y)).otherwise(from_y)
+    out = saved(dealt.select("rep", "component", "n", F.explode(tasks).alias("task")).select("rep", "component", "n", "task.*"), "tasks")
+    drop(members, counted)
+    return out
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -188,19 +221,32 @@ def _forest(pairs: np.ndarray) -> list[int]:
     return out
 
 
-def _block_links(table: pa.Table) -> pa.Table:
-    """Links (a, b) that join the components of two blocks: MATCHES equal coordinates, then the whole shingle sets."""
-    rep, component = table["rep"].to_numpy(), table["component"].to_numpy()
+def _near(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, near): the rows of the two blocks, and which of them may be linked: other components, MATCHES equal coordinates, sizes that allow it."""
+    component, sizes = table["component"].to_numpy(), table["n"].to_numpy()
     sig = np.ascontiguousarray(table["sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES).T)
     left, right = (np.flatnonzero(table[n].to_numpy()) for n in ("left", "right"))
-    lists = table["shingles"].combine_chunks()
-    ends, values = np.cumsum(lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
-    sizes = np.diff(ends, prepend=0)
     agree = np.zeros((len(left), len(right)), np.uint8)
     for c in sig:
         agree += c[left, None] == c[right]
     low, high = np.minimum(sizes[left, None], sizes[right]), np.maximum(sizes[left, None], sizes[right])
-    near = (agree >= MATCHES) & (component[left, None] != component[right]) & (100 * low >= PERCENT * high)
+    return left, right, (agree >= MATCHES) & (component[left, None] != component[right]) & (100 * low >= PERCENT * high)
+
+
+def _block_partners(table: pa.Table) -> pa.Table:
+    """The rows of two blocks that have a possible link, without their signatures."""
+    left, right, near = _near(table)
+    found = np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
+    return table.drop_columns(["sig"]).take(pa.array(found, pa.int64()))
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links (a, b) that join the components of two blocks: MATCHES equal coordinates, then the whole shingle sets."""
+    rep, component = table["rep"].to_numpy(), table["component"].to_numpy()
+    lists = table["shingles"].combine_chunks()
+    ends, values = np.cumsum(lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    sizes = np.diff(ends, prepend=0)
+    left, right, near = _near(table)
     left, right, near = left[near.any(axis=1)], right[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
     found = np.zeros((0, 2), np.int64)
     if len(left):
@@ -211,21 +257,28 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(rep[found[:, 0]], pa.int64()), "b": pa.array(rep[found[:, 1]], pa.int64())})
 
 
-def _links_outside(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between different components, found block by block; only those that join components are returned."""
-    members = saved(_members(rest, sets.select("rep", "n")), "members")
-    whole = sets.join(members, "rep").select("rep", "component", "sig", "shingles", F.explode("tasks").alias("task"))
-    dealt = whole.select("task.*", "rep", "component", "sig", "shingles")
-    links = saved(dealt.groupBy("largest", "inside", "i", "j").applyInArrow(_block_links, "a long, b long"), "links")
-    drop(members)
+def _links_outside(rest: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between different components, found block by block: by signatures first, then with the sets of documents that have a possible partner."""
+    tasks = _members(rest, sigs.select("rep", "n"))
+    side = ", ".join(f"{c} {tasks.schema[c].dataType.simpleString()}" for c in tasks.columns)
+    signed = tasks.join(sigs.select("rep", "sig").hint("merge"), "rep")
+    possible = saved(signed.groupBy(TASK).applyInArrow(_block_partners, side), "partners")
+    wanted = saved(possible.select("rep").distinct(), "wanted")
+    sets = _with_sets(texts, sigs, wanted)
+    whole = possible.join(sets.hint("merge"), "rep").join(sigs.select("rep", "sig").hint("merge"), "rep")
+    links = saved(whole.groupBy(TASK).applyInArrow(_block_links, "a long, b long"), "links")
+    drop(tasks, possible, wanted, sets)
     return links
 
 
 def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components of the links so far: those of before with the new ones."""
+    every = links
     if component is not None:
-        links = links.unionAll(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return saved(connected_components(links), "components")
+        every = links.unionAll(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    out = connected_components(every)
+    drop(component, links)
+    return out
 
 
 def near_duplicates(docs: DataFrame, carry: str | None = None) -> DataFrame:
@@ -239,22 +292,29 @@ def near_duplicates(docs: DataFrame, carry: str | None = None) -> DataFrame:
     ``docs`` that each row brings along, last in the result.
     """
     own = [F.col(carry).cast("long").alias("carried")] if carry else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *own)
-    docs = rows.select("doc_id", "text")
-    features = saved(rows.mapInArrow(_features, f"doc_id long, {'carried long, ' if carry else ''}n_shingles long, k1 long, k2 long, sift array<int>"), "features")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own_text"), "text", *own)
+    shape = f"doc_id long, own_text long, {'carried long, ' if carry else ''}n_shingles long, k1 long, k2 long, sig array<int>"
+    features = saved(texts.mapInArrow(_features, shape), "features")
     taking = features.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(taking.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    first = taking.join(classes.drop("n_shingles"), ["k1", "k2"]).where("doc_id = rep").select("rep", "sift").distinct()
-    own = docs.withColumnRenamed("doc_id", "rep").join(_sifted(first), "rep", "left_semi")
-    sets = saved(own.mapInArrow(_sets, "rep long, shingles array<long>, sig array<int>, n long"), "sets")
-    sigs = sets.select("rep", "sig")
-    postings = _postings(sigs)
-    component = _merged(None, _confirmed(_agreeing(_first_pairs(postings), sigs), sets))
+    first = taking.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct(*PLACE, "sig")).alias("first"))
+    classes = saved(first.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "n_shingles", "first.*"), "classes")
+    sigs = _sifted(classes)
+    postings, component = _postings(sigs), None
+    for turn in range(ROUNDS):
+        rest = _placed(postings, component)
+        component = _merged(component, _head_links(rest, sigs, texts, turn))
+        drop(rest)
     rest = _placed(postings, component)
-    component = _merged(component, _links_outside(rest, sets))
-    drop(sets, postings, rest)
-    named = saved(classes.join(component, classes.rep == component.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("class_component")), "named")
-    out = features.drop("sift").join(named, ["k1", "k2"], "left")
-    own = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), *([F.col("carried").alias(carry)] if carry else []))
-
+    component = _merged(component, _links_outside(rest, sigs, texts))
+    drop(rest, postings, sigs)
+    joined = component.withColumnRenamed("node", "rep").hint("merge")
+    named = saved(classes.select("rep", "k1", "k2", "doc_id").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = saved(named.join(least.hint("merge"), "component").select("k1", "k2", "least"), "least")
+    drop(classes, component, named)
+    out = features.drop("sig").join(found.hint("merge"), ["k1", "k2"], "left")
+    own = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
+    judged = out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), *([F.col("carried").alias(carry)] if carry else []))
+    judged = saved(judged, "judged")
+    drop(features, found)
+    return judged

@@ -64,5 +64,5 @@ def test_common_counts_across_parts():
 def test_a_task_returns_links_that_join_components():
     sets = [np.arange(100), np.arange(100), np.arange(5, 105), np.arange(60, 160)]
     sigs = np.zeros((4, near_dup.COORDINATES), np.int32)
-    table = pa.table({"rep": [1, 2, 3, 4], "component": [1, 1, 3, 4], "left": [True] * 4, "right": [True] * 4, "shingles": [s.tolist() for s in sets], "sig": [s.tolist() for s in sigs]}, pa.schema({"rep": pa.int64(), "component": pa.int64(), "left": pa.bool_(), "right": pa.bool_(), "shingles": pa.list_(pa.int64()), "sig": pa.list_(pa.int32())}))
+    table = pa.table({"rep": [1, 2, 3, 4], "component": [1, 1, 3, 4], "n": [100] * 4, "left": [True] * 4, "right": [True] * 4, "shingles": [s.tolist() for s in sets], "sig": [s.tolist() for s in sigs]}, pa.schema({"rep": pa.int64(), "component": pa.int64(), "n": pa.int64(), "left": pa.bool_(), "right": pa.bool_(), "shingles": pa.list_(pa.int64()), "sig": pa.list_(pa.int32())}))
     assert near_dup._block_links(table).to_pylist() == [{"a": 1, "b": 3}]
