@@ -2,17 +2,21 @@
 
 A corpus is a folder of shards, in ascending doc_id order by shard number. Shard n has two files:
 
-* ``shard-n.ids``  the token ids of its documents one after another, little-endian uint16 (uint32 for a vocabulary that needs it);
-* ``shard-n.docs`` little-endian int64: the first token's place in the whole corpus, the number of documents m, the m
-  doc_ids (the smallest int64 for null), then m + 1 offsets of tokens within the shard.
-
-The place of a shard's first token is the sum of the tokens of the shards before it (a prefix sum over one number per
-shard). A task writes a temporary file and renames it, so a repeated or speculative task leaves one whole shard.
+* ``shard-n.u2.ids`` (``.u4.`` for a vocabulary that needs it) the token ids of its documents one after another, little-endian;
+* ``shard-n.docs`` little-endian int64: the number of documents m, the m doc_ids (the smallest int64 for null), then
+  m + 1 offsets of tokens within the shard.
+
+``manifest`` (little-endian int64, four a shard: its number, documents, tokens and base) is written last. A shard's base,
+the place of its first token in the whole corpus, is the sum of the tokens of the shards before it (a prefix sum over one
+number a shard). Every file is written under another name and renamed, so that a repeated or speculative task leaves one
+whole shard, and no finished file is changed.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,58 +30,80 @@ from pyspark.sql import functions as F
 from sparkloom.scratch import new_path
 
 NO_ID = np.iinfo(np.int64).min
-CACHE = 400_000
+#: Words and pieces of words whose ids a task keeps before it begins anew, and bytes of text that it encodes at a time.
+CACHE, SLICE = 300_000, 4 << 20
+#: Characters that are one letter, digit or mark for every tokenizer, also in another case: visible ASCII and the letters of Latin-1.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer whose tokens never span white space: each distinct word is encoded once and then looked up.
+    """Ids of texts by a tokenizer that parts texts by one pattern, drops white space, and encodes what the pattern matches on its own.
 
-    Only for tokenizers whose pre-tokenizer parts a text at white space and drops it. About CACHE words are kept.
+    A text is parted at ASCII white space, a PLAIN word (in lower case if the tokenizer wants that) once more by the tokenizer's pattern; the ids of such pieces are
+    looked up, and encoded by the tokenizer itself when they are new. Words with other characters or with one of the tokenizer's
+    added tokens are pieces as they are. Tokenizers of another kind are refused.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        steps = (kind["pre_tokenizer"] or {}).get("pretokenizers", [])
+        parts = [p["type"] for p in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed"
+        changes = (kind["normalizer"] or {}).get("normalizers", [kind["normalizer"]] if kind["normalizer"] else [])
+        spaces = [c["pattern"] == {"Regex": r"\s+"} and c["content"] == " " for c in changes if c["type"] == "Replace"]
+        self.lower = any(c["type"] == "Lowercase" for c in changes)
+        if not all(spaces) or not {c["type"] for c in changes} <= {"NFC", "Lowercase", "Replace"} or not parts or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+            raise ValueError(f"{path}: not a tokenizer that encodes the matches of one pattern on their own")
+        letters, pattern = "a-zA-ZÀ-ÖØ-öø-ÿ", steps[0]["pattern"]["Regex"]
+        self.pattern = re.compile(pattern.replace(r"[\p{L}]", f"[{letters}]").replace(r"\p{L}", letters).replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "0-9"))
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in kind["added_tokens"]) or "(?!)")
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        self.known: dict[str, bytes] = {}  # ids as uint32
 
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
+    def _pieces(self, word: str) -> list[str]:
+        if not PLAIN.fullmatch(word):
+            return [word]
+        own = word.lower() if self.lower else word
+        if word.isalpha():
+            return [own]
+        return [word] if self.added.search(word) else self.pattern.findall(own)
 
     def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            ids, n = found.ids, len(self.place)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if n == len(self.starts):
-                self.starts, self.lengths = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[n], self.lengths[n] = self.used, len(ids)
-            self.place[word] = n
-            self.used += len(ids)
+        known, parts = self.known, [self._pieces(w) for w in words]
+        new = list({p for ps in parts for p in ps} - known.keys())
+        for k in range(0, len(new), 4096):
+            found = self.tokenizer.encode_batch_fast(new[k : k + 4096], add_special_tokens=False)
+            known.update(zip(new[k : k + 4096], (np.array(e.ids, np.uint32).tobytes() for e in found), strict=True))
+        for word, ps in zip(words, parts, strict=True):
+            if word not in known:
+                known[word] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each has; null is empty."""
-        if len(self.place) > CACHE:
-            self.clear()
+        if len(self.known) > CACHE:
+            self.known = {}
         lists = pc.ascii_split_whitespace(column.fill_null(""))
         coded = pc.dictionary_encode(lists.flatten())
         words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.place]:
-            self._learn(new)
-        at = np.fromiter((self.place[w] for w in words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = self.lengths[at]
+        per_word = list(map(self.known.get, words))
+        if None in per_word:
+            self._learn([w for w, ids in zip(words, per_word, strict=True) if ids is None])
+            per_word = list(map(self.known.get, words))
+        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 4
+        flat = np.frombuffer(b"".join(per_word), np.uint32)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        lengths, starts = sizes[at], (np.cumsum(sizes) - sizes)[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
-        per_word = np.concatenate([[0], ends])
+        ids = flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+        per_text = np.concatenate([[0], ends])
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return ids, np.diff(per_word[offsets])
+        return ids, np.diff(per_text[offsets])
 
 
-def _row_slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _row_slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of about ``size`` bytes of text."""
     lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     cut = np.flatnonzero(np.diff(np.cumsum(lengths) // size, prepend=0))
@@ -95,59 +121,68 @@ def local_path(url: str) -> str:
     return url
 
 
+def _put(path: str, values: np.ndarray) -> None:
+    """Little-endian int64 values as a file that is there whole or not at all."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    np.asarray(values, "<i8").tofile(own)
+    os.replace(own, path)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> DataFrame:
     """Encode every whole text and write the files in ascending doc_id order; returns (shard long, n_docs long, n_tokens long, base long).
 
-    Columns used: doc_id long, text string (null: empty). Every document ends with ``end_id``. Documents are dealt to
-    shards by ranges of (doc_id, text); null ids come first, rows with one doc_id follow each other by text. An empty
-    table gives a folder without shards. The tokenizer must be one whose tokens don't span white space.
+    Columns used: doc_id long, text string (null: empty); others are ignored, whatever their names. Every document ends with
+    ``end_id``. Documents are dealt to shards by ranges of doc_id and a hash of the text; null ids come first, rows with one
+    doc_id follow each other by that hash. An empty table gives a folder without shards.
     """
     where = local_path(folder)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keys = ["doc_id", F.xxhash64("text").alias("tie")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.withColumn("tie", keys[1]).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered = docs.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         words, shard = WordTokens(tokenizer), TaskContext.get().partitionId()
         kind = np.dtype("<u2") if max(words.tokenizer.get_vocab_size(), end_id) <= 1 << 16 else np.dtype("<u4")
         os.makedirs(where, exist_ok=True)
         name = f"{where}/shard-{shard:06d}"
         own = f"{name}.{uuid.uuid4().hex}"
         doc_ids, sizes = [], []
-        with open(f"{own}.ids", "wb") as out:
+        with open(own, "wb") as out:
             for batch in batches:
                 for part in _row_slices(batch):
                     ids, counts = words.encode(part.column("text"))
-                    ends = np.cumsum(counts)
-                    np.insert(ids, ends, end_id).astype(kind).tofile(out)
+                    np.insert(ids, np.cumsum(counts), end_id).astype(kind).tofile(out)
                     sizes.append(counts + 1)
                     doc_ids.append(part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
         if not sizes:
-            os.remove(f"{own}.ids")
+            os.remove(own)
             return
         counts, kept = np.concatenate(sizes), np.concatenate(doc_ids)
-        np.concatenate([[0, len(kept)], kept, [0], np.cumsum(counts)]).astype("<i8").tofile(f"{own}.docs")
-        os.replace(f"{own}.ids", f"{name}.{kind.str[1:]}.ids")
-        os.replace(f"{own}.docs", f"{name}.docs")
+        os.replace(own, f"{name}.{kind.str[1:]}.ids")
+        _put(f"{name}.docs", np.concatenate([[len(kept)], kept, [0], np.cumsum(counts)]))
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(kept)], "n_tokens": [int(counts.sum())]})
 
-    spark = docs.sparkSession
     counts = ordered.mapInArrow(encode, "shard long, n_docs long, n_tokens long").collect()  # one row per shard
     rows, base = [], 0
     for shard, n_docs, n_tokens in sorted(map(tuple, counts)):
         rows.append((shard, n_docs, n_tokens, base))
         base += n_tokens
-    for shard, _, _, base in rows:
-        with open(f"{where}/shard-{shard:06d}.docs", "r+b") as out:
-            out.write(np.array([base], "<i8").tobytes())
+    os.makedirs(where, exist_ok=True)
+    _put(f"{where}/manifest", np.array(rows, np.int64).ravel())
+    return docs.sparkSession.createDataFrame(rows, "shard long, n_docs long, n_tokens long, base long")
+
+
+def shards_of(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, n_docs, n_tokens, base): what the manifest of a folder lists."""
+    rows = np.fromfile(f"{local_path(folder)}/manifest", "<i8").reshape(-1, 4).tolist()
     return spark.createDataFrame(rows, "shard long, n_docs long, n_tokens long, base long")
 
 
-def read_token_files(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the memory-mapped files of the given shards.
+def read_token_files(spark: SparkSession, folder: str, shards: DataFrame | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the memory-mapped files of the given shards (all by default).
 
     start counts the ids of all documents before; ids_crc32 is the unsigned CRC-32 of a document's ids as little-endian uint32.
     """
@@ -157,19 +192,20 @@ def read_token_files(spark: SparkSession, folder: str, shards: DataFrame) -> Dat
         import glob
 
         for batch in batches:
-            for shard in batch.column("shard").to_pylist():
+            for shard, base in zip(*(batch.column(c).to_pylist() for c in ("shard", "base")), strict=True):
                 docs = np.memmap(f"{where}/shard-{shard:06d}.docs", "<i8", "r")
                 (name,) = glob.glob(f"{where}/shard-{shard:06d}.*.ids")
                 ids = np.memmap(name, f"<{name.split('.')[-2]}", "r")
-                base, n = int(docs[0]), int(docs[1])
-                doc_ids, offsets = docs[2 : n + 2], docs[n + 2 :]
+                n = int(docs[0])
+                doc_ids, offsets = docs[1 : n + 1], docs[n + 1 :]
                 for i in range(0, n, 5000):
                     at = np.asarray(offsets[i : i + 5001])
                     own = np.asarray(doc_ids[i : i + 5000])
                     sums = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    wide = shards.select("shard").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard")
+    listed = shards_of(spark, folder) if shards is None else shards
+    wide = listed.select("shard", "base").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard")
     return wide.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
