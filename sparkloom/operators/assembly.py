@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.kmers import following, preceding
-from sparkloom.scratch import drop, saved
+from sparkloom.functions.kmers import following
+from sparkloom.scratch import saved
 
 
 def width(lines: DataFrame) -> DataFrame:
@@ -44,34 +46,76 @@ def dangling(kmers: DataFrame, k: int) -> DataFrame:
     return lookup(kmers, k).where("next_f is null").select("kmer", "next")
 
 
-def contigs(kmers: DataFrame, k: int) -> DataFrame:
-    """(contig, n_nodes) for every start k-mer that a chain of k-mers leads from.
+def nodes(kmers: DataFrame) -> DataFrame:
+    """(kmer, f_ext): one row a k-mer; of rows that repeat a k-mer the least extension counts."""
+    return kmers.groupBy("kmer").agg(F.min("f_ext").alias("f_ext"))
+
+
+def repeated(kmers: DataFrame) -> DataFrame:
+    """(kmer, n): k-mers that several rows have."""
+    return kmers.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1")
 
-    Every k-mer points to the one before it; each round doubles how far back it points, by a join of the pointers with
-    themselves, until all point to their start. Rounds grow with the logarithm of the longest contig. k-mers that no start
-    leads to (rings without one, or behind a gap) are left out. A ring that a start runs into raises an error: its
-    entry has two k-mers before it, and a k-mer in the table names only one.
+
+def _led(known: DataFrame, begun: DataFrame, k: int) -> DataFrame:
+    """(kmer, f_ext, back, steps, done): each k-mer with the head of its segment and how far away that is.
+
+    A segment is a run of k-mers that each follow the one before and nothing else; it begins where walks begin or meet.
+    Each round doubles how far back a k-mer points, until it points to a head; finished ones are not joined again, so
+    that no two rows of a round share a key. What is unfinished after as many rounds as the longest run can need are rings that no walk enters.
     """
-    at = saved(kmers.select("kmer", "f_ext", F.when(F.col("b_ext") == "F", F.col("kmer")).otherwise(preceding(F.col("kmer"), F.col("b_ext"), k)).alias("back"), F.when(F.col("b_ext") == "F", 0).otherwise(1).cast("long").alias("steps")), "walk")
-    entered = kmers.where("f_ext <> 'F'").select(following(F.col("kmer"), F.col("f_ext"), k).alias("kmer")).groupBy("kmer").count().where("count > 1")
-    if not entered.isEmpty():
-        raise ValueError("a k-mer has two predecessors: chains meet or a start runs into a ring")
-    before, rounds = None, 0
-    while True:
-        state = at.agg(F.sum("steps")).first()[0]
-        if state == before:
+    step = known.where("f_ext <> 'F'").select(following(F.col("kmer"), F.col("f_ext"), k).alias("kmer"), F.col("kmer").alias("before"))
+    entries = step.groupBy("kmer").agg(F.count("*").alias("n"), F.min("before").alias("before"))
+    first = begun.select(F.col("next").alias("kmer")).where("next is not null").distinct().withColumn("begins", F.lit(True))
+    single = (F.coalesce("n", F.lit(0)) == 1) & F.col("begins").isNull()
+    linked = known.join(entries, "kmer", "left").join(first, "kmer", "left")
+    at = saved(linked.select("kmer", "f_ext", F.when(single, F.col("before")).otherwise(F.col("kmer")).alias("back"), single.cast("long").alias("steps"), (~single).alias("done")), "walk")
+    done, active, left = [at.where("done")], at.where("not done"), at.where("not done").count()
+    for _ in range(max(1, left).bit_length() + 1):
+        if not left:
             break
-        hops = at.select(F.col("kmer").alias("back"), F.col("back").alias("far"), F.col("steps").alias("more"))
-        doubled = at.join(hops, "back", "left").select("kmer", "f_ext", F.coalesce("far", "back").alias("back"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-        fresh = saved(doubled, "walk")
-        drop(at)
-        at, before, rounds = fresh, state, rounds + 1
-        if rounds > 2 and (1 << (rounds - 2)) > 4 * max(1, at.count()):
-            break  # only rings still grow
-    begun = starts(kmers).select(F.col("kmer").alias("back"))
-    chains = at.join(begun, "back").groupBy("back").agg(F.array_sort(F.collect_list(F.struct("steps", "f_ext"))).alias("nodes"))
-    text = F.array_join(F.transform(F.filter("nodes", lambda x: x.f_ext != "F"), lambda x: x.f_ext), "")
-    return chains.select(F.concat("back", text).alias("contig"), F.size("nodes").cast("long").alias("n_nodes"))
+        hops = at.select(F.col("kmer").alias("back"), F.col("back").alias("far"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+        at = saved(active.join(hops, "back").select("kmer", "f_ext", F.col("far").alias("back"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done")), "walk")
+        done.append(at.where("done"))
+        # a finished k-mer is a hop for those behind it
+        active, at = at.where("not done"), reduce(DataFrame.unionAll, [*done, at.where("not done")])
+        left = active.count()
+    return reduce(DataFrame.unionAll, done)
+
+
+def walks(kmers: DataFrame, k: int) -> DataFrame:
+    """(contig, n_nodes, next, ended): the walk forwards from every start, saved. ``ended`` is false where it stops before an end: at the k-mer ``next``, which is missing or closes a ring.
+
+    A start is a row without a k-mer before it; rows that repeat start once. Walks that meet go on alike, each to its own
+    contig. Segments are put together as strings first; a walk takes as many joins as it has segments.
+    """
+    known = saved(nodes(kmers), "nodes")
+    ahead = lambda: F.when(F.col("f_ext") != "F", following(F.col("kmer"), F.col("f_ext"), k))
+    letter = lambda c: F.when(c != "F", c).otherwise("")
+    begun = starts(kmers).select("kmer", "f_ext").distinct().select(F.concat("kmer", letter(F.col("f_ext"))).alias("contig"), F.lit(1).cast("long").alias("n_nodes"), ahead().alias("next"))
+    now = saved(begun, "walks")
+    runs = _led(known, now, k).groupBy("back").agg(F.array_sort(F.collect_list(F.struct("steps", "f_ext", "kmer"))).alias("nodes"))
+    last = F.element_at("nodes", -1)
+    text = F.array_join(F.transform("nodes", lambda x: letter(x.f_ext)), "")
+    after = F.when(last.f_ext != "F", following(last.kmer, last.f_ext, k))
+    segments = saved(runs.select(F.col("back").alias("next"), text.alias("more"), F.size("nodes").cast("long").alias("own"), after.alias("after")), "segments")
+    finished, rounds = [now.where("next is null").withColumn("ended", F.lit(True))], segments.count()
+    while rounds >= 0 and not (active := now.where("next is not null")).isEmpty():
+        met = saved(active.join(segments, "next", "left"), "walks")
+        finished.append(met.where("own is null or after is null").select(F.concat("contig", F.coalesce("more", F.lit(""))).alias("contig"), (F.col("n_nodes") + F.coalesce("own", F.lit(0))).alias("n_nodes"), F.when(F.col("own").isNull(), F.col("next")).alias("next"), F.col("own").isNotNull().alias("ended")))
+        now = met.where("own is not null and after is not null").select(F.concat("contig", "more").alias("contig"), (F.col("n_nodes") + F.col("own")).alias("n_nodes"), F.col("after").alias("next"))
+        rounds -= 1  # a walk of more segments than there are is in a ring
+    finished.append(now.where("next is not null").withColumn("ended", F.lit(False)))
+    return saved(reduce(DataFrame.unionAll, finished), "walks")
+
+
+def contigs(kmers: DataFrame, k: int) -> DataFrame:
+    """(contig, n_nodes) for every start whose walk reaches an end; ``broken`` has the others."""
+    return walks(kmers, k).where("ended").select("contig", "n_nodes")
+
+
+def broken(kmers: DataFrame, k: int) -> DataFrame:
+    """(contig, n_nodes, next) of the walks that stop before an end: as far as they came, and the k-mer that is missing or closes a ring."""
+    return walks(kmers, k).where("not ended").select("contig", "n_nodes", "next")
 
 
 def stats(found: DataFrame) -> DataFrame:

@@ -38,34 +38,37 @@ def _a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.matrix(spark, sf_dir)
 
 
-def _c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.matrix(spark, sf_dir, 64)
+def _gram(a: DataFrame) -> DataFrame:
+    return matrix.product(matrix.transposed(a), a)
 
 
 @query
 def dgemm_coo(spark, sf_dir):
-    return rounded(matrix.product(_a(spark, sf_dir), _a(spark, sf_dir)), v=6)
+    return rounded(_gram(_a(spark, sf_dir)), v=6)
 
 
 @query
 def dgemm_blocked(spark, sf_dir):
-    return rounded(matrix.blocked_product(_a(spark, sf_dir), _a(spark, sf_dir), 32), v=6)
+    a = _a(spark, sf_dir)
+    return rounded(matrix.blocked_product(matrix.transposed(a), a, 32), v=6)
 
 
 @query
 def dgemm_accumulate(spark, sf_dir):
-    return rounded(matrix.accumulate(_c(spark, sf_dir), _a(spark, sf_dir), _a(spark, sf_dir)), v=6)
+    a = _a(spark, sf_dir)
+    return rounded(matrix.accumulate(a, a, _gram(a)), v=6)
 
 
 @query
 def dgemm_alpha(spark, sf_dir):
-    return rounded(matrix.accumulate(_c(spark, sf_dir), _a(spark, sf_dir), _a(spark, sf_dir), -2.5), v=6)
+    a = _a(spark, sf_dir)
+    return rounded(matrix.accumulate(a, a, _gram(a), -2.5), v=6)
 
 
 @query
 def dgemm_verify(spark, sf_dir):
     a = _a(spark, sf_dir)
-    return matrix.verify(matrix.blocked_product(a, a, 32), a, a, 64)
+    return matrix.verify(matrix.blocked_product(matrix.transposed(a), a, 32), matrix.transposed(a), a, fixtures.table(spark, sf_dir, "embeddings").count())
 
 
 @query

@@ -26,10 +26,10 @@ def particles(spark: SparkSession, sf_dir: str, params: SimParams | None = None)
     ), size
 
 
-def matrix(spark: SparkSession, sf_dir: str, first: int = 0, n: int = 64) -> DataFrame:
-    """(i, j, v): rows first .. first + n - 1 of ``embeddings`` as a matrix."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").between(first, first + n - 1))
-    return rows.select((F.col("vec_id") - first).alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, j, v): the whole of ``embeddings`` as a matrix, a row for each vec_id."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
 
 
 def sequences(spark: SparkSession, sf_dir: str, k: int = 19) -> DataFrame:
