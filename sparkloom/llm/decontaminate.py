@@ -1,10 +1,13 @@
 """Benchmark decontamination as a prefix-filtered set join, with DataFrame functions only.
 
 A window (10 consecutive words of a benchmark item, or a whole shorter item) is a set of words that a document must
-hold completely, so one word of it is prefix enough: the one that is rarest in the documents. Those prefix words are
-joined with the positions of the documents' words. A joined position fixes where the window would begin; it goes on
-only if the window would begin and end within the document (positional and length bound), and is then verified word by
+hold completely, so one word of it is prefix enough: the one that is rarest in the documents. Those prefix words meet
+the positions of the documents' words in the pass that parts the texts: a met position fixes where the window would begin; it goes on
+only if the window would begin and end within the document (positional and length bound), and is verified at once word by
 word against the document. Windows that hold are merged to runs of hit words.
+
+The prefix table is sent to every executor in parts of at most about PART_BYTES, one pass over the documents for each,
+so that a benchmark of any size is joined by the same plan. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -15,10 +18,13 @@ from pyspark.sql import functions as F
 from sparkloom.scratch import drop, saved
 
 WINDOW = 10
-#: Most prefix words for which the list is sent to every executor; a longer one is joined by a shuffle.
-BROADCAST_WORDS = 200_000
+#: Bytes of prefix words and windows that one pass over the documents sends to every executor.
+PART_BYTES = 32 << 20
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+WORDS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A text is known by two hashes of its bytes.
+TEXT = ["k1", "k2"]
 
 
 def raw_words(text: Column) -> Column:
@@ -30,6 +36,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_keys(text: str = "text") -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def _windows(items: DataFrame) -> DataFrame:
     """(item_id, window) with window an array of words; an item of fewer than WINDOW words is one window."""
     words = items.select("item_id", raw_words(ascii_lower("text")).alias("words")).where("size(words) > 0")
@@ -38,6 +48,50 @@ def _windows(items: DataFrame) -> DataFrame:
     return at.select("item_id", F.slice("words", F.col("at"), WINDOW).alias("window")).distinct()
 
 
+def _prefixes(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(folded, place, window, item_id): each window with the one of its words that is rarest in the documents, saved."""
+    windows = saved(_windows(items).withColumn("window_id", F.monotonically_increasing_id()), "windows")
+    spread = windows.select("window_id", F.posexplode("window").alias("place", "word")).withColumn("folded", F.lower("word"))
+    # lower() folds more than A-Z, so equal words have equal folded forms; the exact form is compared after the join
+    counts = docs.select(F.explode(raw_words(F.col("text"))).alias("raw")).groupBy(F.lower("raw").alias("folded")).count()
+    rarity = saved(counts.join(spread.select("folded").distinct(), "folded", "left_semi"), "rarity")
+    first = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "word", "place")
+    rarest = spread.join(rarity, "folded", "left").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    out = saved(rarest.select("window_id", "folded", "place").join(windows, "window_id").select("folded", "place", "window", "item_id"), "prefix")
+    drop(windows, rarity)
+    return out
+
+
+def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(k1, k2, n_hit, n_items, joined) for every distinct text of ``docs`` (text) that holds a window of ``items`` (item_id, text), saved; joined are the item_ids."""
+    prefix = _prefixes(docs, items)
+    weight = F.octet_length(F.array_join("window", "")) + F.octet_length("folded") + 200
+    parts = 1 + int((prefix.agg(F.sum(weight)).first()[0] or 0) // PART_BYTES)
+    words = docs.select(*text_keys(), raw_words(F.col("text")).alias("words"))
+    each = words.select(*TEXT, "words", F.posexplode("words").alias("pos", "raw")).withColumn("folded", F.lower("raw"))
+    begin, length = F.col("pos") - F.col("place"), F.size("window")
+    fits = (begin >= 0) & (begin + length <= F.size("words"))
+    holds = F.transform(F.slice("words", begin + 1, length), ascii_lower) == F.col("window")
+    tables = []
+    for n in range(parts):
+        part = prefix.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(parts)) == n)  # of about PART_BYTES
+        met = each.join(F.broadcast(part), "folded").where(fits).where(holds)
+        tables.append(saved(met.select(*TEXT, "item_id", begin.alias("begin"), length.alias("length")).distinct(), "held"))
+    held = tables[0]
+    for more in tables[1:]:
+        held = held.unionAll(more)
+
+    marks = held.select(*TEXT, "begin", "length").distinct()
+    before = Window.partitionBy(*TEXT).orderBy("begin", "length").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marks.withColumn("end", F.col("begin") + F.col("length")).withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
+    hit = ends.groupBy(*TEXT).agg(F.sum(F.greatest(F.col("end") - F.greatest("begin", "reached"), F.lit(0))).cast("long").alias("n_hit"))
+    ids = held.groupBy(*TEXT).agg(F.collect_set(F.struct("item_id")).alias("items"))
+    named = ids.select(*TEXT, F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort(F.transform("items", lambda x: x.item_id.cast("string"))), ",").alias("joined"))
+    out = saved(hit.join(named, TEXT), "hits")
+    drop(prefix, *tables)
+    return out
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every text of ``docs`` (doc_id, text) against ``items`` (item_id, text).
 
@@ -47,40 +101,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     are ignored. Rows that repeat a doc_id are judged one by one. Without items, or with items that have no words, nothing is hit; a null
     item_id counts as an item but adds nothing to the hash. Repeated items with one item_id count once.
     """
-    numbered = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "texts")
-    words = numbered.select("row", raw_words(F.col("text")).alias("words"))
-    windows = saved(_windows(items).withColumn("window_id", F.monotonically_increasing_id()), "windows")
-    vocabulary = saved(windows.select(F.explode("window").alias("word")).distinct().withColumn("folded", F.lower("word")), "vocabulary")
-
-    small = vocabulary.count() <= BROADCAST_WORDS
-    sent = F.broadcast if small else (lambda df: df)
-    # lower() folds more than A-Z, so equal words have equal folded forms; the exact form is compared after the join
-    counts = words.select(F.explode("words").alias("raw")).select(F.lower("raw").alias("folded")).join(sent(vocabulary.select("folded").distinct()), "folded").groupBy("folded").count()
-    rarity = saved(counts, "rarity")
-    spread = windows.select("window_id", F.posexplode("window").alias("place", "word")).join(vocabulary, "word").join(rarity, "folded", "left")
-    first = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "word", "place")
-    prefix = saved(spread.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("window_id", "folded", "place").join(windows, "window_id"), "prefix")
-
-    asked = prefix.select("folded").distinct()
-    positions = words.select("row", F.size("words").alias("n"), F.posexplode("words").alias("pos", "raw")).select("row", "n", "pos", F.lower("raw").alias("folded")).join(sent(asked), "folded")
-    starts = positions.groupBy("row", "folded").agg(F.collect_list("pos").alias("positions"))  # within one document
-    found = starts.groupBy("row").agg(F.collect_list(F.struct("folded", "positions")).alias("hits"))
-    texts = numbered.join(found, "row").select("row", raw_words(ascii_lower("text")).alias("words"), "hits")
-    each = texts.select("row", "words", F.explode("hits").alias("hit")).select("row", "words", F.col("hit.folded").alias("folded"), F.col("hit.positions").alias("positions"))
-    tried = each.join(sent(prefix.select("folded", "place", "window", "item_id")), "folded")
-    begins = F.transform("positions", lambda p: p - F.col("place"))
-    fits = F.filter(begins, lambda s: (s >= 0) & (s + F.size("window") <= F.size("words")))
-    holds = F.filter(fits, lambda s: F.slice("words", s + 1, F.size("window")) == F.col("window"))
-    held = saved(tried.select("row", "item_id", F.size("window").alias("length"), holds.alias("begins")).where("size(begins) > 0"), "held")
-
-    marks = held.select("row", F.explode("begins").alias("begin"), "length").distinct()
-    before = Window.partitionBy("row").orderBy("begin", "length").rowsBetween(Window.unboundedPreceding, -1)
-    ends = marks.withColumn("end", F.col("begin") + F.col("length")).withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
-    hit = ends.groupBy("row").agg(F.sum(F.greatest(F.col("end") - F.greatest("begin", "reached"), F.lit(0))).cast("long").alias("n_hit"))
-    ids = held.groupBy("row").agg(F.collect_set(F.struct("item_id")).alias("items"))
-    named = ids.select("row", F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort(F.transform("items", lambda x: x.item_id.cast("string"))), ",").alias("joined"))
-    result = saved(hit.join(named, "row"), "hits")
-    n_words = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(raw_words(F.col("text")))), F.lit(0)).cast("long")
-    out = numbered.select("row", "doc_id", n_words.alias("n_words")).join(result, "row", "left")
-    drop(windows, vocabulary, rarity, prefix, held)
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("joined", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    found = hits(docs.select("text"), items)
+    rows = docs.select("doc_id", *text_keys(), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    out = rows.join(found.hint("merge"), TEXT, "left")
+    n_hit, n_items = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_hit", "n_items"))
+    judged = saved(out.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("joined", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")), "judged")
+    drop(found)
+    return judged
