@@ -1,25 +1,28 @@
 """Benchmark decontamination as a prefix-filtered set join, with DataFrame functions only.
 
 A window (10 consecutive words of a benchmark item, or a whole shorter item) is a set of words that a document must
-hold completely, so one word of it is prefix enough: the one that is rarest in the documents. Those prefix words meet
-the positions of the documents' words in the pass that parts the texts: a met position fixes where the window would begin; it goes on
-only if the window would begin and end within the document (positional and length bound), and is verified at once word by
-word against the document. Windows that hold are merged to runs of hit words.
+hold completely, so that any of its words would do as a prefix: the PREFIX ones that are rarest in the documents. They are joined
+with the positions of the documents' words. A joined position fixes where the window would begin; it goes on
+only if the window would begin and end within the document and all prefix words give the same beginning (length and
+positional bound). What is left is verified word by word against the document, and windows that hold are merged to runs of hit words.
 
-The prefix table is sent to every executor in parts of at most about PART_BYTES, one pass over the documents for each,
-so that a benchmark of any size is joined by the same plan. No text is shuffled.
+The prefix table is sent to every executor in parts of about PART_BYTES, one pass over the documents for each, so that a
+benchmark of any size is joined by the same plan. Only texts with candidates are shuffled, once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.marks import marks, parted
 from sparkloom.scratch import drop, saved
 
-WINDOW = 10
-#: Bytes of prefix words and windows that one pass over the documents sends to every executor.
-PART_BYTES = 32 << 20
+WINDOW, PREFIX = 10, 2
+#: Bytes of prefix words that one pass over the documents sends to every executor.
+PART_BYTES = 16 << 20
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 WORDS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,47 +51,58 @@ def _windows(items: DataFrame) -> DataFrame:
     return at.select("item_id", F.slice("words", F.col("at"), WINDOW).alias("window")).distinct()
 
 
-def _prefixes(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(folded, place, window, item_id): each window with the one of its words that is rarest in the documents, saved."""
-    windows = saved(_windows(items).withColumn("window_id", F.monotonically_increasing_id()), "windows")
-    spread = windows.select("window_id", F.posexplode("window").alias("place", "word")).withColumn("folded", F.lower("word"))
-    # lower() folds more than A-Z, so equal words have equal folded forms; the exact form is compared after the join
+def _prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window_id, folded, place, length, need): the PREFIX words of each window that are rarest in the documents (all of a shorter one's), saved."""
+    spread = windows.select("window_id", F.size("window").alias("length"), F.posexplode("window").alias("place", "word")).withColumn("folded", F.lower("word"))
+    # lower() folds more than A-Z, so equal words have equal folded forms; the exact form is compared in the end
     counts = docs.select(F.explode(raw_words(F.col("text"))).alias("raw")).groupBy(F.lower("raw").alias("folded")).count()
     rarity = saved(counts.join(spread.select("folded").distinct(), "folded", "left_semi"), "rarity")
     first = Window.partitionBy("window_id").orderBy(F.coalesce("count", F.lit(0)), "word", "place")
-    rarest = spread.join(rarity, "folded", "left").withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    out = saved(rarest.select("window_id", "folded", "place").join(windows, "window_id").select("folded", "place", "window", "item_id"), "prefix")
-    drop(windows, rarity)
+    rarest = spread.join(rarity, "folded", "left").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PREFIX)
+    out = saved(rarest.select("window_id", "folded", "place", "length", F.least(F.col("length"), F.lit(PREFIX)).alias("need")), "prefix")
+    drop(rarity)
     return out
 
 
+def _candidates(docs: DataFrame, part: DataFrame) -> DataFrame:
+    """(k1, k2, window_id, begin): where all prefix words of a window stand in a text at their places, the window being within the text; saved.
+
+    Positions are gathered by text as a set, so that copies of a text count once.
+    """
+    asked = F.broadcast(part.select("folded").distinct())
+    words = docs.select(*text_keys(), raw_words(F.col("text")).alias("words"))
+    each = words.select(*TEXT, F.size("words").alias("n"), F.posexplode("words").alias("pos", "raw")).select(*TEXT, "n", "pos", F.lower("raw").alias("folded"))
+    found = each.join(asked, "folded").groupBy(*TEXT, "n").agg(F.collect_set(F.struct("folded", "pos")).alias("found"))  # within one text
+    begin = F.col("pos") - F.col("place")
+    met = found.select(*TEXT, "n", F.explode("found").alias("f")).select(*TEXT, "n", "f.*").join(F.broadcast(part), "folded")
+    fits = met.where((begin >= 0) & (begin + F.col("length") <= F.col("n")))
+    return saved(fits.groupBy(*TEXT, "window_id", begin.alias("begin"), "need").count().where("count = need").select(*TEXT, "window_id", "begin"), "candidates")
+
+
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(k1, k2, n_hit, n_items, joined) for every distinct text of ``docs`` (text) that holds a window of ``items`` (item_id, text), saved; joined are the item_ids."""
-    prefix = _prefixes(docs, items)
-    weight = F.octet_length(F.array_join("window", "")) + F.octet_length("folded") + 200
-    parts = 1 + int((prefix.agg(F.sum(weight)).first()[0] or 0) // PART_BYTES)
-    words = docs.select(*text_keys(), raw_words(F.col("text")).alias("words"))
-    each = words.select(*TEXT, "words", F.posexplode("words").alias("pos", "raw")).withColumn("folded", F.lower("raw"))
-    begin, length = F.col("pos") - F.col("place"), F.size("window")
-    fits = (begin >= 0) & (begin + length <= F.size("words"))
-    holds = F.transform(F.slice("words", begin + 1, length), ascii_lower) == F.col("window")
-    tables = []
-    for n in range(parts):
-        part = prefix.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(parts)) == n)  # of about PART_BYTES
-        met = each.join(F.broadcast(part), "folded").where(fits).where(holds)
-        tables.append(saved(met.select(*TEXT, "item_id", begin.alias("begin"), length.alias("length")).distinct(), "held"))
-    held = tables[0]
-    for more in tables[1:]:
-        held = held.unionAll(more)
-
-    marks = held.select(*TEXT, "begin", "length").distinct()
+    windows = saved(_windows(items).withColumn("window_id", F.monotonically_increasing_id()), "windows")
+    prefix = _prefixes(docs, windows)
+    parts = 1 + int((prefix.agg(F.sum(F.octet_length("folded") + 64)).first()[0] or 0) // PART_BYTES)
+    # each part is of about PART_BYTES
+    tables = [_candidates(docs, prefix.where(F.pmod(F.xxhash64("window_id"), F.lit(parts)) == n)) for n in range(parts)]
+    tried = saved(reduce(DataFrame.unionAll, tables).join(windows, "window_id").groupBy(*TEXT).agg(F.collect_list(F.struct("begin", "window", "item_id")).alias("tried")), "tried")
+    bitmap = marks(tried, TEXT)
+    keyed = docs.select(*text_keys(), "text")
+    texts = parted(keyed, TEXT, bitmap)[0].groupBy(*TEXT).agg(F.first("text").alias("text")).join(tried.hint("merge"), TEXT)
+    # the words are parted once: as a variable, not as a column that Spark may put into the inner function
+    holds = lambda words: F.filter("tried", lambda c: F.slice(words, c.begin + 1, F.size(c.window)) == c.window)
+    held = texts.select(*TEXT, F.explode(F.flatten(F.transform(F.array(raw_words(ascii_lower("text"))), holds))).alias("h")).select(*TEXT, "h.item_id", "h.begin", F.size("h.window").alias("length"))
+    held = saved(held.distinct(), "held")
+
+    spans = held.select(*TEXT, "begin", "length").distinct()
     before = Window.partitionBy(*TEXT).orderBy("begin", "length").rowsBetween(Window.unboundedPreceding, -1)
-    ends = marks.withColumn("end", F.col("begin") + F.col("length")).withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
+    ends = spans.withColumn("end", F.col("begin") + F.col("length")).withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
     hit = ends.groupBy(*TEXT).agg(F.sum(F.greatest(F.col("end") - F.greatest("begin", "reached"), F.lit(0))).cast("long").alias("n_hit"))
     ids = held.groupBy(*TEXT).agg(F.collect_set(F.struct("item_id")).alias("items"))
     named = ids.select(*TEXT, F.size("items").cast("long").alias("n_items"), F.array_join(F.array_sort(F.transform("items", lambda x: x.item_id.cast("string"))), ",").alias("joined"))
     out = saved(hit.join(named, TEXT), "hits")
-    drop(prefix, *tables)
+    drop(windows, prefix, *tables, tried, bitmap, held)
     return out
 
 
