@@ -5,7 +5,7 @@ with the least hash), so windows are dealt by minimizer: neighbouring windows wi
 bytes that they cover. A minimizer that occurs in one run alone, and there once, has no equal windows. Equal runs are counted as one content; all
 windows of a content that occurs twice repeat. Contents that share a minimizer but differ go, by minimizer, to shards
 whose suffix arrays (induced sorting) and permuted common prefixes show which of their windows repeat. A minimizer
-with more than HOT contents is dealt again by longer minimizers, so that no key has to fit one task.
+with more than HOT contents is dealt again by longer minimizers; a long minimizer that many contents share still has to fit one task.
 """
 
 from __future__ import annotations
