@@ -2,12 +2,10 @@
 
 The parser's events build blocks (the "lines" of a page: text between two block-level tags). A block's ratio is its text
 length over the number of its tags. Ratios are smoothed with a Gaussian over neighbouring blocks and parted by a
-threshold into two clusters. The page's article or main elements are a prior: if they hold at least half of the text of
-the upper cluster, each of them with a block of that cluster is given whole, with the cluster's other blocks in the same
-main element. Else the upper cluster itself is the text, with what lies between its blocks or beside them in their common
-element, and with the headings and paragraphs next to it; only blocks that are mostly links are left out there.
+threshold into two clusters. The upper cluster is the text, with what lies between its blocks or beside them in their
+common element, and with the headings and paragraphs next to it; only blocks that are mostly links are left out there.
 Navigation, headers, footers, asides, forms, scripts, styles and elements named as adverts, notices or comments never
-belong to it.
+belong to it. All steps take time in proportion to the page, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -36,8 +34,6 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks next to the main run that continue it.
 FLOWING = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption caption".split())
-#: The share of the upper cluster's text with which article or main elements count as the article.
-PRIOR = 0.5
 SPACE = re.compile(r"\s+")
 #: An open paragraph or item ends where one of these begins.
 CLOSES = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
@@ -55,15 +51,16 @@ def set_apart(names: str, words: re.Pattern) -> bool:
 
 
 class _Element:
-    __slots__ = ("apart", "article", "by_name", "holds", "linked", "main", "name", "parent", "silent")
+    __slots__ = ("apart", "block", "by_name", "depth", "holds", "linked", "mass", "name", "named", "parent", "prior", "silent", "within")
 
     def __init__(self, name: str, parent: _Element | None, apart: bool, silent: bool, by_name: bool = False):
         self.name, self.parent, self.apart, self.silent = name, parent, apart, silent
         self.by_name, self.holds = by_name, False  # set apart by its class or id; holds an article or main element
         self.linked = name == "a" or (parent is not None and parent.linked)
-        # the outermost article and main elements around
-        self.article = parent and parent.article or (self if name == "article" else None)
-        self.main = parent and parent.main or (self if name == "main" else None)
+        self.prior = name in ("article", "main") or (parent is not None and parent.prior)
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = parent.block if parent and name not in BLOCKS else self  # the block-level element around
+        self.mass, self.named, self.within = 0, False, False  # set once the page is read
 
 
 class Blocks(HTMLParser):
@@ -75,6 +72,7 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[str, int, int, _Element]] = []
         self.parts: list[str] = []
         self.elements: list[_Element] = []
+        self.open: dict[str, list[_Element]] = {}  # the open elements of each name
         self.tags = self.links = 0
 
     def _end_block(self) -> None:
@@ -84,6 +82,11 @@ class Blocks(HTMLParser):
         self.parts = []
         self.links = 0
 
+    def _leave(self, until: _Element) -> None:
+        while self.at is not until:
+            self.open[self.at.name].pop()
+            self.at = self.at.parent
+
     def handle_starttag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         if name in BLOCKS:
             self._end_block()
@@ -91,12 +94,9 @@ class Blocks(HTMLParser):
             while e.name in CLOSES and name in CLOSES[e.name]:
                 e = e.parent
             # an inline element that is open within a paragraph does not keep it open
-            probe = e
-            while probe.parent is not None and probe.name not in BLOCKS:
-                probe = probe.parent
-            if probe.name in CLOSES and name in CLOSES[probe.name]:
-                e = probe.parent
-            self.at = e
+            if e.block.name in CLOSES and name in CLOSES[e.block.name]:
+                e = e.block.parent
+            self._leave(e)
         self.tags += 1
         if name in VOID:
             if name in PARTING:
@@ -111,11 +111,12 @@ class Blocks(HTMLParser):
                 apart = True
         self.at = _Element(name, self.at, self.at.apart or apart, self.at.silent or name in SILENT, by_name)
         self.elements.append(self.at)
+        self.open.setdefault(name, []).append(self.at)
 
     def handle_startendtag(self, name: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(name, attrs)
         if name in ("svg", "math") and self.at.name == name:
-            self.at = self.at.parent
+            self._leave(self.at.parent)
 
     def handle_endtag(self, name: str) -> None:
         self.tags += 1
@@ -123,13 +124,10 @@ class Blocks(HTMLParser):
             self._end_block()
         elif name == "br":
             self.parts.append(" ")
-        e = self.at
-        while e.parent is not None and e.name != name:
-            if name not in BLOCKS and e.name in BLOCKS:
-                return  # an inline end tag ends nothing outside its block
-            e = e.parent
-        if e.parent is not None:
-            self.at = e.parent
+        own = self.open.get(name)
+        # an inline end tag ends nothing outside its block
+        if own and (name in BLOCKS or own[-1].depth > self.at.block.depth):
+            self._leave(own[-1].parent)
 
     def handle_data(self, data: str) -> None:
         if not self.at.silent:
@@ -172,12 +170,6 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
-def _above(e: _Element) -> Iterator[_Element]:
-    while e is not None:
-        yield e
-        e = e.parent
-
-
 def _upper(blocks: list[tuple[str, int, int, _Element]]) -> list[bool]:
     """Whether each block is in the upper cluster of smoothed ratios."""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in blocks])
@@ -198,47 +190,42 @@ def _without_named(blocks: list[tuple[str, int, int, _Element]], elements: list[
                 e.parent.holds = True
     if not any(e.by_name for e in elements):
         return blocks
-    mass: dict[_Element, int] = {}
+    for e in elements:  # parents before their children
+        e.named = e.by_name or e.parent.named
     everything, prior = 0, False
     for (text, _, _, e), u in zip(blocks, _upper(blocks), strict=True):
-        around = list(_above(e))
-        prior = prior or ((e.article or e.main) is not None and not any(a.by_name for a in around))
+        prior = prior or (e.prior and not e.named)
         if u:
             everything += len(text)
-            for a in around:
-                if a.by_name:
-                    mass[a] = mass.get(a, 0) + len(text)
+            e.mass += len(text)
+    for e in reversed(elements):
+        e.parent.mass += e.mass
     for e in elements:
-        if e.by_name and not prior and 2 * mass.get(e, 0) > everything:
+        if e.by_name and not prior and 2 * e.mass > everything:
             e.by_name = False
         e.apart = e.apart or e.by_name or e.parent.apart
+        e.mass = 0
     return [b for b in blocks if not b[3].apart]
 
 
-def _by_prior(blocks: list[tuple[str, int, int, _Element]], upper: list[bool]) -> list[bool] | None:
-    """The blocks of the article or main elements, where they hold PRIOR of the upper cluster's text."""
-    everything = sum(len(b[0]) for b, u in zip(blocks, upper, strict=True) if u)
-    for kind in ("article", "main"):
-        tops = [getattr(b[3], kind) for b in blocks]
-        own = {top for top, u in zip(tops, upper, strict=True) if u and top}
-        if own and sum(len(b[0]) for b, top, u in zip(blocks, tops, upper, strict=True) if u and top) >= PRIOR * everything:
-            mains = {top.main for top in own if top.main}
-            return [top in own or (u and b[3].main in mains) for b, top, u in zip(blocks, tops, upper, strict=True)]
-    return None
-
-
-def _by_clusters(blocks: list[tuple[str, int, int, _Element]], upper: list[bool]) -> list[bool]:
+def _selected(blocks: list[tuple[str, int, int, _Element]], elements: list[_Element]) -> list[bool]:
     """The upper cluster's blocks, those between them or in their common element, and the headings and paragraphs next to these."""
-    flows = [2 * links <= len(text) or e.name in HEADINGS for text, _, links, e in blocks]
+    upper = _upper(blocks)
+    names = [b[3].block.name for b in blocks]
+    flows = [2 * links <= len(text) or name in HEADINGS for (text, _, links, _), name in zip(blocks, names, strict=True)]
     core = [k for k, u in enumerate(upper) if u]
-    shared = list(_above(blocks[core[0]][3]))[::-1]  # from the root down
-    for k in core[1:]:
-        path = list(_above(blocks[k][3]))[::-1]
-        shared = [a for a, b in zip(shared, path, strict=False) if a is b]
-    region = shared[-1] if shared[-1].name not in ("", "html", "body") else None
-    inside = [k for k, b in enumerate(blocks) if region is not None and any(a is region for a in _above(b[3]))]
+    for k in core:
+        blocks[k][3].mass += 1
+    for e in reversed(elements):
+        e.parent.mass += e.mass
+    # of the elements that hold every block of the cluster the last to begin is the deepest
+    region = next((e for e in reversed(elements) if e.mass == len(core)), None)
+    if region is not None and region.name not in ("html", "body"):
+        for e in elements:
+            e.within = e is region or e.parent.within
+    inside = [k for k, b in enumerate(blocks) if b[3].within]
     first, last = min(core + inside), max(core + inside)
-    continues = [f and b[3].name in FLOWING for f, b in zip(flows, blocks, strict=True)]
+    continues = [f and name in FLOWING for f, name in zip(flows, names, strict=True)]
     while first > 0 and continues[first - 1]:
         first -= 1
     while last + 1 < len(blocks) and continues[last + 1]:
@@ -255,9 +242,7 @@ def main_text(html: str | None) -> str:
         blocks = _without_named(blocks, parser.elements)
     if not blocks:
         return ""
-    upper = _upper(blocks)
-    kept = _by_prior(blocks, upper) or _by_clusters(blocks, upper)
-    return "\n\n".join(b[0] for b, k in zip(blocks, kept, strict=True) if k)
+    return "\n\n".join(b[0] for b, k in zip(blocks, _selected(blocks, parser.elements), strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -171,6 +171,23 @@ def test_main_text_is_what_the_clusters_select():
     assert main_text(page).split("\n\n") == ["T", *texts]
 
 
+def test_main_text_needs_the_threshold_and_takes_deep_pages(monkeypatch):
+    import time
+
+    from sparkloom.llm import main_text as module
+
+    long = "a sentence of the text that goes on for a good while, " * 6
+    plain = "".join(f"<div><i>menu</i> <i>entry</i> <b>{i}</b></div>" for i in range(8))
+    page = f"<body>{plain}<div>{long}1</div><div>{long}2</div>{plain}</body>"
+    assert main_text(page).split("\n\n") == [f"{long}1", f"{long}2"]
+    monkeypatch.setattr(module, "threshold", lambda values: -1.0)
+    assert main_text(page) != f"{long}1\n\n{long}2"
+    monkeypatch.undo()
+    began = time.perf_counter()
+    assert len(main_text("<div>a" * 40_000 + "<b>x</i>" * 40_000)) > 40_000
+    assert time.perf_counter() - began < 20
+
+
 def test_main_text_within_elements_of_telling_names():
     long = "a sentence of the text that goes on for a good while, " * 6
     body = "".join(f"<p>{long}{i}</p>" for i in range(3))
