@@ -179,9 +179,10 @@ def test_main_text_needs_the_threshold_and_takes_deep_pages(monkeypatch):
     long = "a sentence of the text that goes on for a good while, " * 6
     plain = "".join(f"<div><i>menu</i> <i>entry</i> <b>{i}</b></div>" for i in range(8))
     page = f"<body>{plain}<div>{long}1</div><div>{long}2</div>{plain}</body>"
-    assert main_text(page).split("\n\n") == [f"{long}1", f"{long}2"]
+    # smoothing may lift the block on either side into the upper cluster, and no further one
+    assert [t for t in main_text(page).split("\n\n") if t not in ("menu entry 7", "menu entry 0")] == [f"{long}1", f"{long}2"]
     monkeypatch.setattr(module, "threshold", lambda values: -1.0)
-    assert main_text(page) != f"{long}1\n\n{long}2"
+    assert len(main_text(page).split("\n\n")) == 18
     monkeypatch.undo()
     began = time.perf_counter()
     assert len(main_text("<div>a" * 40_000 + "<b>x</i>" * 40_000)) > 40_000
