@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,11 @@ RULES = (UrlRule("allow", "com/"), UrlRule("block", "example.com/en/"), UrlRule(
 #: The trees are fitted on at most so many labelled URLs, those of least hash.
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 10, 4
-FEATURES = ("length", "host_length", "labels", "depth", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "parameters", "fragment", "suffix_length", "suffix_share", "ending_length", "secure")
+#: The rules name hosts by their last labels and paths by their first part, so these are no features: trees would learn the rules
+#: back and say nothing of other URLs. The suffix is that of the path's last part.
+FEATURES = ("length", "host_length", "labels", "depth", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "parameters", "fragment", "suffix_length", "suffix_count", "secure")
+#: Suffixes are counted in so many bins, so that their counts fit a broadcast whatever the table holds.
+BINS = 1024
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -54,13 +60,14 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """The columns of FEATURES but suffix_share, and the host's suffix (its last label)."""
+    """The columns of FEATURES but suffix_count, and the bin of the path's suffix (what follows the last dot of its last part)."""
     url = F.coalesce("url", F.lit(""))
     size = F.greatest(F.length(url), F.lit(1)).cast("double")
     chars = F.split(url, "")
     share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / size
     entropy = F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log(2.0, p)).otherwise(0.0))
     last = F.element_at(F.split("path", "/"), -1)
+    suffix = F.when(last.contains("."), F.substring_index(last, ".", -1)).otherwise("")
     return urls.withColumns(
         {
             "length": F.length(url).cast("double"),
@@ -73,35 +80,54 @@ def lexical(urls: DataFrame) -> DataFrame:
             "entropy": entropy,
             "parameters": F.when(url.contains("?"), _count(url, "[?&][^?&#]")).otherwise(0.0),
             "fragment": url.contains("#").cast("double"),
-            "suffix": F.substring_index("host", ".", -1),
-            "suffix_length": F.length(F.substring_index("host", ".", -1)).cast("double"),
-            "ending_length": F.when(last.contains("."), F.length(F.substring_index(last, ".", -1))).otherwise(0).cast("double"),
+            "bin": F.pmod(F.xxhash64(suffix), F.lit(BINS)),
+            "suffix_length": F.length(suffix).cast("double"),
             "secure": url.startswith("https").cast("double"),
         }
     )
 
 
+def examples(every: DataFrame) -> DataFrame:
+    """The distinct URLs that a rule judges, with ``label`` (1.0 to block), the features, and ``held_out`` for a fifth of them by hash."""
+    label = (F.col("fit.ruling") == "block").cast("double").alias("label")
+    held_out = (F.pmod(F.xxhash64("url", F.lit("held out")), F.lit(5)) == 0).alias("held_out")
+    return every.where("fit is not null").select("url", label, held_out, *FEATURES).dropDuplicates(["url"])
+
+
+def featured(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
+    """page_id, url, host, path, ``fit`` (the rule, or null) and FEATURES of every row of ``pages``."""
+    own = lexical(parsed(pages.select("page_id", "url")).withColumn("fit", fitting(rules)))
+    bins = own.groupBy("bin").count()  # at most BINS rows
+    shares = bins.select(F.col("bin").alias("of"), F.log1p("count").alias("suffix_count"))
+    return own.join(F.broadcast(shares), own.bin == shares.of).drop("of", "bin")
+
+
+def fitted(sample: DataFrame) -> PipelineModel | None:
+    """Boosted trees on ``sample``, both verdicts weighing the same in all; None if it holds one verdict or none."""
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}  # two rows at most
+    if len(counts) < 2:
+        return None
+    weight = F.when(F.col("label") == 1.0, 0.5 / counts[1.0]).otherwise(0.5 / counts[0.0]) * sum(counts.values())
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=1)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), trees]).fit(sample.withColumn("weight", weight))
+
+
 def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of ``pages`` (page_id, url).
+    """page_id, host, path, rule, verdict, block_probability for every row of ``pages`` (page_id, url).
 
     A URL that a rule fits gets the rule's verdict, and is a labelled example. The others get that of gradient-boosted trees fitted
-    on the examples (at most TRAIN_ROWS distinct URLs); if the examples have one verdict only, that one; without examples ``allow``.
-    A null URL, or one without ``://``, has empty host and path and is judged by the trees like any other. Rows that repeat
-    are judged alike.
+    on the examples that are not held out (at most TRAIN_ROWS distinct URLs); if these have one verdict only, that one; without any
+    ``allow``. ``block_probability`` is the trees' own, for rows with a rule too, and null without trees.
+    A null URL, or one without ``://``, has empty host and path and is judged by the trees like any other; a URL is read whole,
+    however long. Rows that repeat are judged alike, an empty table gives an empty one, other columns are ignored.
     """
-    own = lexical(parsed(pages.select("page_id", "url")).withColumn("fit", fitting(rules)))
-    suffixes = saved(own.groupBy("suffix").count(), "suffixes")
-    total = suffixes.agg(F.sum("count")).first()[0] or 1
-    shares = suffixes.select(F.col("suffix").alias("of"), (F.log1p("count") / F.log1p(F.lit(total))).alias("suffix_share"))
-    every = saved(own.join(shares, own.suffix == shares.of).drop("of"), "urls")
-    labelled = every.where("fit is not null").select("url", (F.col("fit.ruling") == "block").cast("double").alias("label"), *FEATURES).dropDuplicates(["url"])
-    sample = saved(labelled.orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS), "examples")
-    kinds = [r[0] for r in sample.select("label").distinct().collect()]  # two at most
-    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    if len(kinds) == 2:
-        model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1).fit(assembler.transform(sample))
-        judged = model.transform(assembler.transform(every)).withColumn("method", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
+    every = saved(featured(pages, rules), "urls")
+    sample = saved(examples(every).where("not held_out").orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS), "examples")
+    if model := fitted(sample):
+        judged = model.transform(every).withColumn("block_probability", vector_to_array("probability")[1])
+        judged = judged.withColumn("method", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
     else:
-        judged = every.withColumn("method", F.lit("block" if kinds == [1.0] else "allow"))
-    drop(suffixes, sample)
-    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.ruling", "method").alias("verdict"))
+        only = "block" if sample.where("label = 1.0").limit(1).count() else "allow"
+        judged = every.withColumns({"method": F.lit(only), "block_probability": F.lit(None).cast("double")})
+    drop(sample)
+    return judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.ruling", "method").alias("verdict"), "block_probability")

@@ -136,6 +136,28 @@ def test_urls(spark):
     assert {r.verdict for r in filter_urls(pages.where(F.col("page_id") == 5)).collect()} == {"allow"}
 
 
+def test_url_trees_tell_urls_that_no_rule_judges(spark):
+    """Blocked hosts have digits and hyphens, allowed ones words: held-out examples and URLs of other hosts are told apart."""
+    from sparkloom.llm.url_filter import UrlRule, examples, featured, fitted
+
+    def urls(end):
+        good = [f"https://words{chr(97 + i % 26)}.example.{end}/en/page/{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+        bad = [f"http://win-{i}-{i * 7919 % 10007}.bad.{end}/x?id={i * 31}&ref={i}&q=9" for i in range(150)]
+        return good + bad
+
+    rules = (UrlRule("allow", "example.com/"), UrlRule("block", "bad.com/"))
+    every = urls("com") + urls("org") + ["http://win-1.bad.org/" + "9" * 100_000]
+    pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(every)], "page_id long, url string, bin int")
+    table = featured(pages, rules).cache()
+    sample = examples(table)
+    tested = fitted(sample.where("not held_out")).transform(sample.where("held_out")).select((F.col("prediction") == F.col("label")).alias("right")).collect()
+    assert len(tested) > 30 and sum(r.right for r in tested) >= 0.9 * len(tested)
+    got = {r.page_id: r for r in filter_urls(pages, rules).collect()}
+    assert all(got[i].rule is None for i in range(300, 601))
+    assert sum(got[i].verdict == ("allow" if i < 450 else "block") for i in range(300, 601)) >= 0.9 * 301
+    assert all((got[i].block_probability > 0.5) == (got[i].verdict == "block") for i in range(300, 601))
+
+
 def test_pieces_and_words_as_the_libraries_give_them(spark):
     import sentencepiece
     from tokenizers import Tokenizer
