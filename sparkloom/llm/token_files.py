@@ -30,18 +30,19 @@ from pyspark.sql import functions as F
 from sparkloom.scratch import new_path
 
 NO_ID = np.iinfo(np.int64).min
-#: Words and pieces of words whose ids a task keeps before it begins anew, and bytes of text that it encodes at a time.
-CACHE, SLICE = 300_000, 4 << 20
+#: Pieces of words whose ids a task keeps before it begins anew, bytes of text that it encodes at a time, and pieces that go to the tokenizer as one text.
+CACHE, SLICE, JOINED = 300_000, 4 << 20, 4096
 #: Characters that are one letter, digit or mark for every tokenizer, also in another case: visible ASCII and the letters of Latin-1.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN = "[!-~À-ÖØ-öø-ÿ]+"
 
 
 class WordTokens:
     """Ids of texts by a tokenizer that parts texts by one pattern, drops white space, and encodes what the pattern matches on its own.
 
-    A text is parted at ASCII white space, a PLAIN word (in lower case if the tokenizer wants that) once more by the tokenizer's pattern; the ids of such pieces are
-    looked up, and encoded by the tokenizer itself when they are new. Words with other characters or with one of the tokenizer's
-    added tokens are pieces as they are. Tokenizers of another kind are refused.
+    A text is parted at ASCII white space, a PLAIN word (in lower case if the tokenizer wants that) once more by the tokenizer's pattern. Distinct
+    pieces are looked up; new ones go to the tokenizer many at a time, with spaces between them, if their
+    last ids can be told by the vocabulary's end-of-word suffix. Words with other characters or
+    with one of the tokenizer's added tokens are pieces as they are, encoded on their own. Tokenizers of another kind are refused.
     """
 
     def __init__(self, path: str):
@@ -57,50 +58,75 @@ class WordTokens:
         if not all(spaces) or not {c["type"] for c in changes} <= {"NFC", "Lowercase", "Replace"} or not parts or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
             raise ValueError(f"{path}: not a tokenizer that encodes the matches of one pattern on their own")
         letters, pattern = "a-zA-ZÀ-ÖØ-öø-ÿ", steps[0]["pattern"]["Regex"]
-        self.pattern = re.compile(pattern.replace(r"[\p{L}]", f"[{letters}]").replace(r"\p{L}", letters).replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "0-9"))
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in kind["added_tokens"]) or "(?!)")
+        self.pattern = pattern.replace(r"[\p{L}]", f"[{letters}]").replace(r"\p{L}", letters).replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "0-9")
+        if not all(re.fullmatch(self.pattern, chr(c)) for c in range(0x21, 0x100) if re.match(PLAIN, chr(c))):
+            raise ValueError(f"{path}: its pattern drops characters other than white space")
+        self.added = "|".join(re.escape(t["content"]) for t in kind["added_tokens"])
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = kind["model"].get("end_of_word_suffix")  # the last id of every piece, and no other, has it
+        self.ends = np.zeros(1 + max(kind["model"]["vocab"].values()), bool)
+        self.ends[[i for t, i in kind["model"]["vocab"].items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}  # ids as uint32
 
-    def _pieces(self, word: str) -> list[str]:
-        if not PLAIN.fullmatch(word):
-            return [word]
-        own = word.lower() if self.lower else word
-        if word.isalpha():
-            return [own]
-        return [word] if self.added.search(word) else self.pattern.findall(own)
-
-    def _learn(self, words: list[str]) -> None:
-        known, parts = self.known, [self._pieces(w) for w in words]
-        new = list({p for ps in parts for p in ps} - known.keys())
-        for k in range(0, len(new), 4096):
-            found = self.tokenizer.encode_batch_fast(new[k : k + 4096], add_special_tokens=False)
-            known.update(zip(new[k : k + 4096], (np.array(e.ids, np.uint32).tobytes() for e in found), strict=True))
-        for word, ps in zip(words, parts, strict=True):
-            if word not in known:
-                known[word] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+    def _plain(self, words: pa.Array) -> pa.Array:
+        plain = pc.match_substring_regex(words, f"^{PLAIN}$")
+        return pc.and_not(plain, pc.match_substring_regex(words, self.added)) if self.added else plain
+
+    def _pieces(self, words: pa.Array) -> pa.Array:
+        """The list of each word's pieces."""
+        plain, own = self._plain(words), words
+        if self.lower:
+            own = pc.utf8_lower(words)
+            plain = pc.and_(plain, self._plain(own))
+        parted = pc.ascii_trim_whitespace(pc.replace_substring_regex(own, f"({self.pattern})", r"\1 "))
+        return pc.ascii_split_whitespace(pc.if_else(plain, parted, words))
+
+    def _learn(self, pieces: pa.Array) -> None:
+        plain = self._plain(pieces)
+        for names, joined in ((pieces.filter(plain).to_pylist(), True), (pieces.filter(pc.invert(plain)).to_pylist(), False)):
+            for k in range(0, len(names), JOINED):
+                some = names[k : k + JOINED]
+                if joined and self.ends.any():
+                    (found,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+                    ids = np.array(found.ids, np.uint32)
+                    cuts = [0, *(4 + 4 * np.flatnonzero(self.ends[ids])).tolist()]
+                    if len(cuts) == len(some) + 1:
+                        whole = ids.tobytes()
+                        self.known.update(zip(some, [whole[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+                        continue
+                each = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                self.known.update(zip(some, (np.array(e.ids, np.uint32).tobytes() for e in each), strict=True))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each has; null is empty."""
         if len(self.known) > CACHE:
             self.known = {}
         lists = pc.ascii_split_whitespace(column.fill_null(""))
-        coded = pc.dictionary_encode(lists.flatten())
-        words = coded.dictionary.to_pylist()
-        per_word = list(map(self.known.get, words))
-        if None in per_word:
-            self._learn([w for w, ids in zip(words, per_word, strict=True) if ids is None])
-            per_word = list(map(self.known.get, words))
-        sizes = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 4
-        flat = np.frombuffer(b"".join(per_word), np.uint32)
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        lengths, starts = sizes[at], (np.cumsum(sizes) - sizes)[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
-        per_text = np.concatenate([[0], ends])
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return ids, np.diff(per_text[offsets])
+        words = pc.dictionary_encode(lists.flatten())
+        pieces = self._pieces(words.dictionary)
+        coded = pc.dictionary_encode(pieces.flatten())
+        names = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, names))
+        if None in ids:
+            self._learn(coded.dictionary.filter(pa.array([i is None for i in ids])))
+            ids = list(map(self.known.get, names))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        flat, per_word = _gathered(flat, sizes, coded.indices.to_numpy(zero_copy_only=False), _offsets(pieces))
+        return _gathered(flat, per_word, words.indices.to_numpy(zero_copy_only=False), _offsets(lists))
+
+
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    return lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of ``flat`` (cut in runs of ``sizes``) one after another, and how many values those between two offsets have."""
+    lengths, starts = sizes[at], (np.cumsum(sizes) - sizes)[at]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    values = flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+    return values, np.diff(np.concatenate([[0], ends])[offsets])
 
 
 def _row_slices(batch: pa.RecordBatch, size: int = SLICE) -> Iterator[pa.RecordBatch]:
