@@ -5,7 +5,8 @@ with the least hash), so windows are dealt by minimizer: neighbouring windows wi
 bytes that they cover. A minimizer that occurs in one run alone, and there once, has no equal windows. Equal runs are counted as one content; all
 windows of a content that occurs twice repeat. Contents that share a minimizer but differ go, by minimizer, to shards
 whose suffix arrays (induced sorting) and permuted common prefixes show which of their windows repeat. A minimizer
-with more than HOT contents is dealt again by longer minimizers; a long minimizer that many contents share still has to fit one task.
+with more than HOT contents is dealt again by longer minimizers. Runs that share a long minimizer and together exceed SHARD bytes (a passage
+with many different texts beside it) are parted into their windows, which Spark counts by their bytes: no key has to fit one task.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ GRAM, LONG_GRAM = 32, 184
 HOT = 5000
 #: Bytes of one suffix array, and most windows of a run.
 SHARD, RUN = 4 << 20, 400
+#: Parts of a window's occurrences.
+SALT = 16
 KEY = ["gram", "content", "size"]
 
 
@@ -125,6 +128,25 @@ def _dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*own, pa.array(gram.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(cut, pa.binary())], [*KEY, "deal", "at", "bytes"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs cut into their windows of LENGTH bytes; ``at`` is where a window begins in its content."""
+    for batch in batches:
+        sizes = np.array([len(b) - LENGTH + 1 for b in batch.column("bytes").to_pylist()], np.int64)
+        for i, j in slices(np.append(0, np.cumsum(sizes * LENGTH))):
+            cut = [b[k : k + LENGTH] for b in batch.column("bytes")[i:j].to_pylist() for k in range(len(b) - LENGTH + 1)]
+            row = np.repeat(np.arange(i, j), sizes[i:j])
+            own = np.arange(len(row)) - np.repeat(np.cumsum(sizes[i:j]) - sizes[i:j], sizes[i:j])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(row)) for c in KEY], pa.array((batch.column("at").to_numpy()[row] + own).astype(np.int32)), pa.array(cut, pa.binary())], [*KEY, "at", "bytes"])
+
+
+def _equal_windows(runs: DataFrame) -> DataFrame:
+    """(gram, content, size, first, last) of the windows in ``runs`` whose bytes occur twice in them, whatever their number."""
+    each = saved(runs.mapInArrow(_windows, "gram long, content long, size int, at int, bytes binary"), "parted")
+    twice = each.groupBy("bytes").agg(F.count("*").alias("n")).where("n > 1").select("bytes", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    dealt = each.withColumn("salt", F.pmod(F.xxhash64(*KEY, "at"), F.lit(SALT)).cast("int"))
+    return dealt.join(twice, ["bytes", "salt"], "left_semi").select(*KEY, F.col("at").alias("first"), (F.col("at") + 1).alias("last"))
+
+
 def repeated_windows(contents: list[bytes]) -> list[np.ndarray]:
     """For each content, the places of its windows that occur anywhere else in the contents, by a suffix array over all of them."""
     lengths = np.array([len(c) + 1 for c in contents])
@@ -133,7 +155,7 @@ def repeated_windows(contents: list[bytes]) -> list[np.ndarray]:
     ends = np.cumsum(lengths) - 1
     symbols = joined[:n].astype(np.int64) + 1
     symbols[ends] = 0
-    array = suffix_array(symbols, LENGTH, 256)
+    array = suffix_array(symbols, 256)
     common = common_prefixes(joined, array, LENGTH)
     owner = np.repeat(np.arange(len(contents)), lengths)
     whole = np.arange(n) + LENGTH <= ends[owner]
@@ -222,12 +244,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = named.select("doc", "tie", "text").join(wanted, ["doc", "tie"])
     cut = saved(texts.mapInArrow(_contents, "gram long, content long, size int, bytes binary"), "cut")
     cold = cut.join(hot, "gram", "left_anti").select(*KEY, F.col("gram").alias("deal"), F.lit(0).alias("at"), "bytes")
-    again = cut.join(hot, "gram", "left_semi").mapInArrow(_dealt_again, "gram long, content long, size int, deal long, at int, bytes binary")
-    dealt = cold.unionByName(again).repartition("deal").sortWithinPartitions("deal")
+    again = saved(cut.join(hot, "gram", "left_semi").mapInArrow(_dealt_again, "gram long, content long, size int, deal long, at int, bytes binary"), "again")
+    large = saved(again.groupBy("deal").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > SHARD).select("deal"), "large")
+    dealt = cold.unionByName(again.join(large, "deal", "left_anti")).repartition("deal").sortWithinPartitions("deal")
     found = dealt.mapInArrow(_searched, "gram long, content long, size int, first int, last int")
+    found = found.unionByName(_equal_windows(again.join(large, "deal", "left_semi")))
     whole = contents.where("n > 1").select(*KEY, F.lit(0).alias("first"), F.col("size").alias("last"))
     windows = saved(found.unionByName(whole).distinct(), "windows")
     spans = met.join(windows, KEY).select("doc", "tie", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH - 1).alias("b"))
     by_text = saved(spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    drop(twice, met, contents, mixed, hot, cut, windows)
+    drop(twice, met, contents, mixed, hot, cut, again, large, windows)
     return named.join(by_text, ["doc", "tie"], "left").select("doc_id", "text", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -1,9 +1,12 @@
-"""Suffix arrays by induced sorting, with whole buckets handled at once in NumPy."""
+"""Suffix arrays by induced sorting: whole buckets at once in NumPy where the alphabet is small, suffix by suffix where it is large."""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Suffixes a bucket must have on average for scans by bucket to be the faster ones.
+BUCKET = 64
+
 
 def _types(text: np.ndarray) -> np.ndarray:
     """True for S-type suffixes (smaller than the next one). The end of the text counts as the smallest suffix."""
@@ -63,70 +66,80 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.nda
     return array
 
 
-def _ranked(names: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a string of many symbols by their first ``depth`` symbols, doubling the sorted length each round."""
-    n, length = len(names), 1
-    rank = names.astype(np.int64)
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - length] = rank[length:] if length < n else after[:0]
-        key = rank * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
-        rank, length = fresh, 2 * length
-        if length >= depth or length >= n or rank[order[-1]] == n - 1:
-            return order
-
-
-def suffix_array(text: np.ndarray, depth: int, largest: int | None = None) -> np.ndarray:
-    """The suffixes of ``text`` (non-negative integers) in the order of their first ``depth`` symbols at least.
+def _induce_each(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What ``_induce`` gives, by the same two scans suffix by suffix, for alphabets so large that most buckets hold few suffixes."""
+    n, symbols, kinds = len(text), text.tolist(), s_type.tolist()
+    ends = np.cumsum(sizes)
+    front, back = (ends - sizes).tolist(), ends.tolist()
+    array = [-1] * n
+    for i in reversed(lms.tolist()):
+        c = symbols[i]
+        back[c] = at = back[c] - 1
+        array[at] = i
+    c = symbols[n - 1]
+    array[front[c]] = n - 1
+    front[c] += 1
+    for i in array:  # grows ahead of the scan
+        if i > 0 and not kinds[i - 1]:
+            c = symbols[i - 1]
+            array[front[c]] = i - 1
+            front[c] += 1
+    back = ends.tolist()
+    for i in reversed(array):
+        if i > 0 and kinds[i - 1]:
+            c = symbols[i - 1]
+            back[c] = at = back[c] - 1
+            array[at] = i - 1
+    return np.array(array, np.int64)
+
+
+def suffix_array(text: np.ndarray, largest: int | None = None) -> np.ndarray:
+    """The suffixes of ``text`` (non-negative integers) in order; the end of the text counts as the smallest suffix.
 
     Suffixes are classified, the leftmost S-type (LMS) substrings sorted by one induced pass and named, the string of names
-    ranked, recursively while its alphabet is small, and all suffixes induced from that in linear time. Names that are
-    too many to scan bucket by bucket are ranked by doubling instead.
+    sorted recursively unless all names differ, and all suffixes induced from that in linear time.
     """
     n = len(text)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: text[i:].tolist()), np.int64)
     sigma = (int(text.max()) if largest is None else largest) + 1
     sizes = np.bincount(text, minlength=sigma)
+    induce = _induce if sigma * BUCKET <= n else _induce_each
     s_type = _types(text)
     is_lms = s_type.copy()
     is_lms[0] = False
     is_lms[1:] &= ~s_type[:-1]
     lms = np.flatnonzero(is_lms)
     if len(lms) > 1:
-        by_symbol = lms[np.argsort(text[lms], kind="stable")]
-        array = _induce(text, s_type, by_symbol, sizes)
-        ordered = array[is_lms[array]]
-        place = np.full(n, -1, np.int64)
-        place[lms] = np.arange(len(lms))
-        length = np.diff(np.append(lms, n - 1)) + 1  # with the first symbol of the next
-        length[-1] = n - lms[-1] + 1  # the last one ends with the end of the text and equals no other
-        own = length[place[ordered]]
-        same = own[1:] == own[:-1]
-        a, b = ordered[1:][same], ordered[:-1][same]
-        left, alive, k = own[1:][same], np.arange(int(same.sum())), 0
-        equal = np.ones(len(alive), bool)
-        while len(alive):
-            alive = alive[left[alive] > k]
-            differ = text[np.minimum(a[alive] + k, n - 1)] != text[np.minimum(b[alive] + k, n - 1)]
-            equal[alive[differ]] = False
-            alive, k = alive[~differ], k + 1
-        new = np.ones(len(ordered), bool)
-        new[1:][same] = ~equal
-        names = np.empty(len(lms), np.int64)
-        names[place[ordered]] = np.cumsum(new) - 1
+        names = _names(text, lms, is_lms, induce(text, s_type, lms[np.argsort(text[lms], kind="stable")], sizes))
         distinct = int(names.max()) + 1
-        if distinct == len(lms):
-            order = np.argsort(names)
-        elif distinct <= max(256, len(lms) // 2000):
-            order = suffix_array(names, depth, distinct - 1)
-        else:
-            order = _ranked(names, depth)
-        lms = lms[order]
-    return _induce(text, s_type, lms, sizes)
+        lms = lms[np.argsort(names) if distinct == len(lms) else suffix_array(names, distinct - 1)]
+    return induce(text, s_type, lms, sizes)
+
+
+def _names(text: np.ndarray, lms: np.ndarray, is_lms: np.ndarray, array: np.ndarray) -> np.ndarray:
+    """For each LMS place, in text order, the rank of its LMS substring; equal substrings have one rank. ``array`` has them sorted."""
+    n = len(text)
+    ordered = array[is_lms[array]]
+    place = np.full(n, -1, np.int64)
+    place[lms] = np.arange(len(lms))
+    length = np.diff(np.append(lms, n - 1)) + 1  # with the first symbol of the next
+    length[-1] = n - lms[-1] + 1  # the last one ends with the end of the text and equals no other
+    own = length[place[ordered]]
+    same = own[1:] == own[:-1]
+    a, b = ordered[1:][same], ordered[:-1][same]
+    left, alive, k = own[1:][same], np.arange(int(same.sum())), 0
+    equal = np.ones(len(alive), bool)
+    while len(alive):
+        alive = alive[left[alive] > k]
+        differ = text[np.minimum(a[alive] + k, n - 1)] != text[np.minimum(b[alive] + k, n - 1)]
+        equal[alive[differ]] = False
+        alive, k = alive[~differ], k + 1
+    new = np.ones(len(ordered), bool)
+    new[1:][same] = ~equal
+    names = np.empty(len(lms), np.int64)
+    names[place[ordered]] = np.cumsum(new) - 1
+    return names
 
 
 def common_prefixes(data: np.ndarray, array: np.ndarray, cap: int) -> np.ndarray:
