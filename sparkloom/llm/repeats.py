@@ -5,7 +5,7 @@ with the least hash), so windows are dealt by minimizer: neighbouring windows wi
 bytes that they cover. A minimizer that occurs in one run alone, and there once, has no equal windows. Equal runs are counted as one content; all
 windows of a content that occurs twice repeat. Contents that share a minimizer but differ go, by minimizer, to shards
 whose suffix arrays (induced sorting) and permuted common prefixes show which of their windows repeat. A minimizer
-with more than HOT contents is dealt again by longer minimizers. Runs that share a long minimizer and together exceed SHARD bytes (a passage
+with more than HOT contents is dealt again by longer minimizers. Runs that share a long minimizer and together exceed LARGE bytes (a passage
 with many different texts beside it) are parted into their windows, which Spark counts by their bytes: no key has to fit one task.
 """
 
@@ -26,8 +26,8 @@ from sparkloom.scratch import drop, saved
 LENGTH = 200
 GRAM, LONG_GRAM = 32, 184
 HOT = 5000
-#: Bytes of one suffix array, and most windows of a run.
-SHARD, RUN = 4 << 20, 400
+#: Bytes of one suffix array (small enough for the caches of a core), bytes of a group beyond which it is parted, and most windows of a run.
+SHARD, LARGE, RUN = 1 << 19, 4 << 20, 400
 #: Parts of a window's occurrences.
 SALT = 16
 KEY = ["gram", "content", "size"]
@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cut = saved(texts.mapInArrow(_contents, "gram long, content long, size int, bytes binary"), "cut")
     cold = cut.join(hot, "gram", "left_anti").select(*KEY, F.col("gram").alias("deal"), F.lit(0).alias("at"), "bytes")
     again = saved(cut.join(hot, "gram", "left_semi").mapInArrow(_dealt_again, "gram long, content long, size int, deal long, at int, bytes binary"), "again")
-    large = saved(again.groupBy("deal").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > SHARD).select("deal"), "large")
+    large = saved(again.groupBy("deal").agg(F.sum(F.octet_length("bytes")).alias("n")).where(F.col("n") > LARGE).select("deal"), "large")
     dealt = cold.unionByName(again.join(large, "deal", "left_anti")).repartition("deal").sortWithinPartitions("deal")
     found = dealt.mapInArrow(_searched, "gram long, content long, size int, first int, last int")
     found = found.unionByName(_equal_windows(again.join(large, "deal", "left_semi")))

@@ -68,26 +68,33 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.nda
 
 def _induce_each(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """What ``_induce`` gives, by the same two scans suffix by suffix, for alphabets so large that most buckets hold few suffixes."""
-    n, symbols, kinds = len(text), text.tolist(), s_type.tolist()
-    ends = np.cumsum(sizes)
+    n, ends = len(text), np.cumsum(sizes)
     front, back = (ends - sizes).tolist(), ends.tolist()
     array = [-1] * n
-    for i in reversed(lms.tolist()):
-        c = symbols[i]
+    for i, c in zip(lms[::-1].tolist(), text[lms[::-1]].tolist(), strict=True):
         back[c] = at = back[c] - 1
         array[at] = i
-    c = symbols[n - 1]
-    array[front[c]] = n - 1
-    front[c] += 1
+
+    def symbol_before(wanted: np.ndarray) -> list[int]:
+        """For each place the symbol before it if its suffix is wanted, else -1; the last entry serves places not yet filled."""
+        out = np.full(n + 1, -1, np.int64)
+        out[1:n] = np.where(wanted[:-1], text[:-1], -1)
+        return out.tolist()
+
+    last = int(text[-1])
+    array[front[last]] = n - 1
+    front[last] += 1
+    before = symbol_before(~s_type)
     for i in array:  # grows ahead of the scan
-        if i > 0 and not kinds[i - 1]:
-            c = symbols[i - 1]
-            array[front[c]] = i - 1
-            front[c] += 1
-    back = ends.tolist()
+        c = before[i]
+        if c >= 0:
+            at = front[c]
+            array[at] = i - 1
+            front[c] = at + 1
+    before, back = symbol_before(s_type), ends.tolist()
     for i in reversed(array):
-        if i > 0 and kinds[i - 1]:
-            c = symbols[i - 1]
+        c = before[i]
+        if c >= 0:
             back[c] = at = back[c] - 1
             array[at] = i - 1
     return np.array(array, np.int64)

@@ -33,10 +33,10 @@ def removed(texts: list[bytes]) -> list[int]:
     return out
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(3, 500), (3, 1 << 20), (5000, 4 << 20)])
-def test_passages_with_different_texts_beside_them(spark, monkeypatch, hot, shard):
+@pytest.mark.parametrize(("hot", "large"), [(3, 500), (3, 1 << 20), (5000, 4 << 20)])
+def test_passages_with_different_texts_beside_them(spark, monkeypatch, hot, large):
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "SHARD", shard)
+    monkeypatch.setattr(repeats, "LARGE", large)
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     passages = [word(n) for n in (190, 199, 200, 230)]
