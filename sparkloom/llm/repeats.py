@@ -6,7 +6,7 @@ bytes that they cover. A minimizer that occurs in one run alone, and there once,
 windows of a content that occurs twice repeat. Contents that share a minimizer but differ go, by minimizer, to shards
 whose suffix arrays (induced sorting) and permuted common prefixes show which of their windows repeat. A minimizer
 with more than HOT contents is dealt again by longer minimizers. Runs that share a long minimizer and together exceed LARGE bytes (a passage
-with many different texts beside it) are parted into their windows, which Spark counts by their bytes: no key has to fit one task.
+with many different texts beside it) are parted into their windows, which Spark counts by their bytes: no group has to fit one suffix array.
 """
 
 from __future__ import annotations
