@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +12,7 @@ from sparkloom.llm.language import languages
 from sparkloom.llm.main_text import extract
 from sparkloom.llm.near_dup import near_duplicates
 from sparkloom.llm.neighbours import nearest
+from sparkloom.llm.periodic import periodic_runs, run_digests
 from sparkloom.llm.pieces import piece_digests
 from sparkloom.llm.repeats import remove_repeats
 from sparkloom.llm.secrets import secret_digests
@@ -72,5 +74,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_near_duplicates, op3_token_files, op4_languages, op5_pieces, op6_main_text, op7_url_filter, op8_contamination, op9_repeats, op10_secrets)}
+def _with_loops(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words with a loop put in where crc32(doc_id as text) is divisible by 10: from a word on, the block of words there again and again."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    return words[:first] + (words[first : first + period] * (-(-(n - first) // period)))[: n - first]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(_table(spark, sf_dir, "documents"), rewrite=_with_loops))
+
+
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_near_duplicates, op3_token_files, op4_languages, op5_pieces, op6_main_text, op7_url_filter, op8_contamination, op9_repeats, op10_secrets, op11_periodic_runs)}
 SQL: dict[str, str] = {}
