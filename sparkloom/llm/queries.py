@@ -16,6 +16,7 @@ from sparkloom.llm.periodic import periodic_runs, run_digests
 from sparkloom.llm.pieces import piece_digests
 from sparkloom.llm.repeats import remove_repeats
 from sparkloom.llm.secrets import secret_digests
+from sparkloom.llm.shards import byte_shards
 from sparkloom.llm.spelling import spelling_groups, word_counts
 from sparkloom.llm.token_files import token_table
 from sparkloom.llm.url_filter import filter_urls
@@ -90,6 +91,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(_table(spark, sf_dir, "documents"), rewrite=_with_loops))
 
 
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_shards(_table(spark, sf_dir, "documents"))
+
+
 def _with_slips(doc_id: int | None, counts: dict[str, int]) -> dict[str, int]:
     """The counts with a letter left out of words for which 97 divides crc32(doc_id:word)."""
     if doc_id is None:
@@ -108,5 +113,5 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(word_counts(_table(spark, sf_dir, "documents"), alter=_with_slips))
 
 
-QUERIES = {f.__name__: f for f in (op1_neighbours, op2_near_duplicates, op3_token_files, op4_languages, op5_pieces, op6_main_text, op7_url_filter, op8_contamination, op9_repeats, op10_secrets, op11_periodic_runs, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_neighbours, op2_near_duplicates, op3_token_files, op4_languages, op5_pieces, op6_main_text, op7_url_filter, op8_contamination, op9_repeats, op10_secrets, op11_periodic_runs, op12_shards, op13_spelling_variants)}
 SQL: dict[str, str] = {}
