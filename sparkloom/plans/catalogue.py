@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import kmers as fk
-from sparkloom.operators import assembly, dynamics, matrix, partition, spatial
+from sparkloom.operators import assembly, blocks, dynamics, matrix, partition, spatial
 from sparkloom.params import RANKS, SimParams
 from sparkloom.plans.oracles import SQL  # noqa: F401
+from sparkloom.scratch import drop, saved
 from sparkloom.sources import fixtures
 
 FLAGSHIP = "particle_step"
@@ -50,25 +51,40 @@ def dgemm_coo(spark, sf_dir):
 @query
 def dgemm_blocked(spark, sf_dir):
     a = _a(spark, sf_dir)
-    return rounded(matrix.blocked_product(matrix.transposed(a), a, 32), v=6)
+    return rounded(blocks.product(matrix.transposed(a), a, side=16, outer=2, panel=8), v=6)
 
 
 @query
-def dgemm_accumulate(spark, sf_dir):
+def dgemm_twolevel(spark, sf_dir):
     a = _a(spark, sf_dir)
-    return rounded(matrix.accumulate(a, a, _gram(a)), v=6)
+    return rounded(blocks.product(a, matrix.transposed(a), side=64, outer=4), v=6)
+
+
+def _added(spark: SparkSession, sf_dir: str, alpha: float) -> DataFrame:
+    """A + alpha * A * (A^T * A), all of it in blocks."""
+    side, a = 64, _a(spark, sf_dir)
+    x = saved(blocks.blocks(a, side), "blocks")
+    gram = saved(blocks.gemm(saved(blocks.transposed(x, side), "blocks"), x, side=side), "gram")
+    out = saved(blocks.gemm(x, gram, x, alpha, side), "sum")
+    drop(x, gram)
+    size = a.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()
+    return rounded(blocks.cells(out, size.i + 1, size.j + 1, side), v=6)
+
+
+@query
+def dgemm_accumulate(spark, sf_dir):
+    return _added(spark, sf_dir, 1.0)
 
 
 @query
 def dgemm_alpha(spark, sf_dir):
-    a = _a(spark, sf_dir)
-    return rounded(matrix.accumulate(a, a, _gram(a), -2.5), v=6)
+    return _added(spark, sf_dir, -2.5)
 
 
 @query
 def dgemm_verify(spark, sf_dir):
     a = _a(spark, sf_dir)
-    return matrix.verify(matrix.blocked_product(matrix.transposed(a), a, 32), matrix.transposed(a), a, fixtures.table(spark, sf_dir, "embeddings").count())
+    return matrix.verify(_gram(a), matrix.transposed(a), a, fixtures.table(spark, sf_dir, "embeddings").count())
 
 
 @query

@@ -133,7 +133,8 @@ SQL: dict[str, str] = {
     "dgemm_blocked": _with(A, AA) + "SELECT i, j, round(v, 6) + 0.0e0 AS v FROM aa",
     "dgemm_accumulate": _with(A, AA, AB) + _full("1e0"),
     "dgemm_alpha": _with(A, AA, AB) + _full("(-2.5e0)"),
-    "dgemm_verify": _with(A, AA) + "SELECT count(*) AS n_cells, CAST(0 AS BIGINT) AS n_violations, true AS ok FROM aa",
+    "dgemm_twolevel": _with(A) + "SELECT l.i, r.i AS j, round(sum(l.v * r.v), 6) + 0.0e0 AS v FROM a l JOIN a r ON l.j = r.j GROUP BY l.i, r.i",
+    "dgemm_verify": _with(A, AA, "parts AS (SELECT l.j AS i, r.j AS j, sum(l.v * r.v) AS v, sum(abs(l.v) * abs(r.v)) AS size FROM a l JOIN a r ON l.i = r.i GROUP BY l.j, r.j, l.i // 16)", "s AS (SELECT i, j, sum(v) AS other, sum(size) AS size FROM parts GROUP BY i, j)", "bad AS (SELECT abs(v - other) > 3 * 2.220446049250313e-16 * (SELECT count(*) FROM embeddings) * size AS far FROM aa JOIN s USING (i, j))") + "SELECT count(*) AS n_cells, CAST(coalesce(sum(far::INT), 0) AS BIGINT) AS n_violations, coalesce(sum(far::INT), 0) = 0 AS ok FROM bad",
     "bench_summary": "WITH t AS (SELECT CAST(l_linenumber * 32 AS BIGINT) AS n, count(*) AS iterations, sum(l_quantity) / 1e6 AS seconds FROM lineitem GROUP BY l_linenumber), g AS (SELECT 2e-9 * iterations * n * n * n / seconds AS gflops FROM t) SELECT round(avg(gflops), 6) + 0.0e0 AS gflops, round(avg(gflops * 100 / 56e0), 6) + 0.0e0 AS percent FROM g",
     "particle_lattice": "WITH n AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS sx, sqrt(0.0005e0 * count(*)) AS size FROM orders), m AS (SELECT *, CAST(ceil(n / CAST(sx AS DOUBLE)) AS BIGINT) AS sy FROM n), q AS (SELECT i + 1 AS id, i * 7919 % n AS k, sx, sy, size FROM (SELECT unnest(range(n)) AS i, * FROM m)) SELECT id, round(size * (1.0e0 + k % sx) / (1.0e0 + sx), 9) + 0.0e0 AS x, round(size * (1.0e0 + k // sx) / (1.0e0 + sy), 9) + 0.0e0 AS y, round((id * 48271 + 1) % 2001 / 1000.0e0 - 1.0e0, 6) + 0.0e0 AS vx, round((id * 69621 + 1) % 2001 / 1000.0e0 - 1.0e0, 6) + 0.0e0 AS vy FROM q",
     "cell_assign": BINNED + "SELECT id, bx, \"by\", cell FROM c",
@@ -141,7 +142,7 @@ SQL: dict[str, str] = {
     "force_bruteforce": BRUTE,
     "force_binned": FORCES,
     "force_halfstencil": FORCES,
-    "force_equiv": "SELECT count(*) AS n_particles, CAST(0 AS BIGINT) AS n_different FROM events",
+    "force_equiv": _with(*PARTICLES, OFFSETS, *_forces("f", "p"), f"q AS (SELECT s.id, t.id AS nid, t.x - s.x AS ex, t.y - s.y AS ey FROM (SELECT id, x, y, bx + dx AS bx, \"by\" + dy AS \"by\" FROM p_c, o WHERE dir >= 4) s JOIN p_c t ON s.bx = t.bx AND s.\"by\" = t.\"by\" AND (s.id < t.id OR s.bx <> floor(s.x / {B}) OR s.\"by\" <> floor(s.y / {B})))", f"h AS (SELECT id, nid, (1 - 0.01e0 / sqrt(greatest(ex * ex + ey * ey, {MIN_R2}))) / greatest(ex * ex + ey * ey, {MIN_R2}) / 0.01e0 * ex AS fx, (1 - 0.01e0 / sqrt(greatest(ex * ex + ey * ey, {MIN_R2}))) / greatest(ex * ex + ey * ey, {MIN_R2}) / 0.01e0 * ey AS fy FROM q WHERE ex * ex + ey * ey <= {CUT})", "hs AS (SELECT id, sum(fx) AS hx, sum(fy) AS hy FROM (SELECT id, fx, fy FROM h UNION ALL SELECT nid, -fx, -fy FROM h) GROUP BY id)") + "SELECT count(*) AS n_particles, CAST(coalesce(sum(CAST(abs(ax - coalesce(hx, 0e0)) > 1e-9 * greatest(1e0, abs(ax)) OR abs(ay - coalesce(hy, 0e0)) > 1e-9 * greatest(1e0, abs(ay)) AS INTEGER)), 0) AS BIGINT) AS n_different FROM f LEFT JOIN hs USING (id)",
     "particle_move": _with(*PARTICLES, OFFSETS, *_forces("f", "p"), *_moved("m", "f")) + STATE + "m",
     "particle_bounce": _with(*PARTICLES, "t AS (SELECT id, x + vx * (3.3e0 * size) AS x, y + vy * (3.3e0 * size) AS y, vx, vy FROM p, l)", _reflected("b", "t")) + STATE + "b",
     "particle_step": _with(*PARTICLES, OFFSETS, *_step("s1", "p")) + STATE + "s1",

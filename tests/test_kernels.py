@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from sparkloom.operators import assembly, matrix
+from sparkloom.operators import assembly, blocks, matrix
+from sparkloom.scratch import saved
 from sparkloom.sources import files
 
 K = 4
@@ -58,15 +59,45 @@ def test_a_long_chain(spark):
     assert [tuple(r) for r in assembly.contigs(frame(spark, rows), k).collect()] == [(text, n)]
 
 
-@pytest.mark.parametrize("shape", [(5, 7, 3), (1, 1, 1), (4, 8, 4)])
-def test_blocks_of_a_side_that_does_not_divide(spark, shape):
+def cells(spark, m):
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "i long, j long, v double")
+
+
+def dense(df, shape):
+    got = np.full(shape, np.nan)
+    for r in df.collect():
+        got[r.i, r.j] = r.v
+    return got
+
+
+@pytest.mark.parametrize(("shape", "outer", "panel"), [((5, 7, 3), 1, 1), ((1, 1, 1), 2, 2), ((4, 8, 4), 1, 8), ((21, 50, 17), 2, 3)])
+def test_blocks_of_a_side_that_does_not_divide(spark, shape, outer, panel):
     rng = np.random.default_rng(4)
     a, b = rng.standard_normal(shape[:2]), rng.standard_normal(shape[1:])
-    cells = lambda m: spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(m)], "i long, j long, v double")
-    got = np.full((shape[0], shape[2]), np.nan)
-    for r in matrix.blocked_product(cells(a), cells(b), 4).collect():
-        got[r.i, r.j] = r.v
-    assert np.allclose(got, a @ b)
+    assert np.allclose(dense(blocks.product(cells(spark, a), cells(spark, b), 4, outer, panel), (shape[0], shape[2])), a @ b)
+
+
+def test_sums_of_many_panels_go_up_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", 3)
+    rng = np.random.default_rng(5)
+    a, b, c = rng.standard_normal((5, 90)), rng.standard_normal((90, 6)), rng.standard_normal((5, 6))
+    x, y, z = (saved(blocks.blocks(cells(spark, m), 3), "blocks") for m in (a, b, c))
+    out = blocks.gemm(x, y, z, -2.5, 3, 1, 2)
+    assert out.count() == 4 and np.allclose(dense(blocks.cells(out, 5, 6, 3), (5, 6)), c - 2.5 * a @ b)
+    # blocks that are missing are zeros, an empty factor gives nothing
+    a[:3] = 0
+    x = saved(blocks.blocks(cells(spark, a).where("v <> 0"), 3), "blocks")
+    assert np.allclose(np.nan_to_num(dense(blocks.cells(blocks.gemm(x, y, side=3, outer=1, panel=2), 5, 6, 3), (5, 6))), a @ b)
+    assert blocks.gemm(x.limit(0), y, side=3).collect() == []
+
+
+def test_a_wrong_product_is_told(spark):
+    a = np.arange(12.0).reshape(3, 4)
+    right = a @ a.T
+    wrong = right.copy()
+    wrong[1, 2] += 1e-6
+    told = lambda c: tuple(matrix.verify(cells(spark, c), cells(spark, a), cells(spark, a.T), 4, 2).first())
+    assert told(right) == (9, 0, True) and told(wrong) == (9, 1, False)
 
 
 def test_kmer_files(spark, tmp_path):
