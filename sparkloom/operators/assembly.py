@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.kmers import following
-from sparkloom.scratch import saved
+from sparkloom.operators.lookup import BuiltTable
+from sparkloom.scratch import drop, saved
+
+#: Letters of a contig in one row of its chunks.
+CHUNK = 1 << 16
 
 
 def width(lines: DataFrame) -> DataFrame:
@@ -56,56 +60,129 @@ def repeated(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _led(known: DataFrame, begun: DataFrame, k: int) -> DataFrame:
-    """(kmer, f_ext, back, steps, done): each k-mer with the head of its segment and how far away that is.
+def _segments(links: DataFrame, begun: DataFrame) -> DataFrame:
+    """(id, seg, pos), saved: each k-mer of ``links`` (id, next) with the head of its segment and how far behind it is.
 
-    A segment is a run of k-mers that each follow the one before and nothing else; it begins where walks begin or meet.
-    Each round doubles how far back a k-mer points, until it points to a head; finished ones are not joined again, so
-    that no two rows of a round share a key. What is unfinished after as many rounds as the longest run can need are rings that no walk enters.
+    A segment is a run of k-mers that each follow the one before and nothing else; it begins where walks begin (the column next of
+    ``begun``) or meet. Each round doubles how far back a k-mer points, until it points to a head; finished ones are not
+    joined again, so that no two rows of a round share a key. What is unfinished after as many rounds as the longest
+    run can need are rings that no walk enters; they are left out.
     """
-    step = known.where("f_ext <> 'F'").select(following(F.col("kmer"), F.col("f_ext"), k).alias("kmer"), F.col("kmer").alias("before"))
-    entries = step.groupBy("kmer").agg(F.count("*").alias("n"), F.min("before").alias("before"))
-    first = begun.select(F.col("next").alias("kmer")).where("next is not null").distinct().withColumn("begins", F.lit(True))
+    entries = links.where("next is not null").groupBy(F.col("next").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("before"))
+    first = begun.where("next is not null").select(F.col("next").alias("id")).distinct().withColumn("begins", F.lit(True))
     single = (F.coalesce("n", F.lit(0)) == 1) & F.col("begins").isNull()
-    linked = known.join(entries, "kmer", "left").join(first, "kmer", "left")
-    at = saved(linked.select("kmer", "f_ext", F.when(single, F.col("before")).otherwise(F.col("kmer")).alias("back"), single.cast("long").alias("steps"), (~single).alias("done")), "walk")
-    done, active, left = [at.where("done")], at.where("not done"), at.where("not done").count()
+    linked = links.select("id").join(entries, "id", "left").join(first, "id", "left")
+    now = saved(linked.select("id", F.when(single, F.col("before")).otherwise(F.col("id")).alias("back"), single.cast("long").alias("steps"), (~single).alias("done")), "back")
+    parts, active = [now], now.where("not done")
+    left = active.count()
+    done = [now.where("done")]
     for _ in range(max(1, left).bit_length() + 1):
         if not left:
             break
-        hops = at.select(F.col("kmer").alias("back"), F.col("back").alias("far"), F.col("steps").alias("more"), F.col("done").alias("ends"))
-        at = saved(active.join(hops, "back").select("kmer", "f_ext", F.col("far").alias("back"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done")), "walk")
-        done.append(at.where("done"))
-        # a finished k-mer is a hop for those behind it
-        active, at = at.where("not done"), reduce(DataFrame.unionAll, [*done, at.where("not done")])
+        at = reduce(DataFrame.unionAll, [*done, active])  # a finished k-mer is a hop for those behind it
+        hops = at.select(F.col("id").alias("back"), F.col("back").alias("far"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+        now = saved(active.join(hops, "back").select("id", F.col("far").alias("back"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done")), "back")
+        parts.append(now)
+        done.append(now.where("done"))
+        active = now.where("not done")
         left = active.count()
-    return reduce(DataFrame.unionAll, done)
+    out = saved(reduce(DataFrame.unionAll, done).select("id", F.col("back").alias("seg"), F.col("steps").alias("pos")), "segments")
+    drop(*parts)
+    return out
 
 
-def walks(kmers: DataFrame, k: int) -> DataFrame:
-    """(contig, n_nodes, next, ended): the walk forwards from every start, saved. ``ended`` is false where it stops before an end: at the k-mer ``next``, which is missing or closes a ring.
+def _paths(begun: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(walk, seg, nth, at), saved: every segment of every walk of ``begun`` (walk, next), with its number and how many k-mers come before it; (walk, seg), saved: the walks that run into a ring, and the segment that they meet again; and the rounds it took.
 
-    A start is a row without a k-mer before it; rows that repeat start once. Walks that meet go on alike, each to its own
-    contig. Segments are put together as strings first; a walk takes as many joins as it has segments.
+    ``segments`` is (seg, n, after). Each round doubles both what is known of a walk and how far a table of jumps
+    leads: after r rounds a walk has its first 2**r segments, and every one of them jumps 2**r further. So the rounds grow with
+    the logarithm of the longest walk, and what is written with the result.
     """
-    known = saved(nodes(kmers), "nodes")
-    ahead = lambda: F.when(F.col("f_ext") != "F", following(F.col("kmer"), F.col("f_ext"), k))
-    letter = lambda c: F.when(c != "F", c).otherwise("")
-    begun = starts(kmers).select("kmer", "f_ext").distinct().select(F.concat("kmer", letter(F.col("f_ext"))).alias("contig"), F.lit(1).cast("long").alias("n_nodes"), ahead().alias("next"))
-    now = saved(begun, "walks")
-    runs = _led(known, now, k).groupBy("back").agg(F.array_sort(F.collect_list(F.struct("steps", "f_ext", "kmer"))).alias("nodes"))
-    last = F.element_at("nodes", -1)
-    text = F.array_join(F.transform("nodes", lambda x: letter(x.f_ext)), "")
-    after = F.when(last.f_ext != "F", following(last.kmer, last.f_ext, k))
-    segments = saved(runs.select(F.col("back").alias("next"), text.alias("more"), F.size("nodes").cast("long").alias("own"), after.alias("after")), "segments")
-    finished, rounds = [now.where("next is null").withColumn("ended", F.lit(True))], segments.count()
-    while rounds >= 0 and not (active := now.where("next is not null")).isEmpty():
-        met = saved(active.join(segments, "next", "left"), "walks")
-        finished.append(met.where("own is null or after is null").select(F.concat("contig", F.coalesce("more", F.lit(""))).alias("contig"), (F.col("n_nodes") + F.coalesce("own", F.lit(0))).alias("n_nodes"), F.when(F.col("own").isNull(), F.col("next")).alias("next"), F.col("own").isNotNull().alias("ended")))
-        now = met.where("own is not null and after is not null").select(F.concat("contig", "more").alias("contig"), (F.col("n_nodes") + F.col("own")).alias("n_nodes"), F.col("after").alias("next"))
-        rounds -= 1  # a walk of more segments than there are is in a ring
-    finished.append(now.where("next is not null").withColumn("ended", F.lit(False)))
-    return saved(reduce(DataFrame.unionAll, finished), "walks")
+    parts = [saved(begun.where("next is not null").select("walk", F.col("next").alias("seg"), F.lit(0).cast("long").alias("nth"), F.lit(0).cast("long").alias("at")), "paths")]
+    jumps = saved(segments.where("after is not null").select("seg", F.col("after").alias("to"), F.col("n").alias("over")), "jumps")
+    ringed, rounds = [], 0
+    while True:
+        active = reduce(DataFrame.unionAll, parts)
+        for r in ringed:
+            active = active.join(r.select("walk"), "walk", "left_anti")
+        new = saved(active.join(jumps, "seg").select("walk", F.col("to").alias("seg"), (F.col("nth") + F.lit(1 << rounds)).alias("nth"), (F.col("at") + F.col("over")).alias("at")), "paths")
+        rounds += 1
+        if new.isEmpty():
+            drop(new)
+            break
+        parts.append(new)
+        known = reduce(DataFrame.unionAll, parts)
+        again = known.groupBy("walk", "seg").agg(F.count("*").alias("n"), F.min("nth").alias("nth")).where("n > 1")
+        if ringed:
+            again = again.join(reduce(DataFrame.unionAll, ringed).select("walk"), "walk", "left_anti")
+        ringed.append(saved(again.groupBy("walk").agg(F.min_by("seg", "nth").alias("seg")), "ringed"))
+        ahead = jumps.select(F.col("seg").alias("to"), F.col("to").alias("further"), F.col("over").alias("more"))
+        longer = saved(jumps.join(ahead, "to").select("seg", F.col("further").alias("to"), (F.col("over") + F.col("more")).alias("over")), "jumps")
+        drop(jumps)
+        jumps = longer
+    rings = saved(reduce(DataFrame.unionAll, ringed) if ringed else parts[0].select("walk", "seg").limit(0), "rings")
+    # a walk in a ring has each segment once: the first time
+    first = F.row_number().over(Window.partitionBy("walk", "seg").orderBy("nth"))
+    known = reduce(DataFrame.unionAll, parts)
+    whole = known.join(rings.select("walk"), "walk", "left_anti").unionAll(known.join(rings.select("walk"), "walk").withColumn("first", first).where("first = 1").select(*known.columns))
+    out = saved(whole, "paths")
+    drop(*parts, *ringed, jumps)
+    return out, rings, rounds
+
+
+class Walks:
+    """The walks forwards from every start of ``kmers``; tables in the shared folder until ``drop``.
+
+    ``walks`` (walk, start, n_nodes, next, ended): ``ended`` is false where a walk stops before an end, at the k-mer ``next``, which is
+    missing or closes a ring. ``pieces`` (walk, at, text): the text of each walk in pieces of at most ``chunk`` letters, or of a k-mer and one letter. A
+    start is a row without a k-mer before it; rows that repeat start once. Walks that meet go on alike, each to its own contig. No
+    task holds a whole walk.
+    """
+
+    def __init__(self, kmers: DataFrame, k: int, chunk: int = CHUNK):
+        ahead = F.when(F.col("f_ext") != "F", following(F.col("kmer"), F.col("f_ext"), k))
+        letter = F.when(F.col("f_ext") != "F", F.col("f_ext")).otherwise("")
+        table = BuiltTable(nodes(kmers).withColumn("id", F.monotonically_increasing_id()), "kmer")
+        # both look-ups probe the one table
+        ids = table.table().select("id", letter.alias("letter"), ahead.alias("ahead"))
+        known = lambda asked: table.found(asked, "ahead").drop("f_ext")
+        links = saved(known(ids.withColumnRenamed("id", "own")).select(F.col("own").alias("id"), "letter", F.when(F.col("id").isNull(), F.col("ahead")).alias("lost"), F.col("id").alias("next")), "links")
+        begun = starts(kmers).select("kmer", "f_ext").distinct().select(F.monotonically_increasing_id().alias("walk"), F.col("kmer").alias("start"), letter.alias("letter"), ahead.alias("ahead"))
+        begun = saved(known(begun).select("walk", "start", "letter", F.when(F.col("id").isNull(), F.col("ahead")).alias("lost"), F.col("id").alias("next")), "begun")
+        placed = _segments(links, begun)
+        letters = saved(placed.join(links, "id").select("seg", "pos", "letter", "lost", "next"), "letters")
+        last = F.max_by(F.struct("lost", "next"), "pos")
+        segments = saved(letters.groupBy("seg").agg(F.count("*").alias("n"), last.alias("last")).select("seg", "n", F.col("last.lost").alias("lost"), F.col("last.next").alias("after")), "runs")
+        nth = F.floor(F.col("pos") / chunk).cast("long")
+        listed = F.array_sort(F.collect_list(F.struct("pos", "letter")))
+        texts = letters.groupBy("seg", nth.alias("nth")).agg(F.array_join(F.transform(listed, lambda x: x.letter), "").alias("text")).select("seg", (F.col("nth") * chunk).alias("from"), "text")
+        paths, rings, self.rounds = _paths(begun, segments)
+        met = paths.join(segments.select("seg", "n", "lost"), "seg")
+        ends = met.groupBy("walk").agg(F.sum("n").alias("n"), F.max_by("lost", "nth").alias("stops"))
+        names = table.table().select(F.col("id").alias("seg"), F.col("kmer").alias("again"))
+        closed = rings.join(names, "seg").select("walk", "again")
+        told = begun.join(ends, "walk", "left").join(closed, "walk", "left").select("walk", "start", (1 + F.coalesce("n", F.lit(0))).alias("n_nodes"), F.coalesce("again", "stops", "lost").alias("next"))
+        self.walks = saved(told.withColumn("ended", F.col("next").isNull()), "walks")
+        more = paths.join(texts, "seg").select("walk", (F.lit(k + 1) + F.col("at") + F.col("from")).alias("at"), "text")
+        self.pieces = saved(begun.select("walk", F.lit(0).cast("long").alias("at"), F.concat("start", "letter").alias("text")).unionAll(more), "pieces")
+        table.drop()
+        drop(links, begun, placed, letters, segments, paths, rings)
+
+    def texts(self) -> DataFrame:
+        """(contig, n_nodes, next, ended): each walk's text in one row."""
+        whole = self.pieces.groupBy("walk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x.text), "").alias("contig"))
+        return self.walks.join(whole, "walk").select("contig", "n_nodes", "next", "ended")
+
+    def drop(self) -> None:
+        drop(self.walks, self.pieces)
+
+
+def walks(kmers: DataFrame, k: int) -> DataFrame:
+    """(contig, n_nodes, next, ended) of ``Walks``, saved."""
+    found = Walks(kmers, k)
+    out = saved(found.texts(), "walks")
+    found.drop()
+    return out
 
 
 def contigs(kmers: DataFrame, k: int) -> DataFrame:
@@ -113,6 +190,22 @@ def contigs(kmers: DataFrame, k: int) -> DataFrame:
     return walks(kmers, k).where("ended").select("contig", "n_nodes")
 
 
+def contig_chunks(kmers: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
+    """(start, n_nodes, chunk, text), saved: the contigs in chunks of ``chunk`` letters (k + 1 or more), the last one shorter; a contig of any length is never in one row or one task."""
+    if chunk <= k:
+        raise ValueError("chunk must be k + 1 or more")
+    found = Walks(kmers, k, chunk)
+    # a piece lies in one chunk or two
+    size, at = F.char_length("text"), F.col("at")
+    first = chunk - at % chunk
+    halves = F.array(F.struct(at.alias("at"), F.expr(f"substring(text, 1, cast({chunk} - at % {chunk} as int))").alias("text")), F.struct((at + first).alias("at"), F.expr(f"substring(text, cast({chunk} - at % {chunk} as int) + 1)").alias("text")))
+    parts = found.pieces.where(size > 0).select("walk", F.explode(F.when(size > first, halves).otherwise(F.slice(halves, 1, 1))).alias("p"))
+    lists = parts.groupBy("walk", F.floor(F.col("p.at") / chunk).cast("long").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x.text), "").alias("text"))
+    out = saved(found.walks.where("ended").join(lists, "walk").select("start", "n_nodes", "chunk", "text"), "chunks")
+    found.drop()
+    return out
+
+
 def broken(kmers: DataFrame, k: int) -> DataFrame:
     """(contig, n_nodes, next) of the walks that stop before an end: as far as they came, and the k-mer that is missing or closes a ring."""
     return walks(kmers, k).where("not ended").select("contig", "n_nodes", "next")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import kmers as fk
 from sparkloom.operators import assembly, blocks, dynamics, matrix, partition, spatial
+from sparkloom.operators.lookup import BuiltTable
 from sparkloom.params import RANKS, SimParams
 from sparkloom.plans.oracles import SQL  # noqa: F401
 from sparkloom.scratch import drop, saved
@@ -17,6 +18,8 @@ from sparkloom.sources import fixtures
 FLAGSHIP = "particle_step"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K, WIDE_K = 19, 51
+#: So short that sequences share k-mers, and many of them.
+MERGING_K, SHORT_K = 11, 7
 P = SimParams()
 #: Steps' worth of time in which particles fly straight for the queries on migration.
 FLIGHT = 10
@@ -360,6 +363,23 @@ def kmer_lookup(spark, sf_dir):
     return assembly.lookup(_kmers(spark, sf_dir), K)
 
 
+@query
+def kmer_next_two(spark, sf_dir):
+    known = _kmers(spark, sf_dir)
+    table = BuiltTable(known.select("kmer", "f_ext"), "kmer")
+    ahead = lambda c, f: F.when(F.col(f) != "F", fk.following(F.col(c), F.col(f), K))
+    one = table.found(table.table().select("kmer", ahead("kmer", "f_ext").alias("next")), "next").withColumnRenamed("f_ext", "next_f")
+    two = table.found(one.withColumn("second", ahead("next", "next_f")), "second").withColumnRenamed("f_ext", "second_f")
+    out = saved(two.select("kmer", "next", "next_f", "second", "second_f"), "two")
+    table.drop()
+    return out
+
+
+@query
+def kmer_repeated(spark, sf_dir):
+    return assembly.repeated(fixtures.kmers(spark, sf_dir, SHORT_K))
+
+
 @query
 def start_nodes(spark, sf_dir):
     return assembly.starts(_kmers(spark, sf_dir))
@@ -386,6 +406,22 @@ def contigs_51(spark, sf_dir):
     return assembly.contigs(fixtures.kmers(spark, sf_dir, WIDE_K), WIDE_K)
 
 
+@query
+def contigs_merging(spark, sf_dir):
+    return assembly.contigs(fixtures.kmers(spark, sf_dir, MERGING_K), MERGING_K)
+
+
+@query
+def contig_chunks(spark, sf_dir):
+    return assembly.contig_chunks(fixtures.kmers(spark, sf_dir, WIDE_K), WIDE_K, WIDE_K + 1)
+
+
+@query
+def broken_walks(spark, sf_dir):
+    lines = fixtures.kmer_lines(spark, sf_dir, K).where("line_no % 700 <> 6")
+    return assembly.broken(assembly.parsed(lines, K), K)
+
+
 @query
 def assembly_stats(spark, sf_dir):
     return assembly.stats(assembly.contigs(_kmers(spark, sf_dir), K))

@@ -119,9 +119,10 @@ def _hash(k: int) -> str:
     return h
 
 
-def _walk(k: int) -> str:
+def _walk(k: int, short: str = "true", kept: str = "true") -> str:
     """Walks forwards from the starts over one row a k-mer."""
-    return _with(_kmers(k), "nd AS MATERIALIZED (SELECT kmer, min(f_ext) AS f_ext FROM km GROUP BY kmer)", "w AS (SELECT kmer AS contig, f_ext, CAST(1 AS BIGINT) AS n_nodes, substr(kmer, 2) || f_ext AS nx FROM (SELECT DISTINCT kmer, f_ext FROM km WHERE b_ext = 'F') UNION ALL SELECT w.contig || w.f_ext, nd.f_ext, w.n_nodes + 1, substr(nd.kmer, 2) || nd.f_ext FROM w JOIN nd ON nd.kmer = w.nx WHERE w.f_ext <> 'F')")
+    km = _kmers(k).replace("km AS (SELECT ", "km AS (SELECT * FROM (SELECT ", 1) + f" WHERE {kept})"
+    return _with(km, "nd AS MATERIALIZED (SELECT kmer, min(f_ext) AS f_ext FROM km GROUP BY kmer)", f"w AS (SELECT kmer AS contig, f_ext, CAST(1 AS BIGINT) AS n_nodes, substr(kmer, 2) || f_ext AS nx FROM (SELECT DISTINCT kmer, f_ext FROM km WHERE b_ext = 'F') UNION ALL SELECT w.contig || w.f_ext, nd.f_ext, w.n_nodes + 1, substr(nd.kmer, 2) || nd.f_ext FROM w JOIN nd ON nd.kmer = w.nx WHERE w.f_ext <> 'F' AND {short})")
 
 
 KM = _with(_kmers(19))
@@ -177,10 +178,15 @@ SQL: dict[str, str] = {
     "kmer_next": KM + "SELECT kmer, substr(kmer, 2) || f_ext AS next FROM km WHERE f_ext <> 'F'",
     "kmer_prev": KM + "SELECT kmer, b_ext || substr(kmer, 1, 18) AS prev FROM km WHERE b_ext <> 'F'",
     "kmer_lookup": KM + ", a AS MATERIALIZED (SELECT kmer, substr(kmer, 2) || f_ext AS next FROM km WHERE f_ext <> 'F'), b AS MATERIALIZED (SELECT kmer AS own, f_ext AS next_f FROM km) SELECT a.kmer, a.next, b.next_f FROM a LEFT JOIN b ON b.own = a.next",
+    "kmer_next_two": KM + ", b AS MATERIALIZED (SELECT kmer, f_ext, CASE WHEN f_ext <> 'F' THEN substr(kmer, 2) || f_ext END AS next FROM km) SELECT b.kmer, b.next, c.f_ext AS next_f, c.next AS second, d.f_ext AS second_f FROM b LEFT JOIN b c ON c.kmer = b.next LEFT JOIN b d ON d.kmer = c.next",
+    "kmer_repeated": _with(_kmers(7)) + "SELECT kmer, count(*) AS n FROM km GROUP BY kmer HAVING count(*) > 1",
     "start_nodes": KM + "SELECT kmer, b_ext, f_ext FROM km WHERE b_ext = 'F'",
     "end_nodes": KM + "SELECT kmer, b_ext, f_ext FROM km WHERE f_ext = 'F'",
     "dangling_edges": KM + ", kept AS (SELECT * FROM km WHERE line_no % 700 <> 6) SELECT a.kmer, substr(a.kmer, 2) || a.f_ext AS next FROM kept a WHERE a.f_ext <> 'F' AND NOT EXISTS (SELECT 1 FROM kept b WHERE b.kmer = substr(a.kmer, 2) || a.f_ext)",
     "contigs": _walk(19) + "SELECT contig, n_nodes FROM w WHERE f_ext = 'F'",
     "contigs_51": _walk(51) + "SELECT contig, n_nodes FROM w WHERE f_ext = 'F'",
+    "contigs_merging": _walk(11, "n_nodes < 5000") + "SELECT contig, n_nodes FROM w WHERE f_ext = 'F'",
+    "contig_chunks": _walk(51) + "SELECT substr(contig, 1, 51) AS start, n_nodes, c AS chunk, substr(contig, c * 52 + 1, 52) AS text FROM w, range(100) AS r(c) WHERE f_ext = 'F' AND c * 52 < length(contig)",
+    "broken_walks": _walk(19, "true", "line_no % 700 <> 6") + "SELECT contig || f_ext AS contig, n_nodes, nx AS next FROM w WHERE f_ext <> 'F' AND NOT EXISTS (SELECT 1 FROM nd WHERE nd.kmer = w.nx)",
     "assembly_stats": _walk(19) + "SELECT count(*) AS n_contigs, CAST(sum(n_nodes) AS BIGINT) AS n_nodes FROM w WHERE f_ext = 'F'",
 }

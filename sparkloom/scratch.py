@@ -32,10 +32,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, at: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete the files of tables made by ``saved`` that nothing reads any more; what is derived from one, or None, is left alone."""
     for df in tables:
         if at := getattr(df, "_saved_at", None):
-            context = df.sparkSession.sparkContext
-            path = context._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, at)

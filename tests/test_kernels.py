@@ -45,18 +45,67 @@ def test_broken_walks_are_told(spark):
     assert assembly.walks(frame(spark, []), K).collect() == []
 
 
-def test_a_long_chain(spark):
-    rng, seen, text = np.random.default_rng(1), set(), "".join("ACGT"[i] for i in np.random.default_rng(2).integers(0, 4, 12))
-    k = 12
-    seen.add(text)
-    while len(text) < 700:
+def sequence(k, n, seed):
+    """A text of n letters in which no k-mer occurs twice."""
+    rng = np.random.default_rng(seed)
+    text = "".join("ACGT"[i] for i in rng.integers(0, 4, k))
+    seen = {text}
+    while len(text) < n:
         nxt = text[-k + 1 :] + "ACGT"[rng.integers(4)]
         if nxt not in seen:
             seen.add(nxt)
             text += nxt[-1]
+    return text, seen
+
+
+def test_a_long_chain(spark):
+    k = 12
+    text, _ = sequence(k, 700, 1)
     n = len(text) - k + 1
     rows = [(text[p : p + k], text[p - 1] if p else "F", text[p + k] if p + 1 < n else "F") for p in range(n)]
     assert [tuple(r) for r in assembly.contigs(frame(spark, rows), k).collect()] == [(text, n)]
+    chunks = sorted((r.chunk, r.text) for r in assembly.contig_chunks(frame(spark, [*rows, ("A" * k, "F", "F")]), k, 50).where(f"start = '{text[:k]}' and n_nodes = {n}").collect())
+    assert chunks == [(c, text[50 * c : 50 * c + 50]) for c in range(14)]
+    with pytest.raises(ValueError):
+        assembly.contig_chunks(frame(spark, rows), k, k)
+
+
+def test_a_comb_takes_a_logarithm_of_rounds(spark):
+    k, teeth = 12, 1000
+    text, seen = sequence(k, k + teeth + 2, 2)
+    n = len(text) - k + 1
+    rows = [(text[p : p + k], text[p - 1] if p else "F", text[p + k] if p + 1 < n else "F") for p in range(n)]
+    want = {text}
+    for p in range(1, teeth + 1):
+        tooth = next(c for c in "ACGT" if c + text[p : p + k - 1] not in seen)
+        seen.add(tooth + text[p : p + k - 1])
+        rows.append((tooth + text[p : p + k - 1], "F", text[p + k - 1]))
+        want.add(tooth + text[p:])
+    found = assembly.Walks(frame(spark, rows), k)
+    got = found.texts().collect()
+    assert found.rounds <= 12 and {r.contig for r in got} == want and len(got) == teeth + 1
+    assert all(r.ended and r.n_nodes == len(r.contig) - k + 1 for r in got)
+    found.drop()
+
+
+def test_a_built_table_is_not_shuffled_again(spark):
+    from sparkloom.operators.lookup import BuiltTable
+
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = BuiltTable(spark.range(1000).selectExpr("id as key", "id * id as square"), "key")
+        for asked in (spark.range(5).selectExpr("id * 300 as n"), spark.range(3).selectExpr("id * 2 as n")):
+            out = table.found(asked, "n")
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Exchange" not in plan[plan.index("Scan parquet") :]
+            assert {r.n: r.square for r in out.collect()} == {r.n: r.n**2 if r.n < 1000 else None for r in asked.collect()}
+        table.drop()
+        assert not spark.catalog.tableExists(table.name)
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
 
 
 def cells(spark, m):
