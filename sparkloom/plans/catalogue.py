@@ -12,8 +12,8 @@ from sparkloom.operators import assembly, blocks, dynamics, matrix, partition, s
 from sparkloom.operators.lookup import BuiltTable
 from sparkloom.params import RANKS, SimParams
 from sparkloom.plans.oracles import SQL  # noqa: F401
-from sparkloom.scratch import drop, saved
-from sparkloom.sources import fixtures
+from sparkloom.scratch import drop, new_path, saved
+from sparkloom.sources import files, fixtures
 
 FLAGSHIP = "particle_step"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,6 +299,39 @@ def kmer_parse(spark, sf_dir):
     return assembly.parsed(fixtures.kmer_lines(spark, sf_dir, K), K).withColumn("shown", F.concat_ws(" ", "kmer", F.concat("b_ext", "f_ext")))
 
 
+def _kmer_files(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "kmers")
+    files.write_lines(fixtures.kmer_lines(spark, sf_dir, K), path)
+    return path
+
+
+@query
+def kmer_file(spark, sf_dir):
+    return files.read_kmers(spark, _kmer_files(spark, sf_dir)).withColumn("shown", F.concat_ws(" ", "kmer", F.concat("b_ext", "f_ext")))
+
+
+@query
+def kmer_file_stats(spark, sf_dir):
+    path = _kmer_files(spark, sf_dir)
+    return files.read_kmers(spark, path).agg(F.count("*").alias("n_kmers")).select(F.lit(files.width(path)).alias("k"), F.lit(files.line_count(spark, path)).cast("long").alias("n_lines"), "n_kmers")
+
+
+@query
+def contig_file(spark, sf_dir):
+    path = new_path(spark, "contigs")
+    files.write_contigs(assembly.contigs(_kmers(spark, sf_dir), K), path)
+    return files.numbered_lines(spark, path).select(F.col("value").alias("contig"))
+
+
+@query
+def trajectory_file(spark, sf_dir):
+    p, size = fixtures.particles(spark, sf_dir)
+    frames = p.select(F.lit(0).alias("frame"), "id", "x", "y").unionAll(_changes(spark, sf_dir)[0].select(F.lit(1).alias("frame"), "id", "x", "y"))
+    path = new_path(spark, "frames")
+    files.write_trajectory(frames, path, p.count(), size)
+    return files.read_trajectory(spark, path)
+
+
 @query
 def kmer_block_split(spark, sf_dir):
     lines = fixtures.kmer_lines(spark, sf_dir, K)

@@ -167,6 +167,10 @@ SQL: dict[str, str] = {
     "kmer_size": "SELECT CAST(19 AS INTEGER) AS k",
     "kmer_count": KM + "SELECT count(*) AS n FROM km",
     "kmer_parse": KM + "SELECT kmer, b_ext, f_ext, kmer || ' ' || b_ext || f_ext AS shown FROM km",
+    "kmer_file": KM + "SELECT kmer, b_ext, f_ext, kmer || ' ' || b_ext || f_ext AS shown FROM km",
+    "kmer_file_stats": KM + "SELECT CAST(19 AS INTEGER) AS k, count(*) AS n_lines, count(*) AS n_kmers FROM km",
+    "contig_file": _walk(19) + "SELECT contig FROM w WHERE f_ext = 'F'",
+    "trajectory_file": _with(*PARTICLES, *FLOWN[:5]) + "SELECT CAST(frame AS BIGINT) AS frame, row_number() OVER (PARTITION BY frame ORDER BY id) - 1 AS nth, CAST(format('{:.6g}', x) AS DOUBLE) AS x, CAST(format('{:.6g}', y) AS DOUBLE) AS y FROM (SELECT 0 AS frame, id, x, y FROM p UNION ALL SELECT 1, id, x, y FROM ch0)",
     "kmer_block_split": KM + f"SELECT line_no // m AS rank, count(*) AS n, min(line_no) AS first_line FROM km, (SELECT (count(*) + {RANKS - 1}) // {RANKS} AS m FROM km) GROUP BY line_no // m",
     "kmer_validate": KM + "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN line_no % 97 = 0 THEN 'letter' WHEN line_no % 89 = 0 THEN 'length' END AS reason FROM km) WHERE reason IS NOT NULL GROUP BY reason",
     "kmer_pack": KM + f"SELECT kmer, {_packed} AS packed FROM km",

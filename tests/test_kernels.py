@@ -147,24 +147,3 @@ def test_a_wrong_product_is_told(spark):
     wrong[1, 2] += 1e-6
     told = lambda c: tuple(matrix.verify(cells(spark, c), cells(spark, a), cells(spark, a.T), 4, 2).first())
     assert told(right) == (9, 0, True) and told(wrong) == (9, 1, False)
-
-
-def test_kmer_files(spark, tmp_path):
-    (tmp_path / "kmers.txt").write_text("AACC FG\nACCG AF\nACC")  # the last line is short and not ended
-    lines = files.read_kmer_lines(spark, str(tmp_path / "kmers.txt"))
-    assert assembly.width(lines).first().k == 4
-    rows = assembly.parsed(lines, 4)
-    assert {tuple(r) for r in rows.collect()} == {("AACC", "F", "G"), ("ACCG", "A", "F"), ("ACC", "", "")}
-    assert {tuple(r) for r in assembly.faults(rows, 4).collect()} == {("length", 1)}
-    found = assembly.contigs(rows.where("length(kmer) = 4"), 4)
-    files.write_contigs(found, str(tmp_path / "contigs"))
-    assert [r.value for r in spark.read.text(str(tmp_path / "contigs")).collect()] == ["AACCG"]
-
-
-def test_trajectory_files(spark, tmp_path):
-    frames = spark.createDataFrame([(f, i, f + i / 3, 0.5) for f in (0, 1) for i in (2, 1)], "frame int, id long, x double, y double")
-    files.write_trajectory(frames.coalesce(1), str(tmp_path / "t"), 2, 0.0316228)
-    text = "".join(p.read_text() for p in sorted((tmp_path / "t").glob("part-*")))
-    assert text.splitlines()[:3] == ["2 0.0316228", "0.333333 0.500000", "0.666667 0.500000"] and len(text.splitlines()) == 5
-    files.write_frames(frames, str(tmp_path / "f"))
-    assert spark.read.parquet(str(tmp_path / "f")).count() == 4
