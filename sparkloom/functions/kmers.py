@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 BASES = "ACGT"
 HEX = "0123456789ABCDEF"
 HASH_START, HASH_FACTOR = 5381, 33
+#: Bytes in one number; bytes whose hash surely fits a long; the low half of a long.
+WORD, SURE, HALF = 7, 10, (1 << 32) - 1
 
 
-def code(kmer: Column, place: int, k: int) -> Column:
-    """0 to 3 for the base at a place from 0; beyond the end 0, as for A."""
-    return F.ascii(F.translate(F.substring(kmer, place + 1, 1), BASES, "0123")) - 48 if place < k else F.lit(0)
+def number(kmer: Column, first: int, bases: int) -> Column:
+    """Up to 31 bases from a place from 0 as the digits of a number in base 4."""
+    return F.conv(F.translate(F.substring(kmer, first + 1, bases), BASES, "0123"), 4, 10).cast("long")
 
 
 def byte(kmer: Column, n: int, k: int) -> Column:
-    """The n-th packed byte, from four bases."""
-    return reduce(lambda h, p: h * 4 + code(kmer, p, k), range(4 * n + 1, 4 * n + 4), code(kmer, 4 * n, k))
+    """The n-th packed byte, from four bases; beyond the end they count as A. Bytes come by WORD from one number, which is read once."""
+    first = n // WORD * WORD
+    bases = min(4 * WORD, k - 4 * first)
+    value, down = number(kmer, 4 * first, bases), 2 * (bases - 4 * (n - first + 1))
+    return (F.shiftright(value, down) if down >= 0 else F.shiftleft(value, -down)).bitwiseAND(F.lit(255))
 
 
 def packed(kmer: Column, k: int) -> Column:
@@ -37,12 +42,23 @@ def unpacked(data: Column, k: int) -> Column:
 
 
 def hashed(kmer: Column, k: int) -> Column:
-    """The hash of the packed bytes modulo 2**64: a long while it fits one, else a decimal."""
+    """The hash of the packed bytes modulo 2**64, as the long of the same bits (``unsigned`` shows its value)."""
     n = -(-k // 4)
-    if n <= 8:
-        return reduce(lambda h, b: h * HASH_FACTOR + byte(kmer, b, k), range(n), F.lit(HASH_START).cast("long"))
-    ring = F.lit(str(2**64)).cast("decimal(20,0)")
-    return reduce(lambda h, b: ((h * HASH_FACTOR + byte(kmer, b, k)) % ring).cast("decimal(20,0)"), range(n), F.lit(HASH_START).cast("decimal(20,0)"))
+    step = lambda h, b: h * HASH_FACTOR + byte(kmer, b, k)
+    h = reduce(step, range(min(n, SURE)), F.lit(HASH_START).cast("long"))
+    if n <= SURE:
+        return h
+    low, high = h.bitwiseAND(F.lit(HALF)), F.shiftright(h, 32)
+    for b in range(SURE, n):
+        low = step(low, b)
+        high = (high * HASH_FACTOR + F.shiftright(low, 32)).bitwiseAND(F.lit(HALF))
+        low = low.bitwiseAND(F.lit(HALF))
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def unsigned(h: Column) -> Column:
+    """A hash's decimal digits."""
+    return F.conv(F.hex(h), 16, 10)
 
 
 def following(kmer: Column, f_ext: Column, k: int) -> Column:

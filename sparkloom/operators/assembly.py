@@ -60,19 +60,22 @@ def repeated(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _segments(links: DataFrame, begun: DataFrame) -> DataFrame:
-    """(id, seg, pos), saved: each k-mer of ``links`` (id, next) with the head of its segment and how far behind it is.
+def _segments(links: DataFrame, begun: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, seg, pos) and the saved tables that it reads: each k-mer of ``links`` (id, next) with the head of its segment and how far behind it is.
 
     A segment is a run of k-mers that each follow the one before and nothing else; it begins where walks begin (the column next of
     ``begun``) or meet. Each round doubles how far back a k-mer points, until it points to a head; finished ones are not
     joined again, so that no two rows of a round share a key. What is unfinished after as many rounds as the longest
     run can need are rings that no walk enters; they are left out.
     """
-    entries = links.where("next is not null").groupBy(F.col("next").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("before"))
-    first = begun.where("next is not null").select(F.col("next").alias("id")).distinct().withColumn("begins", F.lit(True))
-    single = (F.coalesce("n", F.lit(0)) == 1) & F.col("begins").isNull()
-    linked = links.select("id").join(entries, "id", "left").join(first, "id", "left")
-    now = saved(linked.select("id", F.when(single, F.col("before")).otherwise(F.col("id")).alias("back"), single.cast("long").alias("steps"), (~single).alias("done")), "back")
+    # what is known of a k-mer meets in one grouping: that it is there, what it follows, and whether a walk begins with it
+    none = F.lit(None).cast("long")
+    told = links.select("id", none.alias("before"), F.lit(True).alias("there"), F.lit(False).alias("begins"))
+    told = told.unionAll(links.where("next is not null").select("next", "id", F.lit(False), F.lit(False)))
+    told = told.unionAll(begun.where("next is not null").select("next", none, F.lit(False), F.lit(True)))
+    met = told.groupBy("id").agg(F.count("before").alias("n"), F.min("before").alias("before"), F.max("there").alias("there"), F.max("begins").alias("begins")).where("there")
+    single = (F.col("n") == 1) & ~F.col("begins")
+    now = saved(met.select("id", F.when(single, F.col("before")).otherwise(F.col("id")).alias("back"), single.cast("long").alias("steps"), (~single).alias("done")), "back")
     parts, active = [now], now.where("not done")
     left = active.count()
     done = [now.where("done")]
@@ -86,9 +89,7 @@ def _segments(links: DataFrame, begun: DataFrame) -> DataFrame:
         done.append(now.where("done"))
         active = now.where("not done")
         left = active.count()
-    out = saved(reduce(DataFrame.unionAll, done).select("id", F.col("back").alias("seg"), F.col("steps").alias("pos")), "segments")
-    drop(*parts)
-    return out
+    return reduce(DataFrame.unionAll, done).select("id", F.col("back").alias("seg"), F.col("steps").alias("pos")), parts
 
 
 def _paths(begun: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -149,8 +150,9 @@ class Walks:
         links = saved(known(ids.withColumnRenamed("id", "own")).select(F.col("own").alias("id"), "letter", F.when(F.col("id").isNull(), F.col("ahead")).alias("lost"), F.col("id").alias("next")), "links")
         begun = starts(kmers).select("kmer", "f_ext").distinct().select(F.monotonically_increasing_id().alias("walk"), F.col("kmer").alias("start"), letter.alias("letter"), ahead.alias("ahead"))
         begun = saved(known(begun).select("walk", "start", "letter", F.when(F.col("id").isNull(), F.col("ahead")).alias("lost"), F.col("id").alias("next")), "begun")
-        placed = _segments(links, begun)
+        placed, parts = _segments(links, begun)
         letters = saved(placed.join(links, "id").select("seg", "pos", "letter", "lost", "next"), "letters")
+        drop(*parts)
         last = F.max_by(F.struct("lost", "next"), "pos")
         segments = saved(letters.groupBy("seg").agg(F.count("*").alias("n"), last.alias("last")).select("seg", "n", F.col("last.lost").alias("lost"), F.col("last.next").alias("after")), "runs")
         nth = F.floor(F.col("pos") / chunk).cast("long")
@@ -166,7 +168,7 @@ class Walks:
         more = paths.join(texts, "seg").select("walk", (F.lit(k + 1) + F.col("at") + F.col("from")).alias("at"), "text")
         self.pieces = saved(begun.select("walk", F.lit(0).cast("long").alias("at"), F.concat("start", "letter").alias("text")).unionAll(more), "pieces")
         table.drop()
-        drop(links, begun, placed, letters, segments, paths, rings)
+        drop(links, begun, letters, segments, paths, rings)
 
     def texts(self) -> DataFrame:
         """(contig, n_nodes, next, ended): each walk's text in one row."""

@@ -363,7 +363,7 @@ def kmer_hash(spark, sf_dir):
 
 @query
 def kmer_hash_51(spark, sf_dir):
-    return fixtures.kmers(spark, sf_dir, WIDE_K).select("kmer", fk.hashed(F.col("kmer"), WIDE_K).cast("string").alias("hash"))
+    return fixtures.kmers(spark, sf_dir, WIDE_K).select("kmer", fk.unsigned(fk.hashed(F.col("kmer"), WIDE_K)).alias("hash"))
 
 
 @query

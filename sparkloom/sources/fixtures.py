@@ -33,11 +33,12 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str, k: int = 19) -> DataFrame:
-    """(o_orderkey, q): a sequence of k + 13 bases for each order."""
+    """(o_orderkey, q): a sequence of k + 13 bases for each order, dealt out before k-mers multiply them, as the table may be one small file."""
     digest = lambda text: F.translate(F.md5(text.cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
     key = F.col("o_orderkey").cast("string")
     q = digest(key) if k + 13 <= 32 else F.concat(digest(key), digest(F.concat(F.lit("a"), key)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", q.alias("q"))
+    keys = table(spark, sf_dir, "orders").select("o_orderkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keys.select("o_orderkey", q.alias("q"))
 
 
 def kmers(spark: SparkSession, sf_dir: str, k: int = 19) -> DataFrame:
