@@ -17,7 +17,7 @@ from sparkloom.scratch import drop, saved
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter, or without text, go."""
-    return identify(docs, train(docs)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return identify(docs, train(docs)).where(F.col(fresh(docs, "lang_pred")) != UNKNOWN).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.marks import fresh
 from sparkloom.llm.text_hash import slices, utf8
 
 RANKS = 300
+PARTS = 64
 UNKNOWN = "und"
 _KIND = np.full(256, 32, np.uint8)
 _KIND[128:] = np.arange(128, 256)
@@ -64,33 +66,38 @@ def language_profiles(labelled: DataFrame) -> dict[str, list[int]]:
     """For each lang of ``labelled`` (text, lang) its most frequent n-grams in order, counted over all rows. Rows without text or lang teach nothing."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= RANKS)
+    # first within each of PARTS shares of a language's n-grams, then over RANKS of each, so that no task has all of a language
+    first = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "gram"))).where(F.col("place") <= RANKS)
+    ranked = first(first(counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS))), "lang", "part").drop("place"), "lang")
     out: dict[str, list[int]] = {}
-    for lang, gram, _ in sorted(((r.lang, r.gram, r.place) for r in ranked.collect()), key=lambda r: (r[0], r[2])):  # RANKS rows a language
+    rows = ranked.select("lang", "gram", "place").collect()  # RANKS rows a language
+    for lang, gram, _ in sorted(map(tuple, rows), key=lambda r: (r[0], r[2])):
         out.setdefault(lang, []).append(gram)
     return out
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """``docs`` with lang_pred and score added; only the column text is looked at.
+    """``docs`` with lang_pred and score added (with underscores before a name that ``docs`` has, see ``fresh``); only the column text is looked at.
 
     lang_pred is the language of least distance (the first by name of equals), ``und`` for a null text, one without a
-    letter, or when no language is known. Columns of those names are replaced. Rows and equal texts are judged alike, an empty table gives an empty one. score is 1 less the distance's share of the greatest possible one, 0 for ``und``.
+    letter, or when no language is known.  Rows and equal texts are judged alike, an empty table gives an empty one. score is 1 less the distance's share of the greatest possible one, 0 for ``und``.
     """
     names = sorted(profiles)
     known = np.unique(np.array([g for p in profiles.values() for g in p], np.uint32))
     ranks = np.full((len(known) + 1, len(names)), -1, np.int32)
     for k, name in enumerate(names):
         ranks[np.searchsorted(known, np.array(profiles[name], np.uint32)), k] = np.arange(len(profiles[name]))
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    asked = docs.withColumn("__letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    guess, sure = fresh(docs, "lang_pred"), fresh(docs, "score")
+    schema = docs.withColumns({guess: F.lit(""), sure: F.lit(0.0)}).schema
+    letters = fresh(docs, "letters")
+    asked = docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             langs, scores = [], []
-            for k, letters in enumerate(batch.column("__letters").to_pylist()):
-                if not letters or not names:
+            for k, lettered in enumerate(batch.column(len(docs.columns)).to_pylist()):
+                if not lettered or not names:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
@@ -102,8 +109,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
                 best = int(np.argmin(away))
                 langs.append(names[best])
                 scores.append(float(1 - away[best] / (RANKS * len(own))))
-            own = {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
-            yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in schema.names], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
     return asked.mapInArrow(predict, schema)
 
@@ -118,5 +124,10 @@ def train(docs: DataFrame) -> dict[str, list[int]]:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every text of ``docs`` (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
+
+    A null doc_id is not held out and teaches nothing; a null text or lang teaches nothing. Rows that repeat are judged
+    alike and count each time; of languages at the same distance the first by name is taken, of n-grams as frequent the
+    lesser. An empty table gives an empty one, a table without labels ``und`` throughout. Texts are read whole; other columns are not looked at, whatever their names.
+    """
     return identify(docs.select("doc_id", _held_out(docs).alias("held_out"), "text"), train(docs)).select("doc_id", "held_out", "lang_pred", "score")
