@@ -89,14 +89,14 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
         ranks[np.searchsorted(known, np.array(profiles[name], np.uint32)), k] = np.arange(len(profiles[name]))
     guess, sure = fresh(docs, "lang_pred"), fresh(docs, "score")
     schema = docs.withColumns({guess: F.lit(""), sure: F.lit(0.0)}).schema
-    letters = fresh(docs, "letters")
+    letters, last = fresh(docs, "letters"), len(docs.columns)
     asked = docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             langs, scores = [], []
-            for k, lettered in enumerate(batch.column(len(docs.columns)).to_pylist()):
+            for k, lettered in enumerate(batch.column(last).to_pylist()):
                 if not lettered or not names:
                     langs.append(UNKNOWN)
                     scores.append(0.0)

@@ -3,9 +3,10 @@
 The parser's events build blocks (the "lines" of a page: text between two block-level tags). A block's ratio is its text
 length over the number of its tags. Ratios are smoothed with a Gaussian over neighbouring blocks and parted by a
 threshold into two clusters. The upper cluster is the text, with what lies between its blocks or beside them in their
-common element, and with the headings and paragraphs next to it; only blocks that are mostly links are left out there.
-Navigation, headers, footers, asides, forms, scripts, styles and elements named as adverts, notices or comments never
-belong to it. All steps take time in proportion to the page, however deep its elements nest.
+common element, and with the headings and paragraphs next to it, as far as their own smoothed ratios reach a second, low
+threshold; only blocks that are mostly links are left out there. Navigation, headers, footers, asides, forms and elements
+named as adverts, notices or comments lower the ratio of what is in them; scripts and styles are no text. A comment or tag
+that never ends takes what follows with it. All steps take time in proportion to the page, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.0
+#: Characters a tag below which no block is text; the part of its ratio that a block in boilerplate counts.
+LEAST, BOILERPLATE = 0.01, 1e-6
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td template tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
@@ -35,6 +38,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks next to the main run that continue it.
 FLOWING = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption caption".split())
 SPACE = re.compile(r"\s+")
+OPENING = re.compile(r"<!--|<(script|style)\b", re.IGNORECASE)
+MARKUP = re.compile(r"<[a-zA-Z/!?]")
 #: An open paragraph or item ends where one of these begins.
 CLOSES = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
 
@@ -50,6 +55,26 @@ def set_apart(names: str, words: re.Pattern) -> bool:
     return False
 
 
+def ended(html: str) -> str:
+    """``html`` up to a comment or tag that never ends, as browsers take it: all that follows is in it. One pass, so that the parser meets no markup without an end."""
+    html = html.replace("<![", "<! [")  # outside foreign elements a marked section is a comment up to the next >
+    html = html.replace("<!-->", "").replace("<!--->", "")  # whole comments
+    at = 0
+    while m := OPENING.search(html, at):
+        if m[1]:  # what looks like a comment within a script is none
+            close = re.compile(f"</{m[1]}", re.IGNORECASE).search(html, m.end())
+            if not close:
+                break
+            at = close.end()
+        elif (close := html.find("-->", m.end())) < 0:
+            html = html[: m.start()]
+            break
+        else:
+            at = close + 3
+    cut = MARKUP.search(html, html.rfind(">") + 1)
+    return html[: cut.start()] if cut else html
+
+
 class _Element:
     __slots__ = ("apart", "block", "by_name", "depth", "holds", "linked", "mass", "name", "named", "parent", "prior", "silent", "within")
 
@@ -170,15 +195,21 @@ def threshold(values: list[float]) -> float:
     return cut
 
 
-def _upper(blocks: list[tuple[str, int, int, _Element]]) -> list[bool]:
-    """Whether each block is in the upper cluster of smoothed ratios."""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in blocks])
-    cut = min(threshold(ratios), max(ratios))  # a mean of equal values may round above them
-    return [r >= cut for r in ratios]
+def _scores(blocks: list[tuple[str, int, int, _Element]]) -> list[float]:
+    """The smoothed ratio of each block; one that elements or their names tell to be no part of the text counts BOILERPLATE of its own, before and after smoothing, so that a long text beside it does not lift it."""
+    prior = [BOILERPLATE if e.apart else 1.0 for _, _, _, e in blocks]
+    ratios = smoothed([p * len(text) / max(1, tags) for p, (text, tags, _, _) in zip(prior, blocks, strict=True)])
+    return [p * r for p, r in zip(prior, ratios, strict=True)]
+
 
+def _upper(scores: list[float]) -> list[bool]:
+    """Whether each block is in the upper cluster, and no boilerplate throughout."""
+    cut = min(threshold(scores), max(scores))  # a mean of equal values may round above them
+    return [s >= cut and s >= LEAST for s in scores]
 
-def _without_named(blocks: list[tuple[str, int, int, _Element]], elements: list[_Element]) -> list[tuple[str, int, int, _Element]]:
-    """The blocks outside elements that their names set apart.
+
+def _settle(blocks: list[tuple[str, int, int, _Element]], elements: list[_Element]) -> None:
+    """Sets elements apart by their names.
 
     A name counts for nothing if the element holds an article or main element, or, where no such element with text is
     elsewhere, more than half of the upper cluster's text.
@@ -189,12 +220,12 @@ def _without_named(blocks: list[tuple[str, int, int, _Element]], elements: list[
             if e.holds or (not e.by_name and e.name in ("article", "main")):
                 e.parent.holds = True
     if not any(e.by_name for e in elements):
-        return blocks
+        return
     for e in elements:  # parents before their children
         e.named = e.by_name or e.parent.named
     everything, prior = 0, False
-    for (text, _, _, e), u in zip(blocks, _upper(blocks), strict=True):
-        prior = prior or (e.prior and not e.named)
+    for (text, _, _, e), u in zip(blocks, _upper(_scores(blocks)), strict=True):
+        prior = prior or (e.prior and not e.named and not e.apart)
         if u:
             everything += len(text)
             e.mass += len(text)
@@ -205,14 +236,16 @@ def _without_named(blocks: list[tuple[str, int, int, _Element]], elements: list[
             e.by_name = False
         e.apart = e.apart or e.by_name or e.parent.apart
         e.mass = 0
-    return [b for b in blocks if not b[3].apart]
 
 
 def _selected(blocks: list[tuple[str, int, int, _Element]], elements: list[_Element]) -> list[bool]:
-    """The upper cluster's blocks, those between them or in their common element, and the headings and paragraphs next to these."""
-    upper = _upper(blocks)
+    """The upper cluster's blocks, and of those between them, in their common element or next to these the ones whose own smoothed ratio is LEAST or more."""
+    scores = _scores(blocks)
+    upper = _upper(scores)
+    if not any(upper):
+        return upper
     names = [b[3].block.name for b in blocks]
-    flows = [2 * links <= len(text) or name in HEADINGS for (text, _, links, _), name in zip(blocks, names, strict=True)]
+    flows = [s >= LEAST and (2 * links <= len(text) or name in HEADINGS) for s, (text, _, links, _), name in zip(scores, blocks, names, strict=True)]
     core = [k for k, u in enumerate(upper) if u]
     for k in core:
         blocks[k][3].mass += 1
@@ -226,27 +259,32 @@ def _selected(blocks: list[tuple[str, int, int, _Element]], elements: list[_Elem
     inside = [k for k, b in enumerate(blocks) if b[3].within]
     first, last = min(core + inside), max(core + inside)
     continues = [f and name in FLOWING for f, name in zip(flows, names, strict=True)]
-    while first > 0 and continues[first - 1]:
-        first -= 1
-    while last + 1 < len(blocks) and continues[last + 1]:
-        last += 1
+    # boilerplate between two blocks of the text parts nothing
+    while (k := next((k for k in range(first - 1, -1, -1) if scores[k] >= LEAST), -1)) >= 0 and continues[k]:
+        first = k
+    while (k := next((k for k in range(last + 1, len(blocks)) if scores[k] >= LEAST), -1)) >= 0 and continues[k]:
+        last = k
     return [first <= k <= last and (upper[k] or flows[k]) for k in range(len(blocks))]
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks, white space within a block as one space, joined by two line ends; empty if there is none."""
     parser = Blocks()
-    parser.feed(html or "")
-    blocks = [b for b in parser.done() if not b[3].apart]
-    if blocks:
-        blocks = _without_named(blocks, parser.elements)
+    parser.feed(ended(html or ""))
+    blocks = parser.done()
     if not blocks:
         return ""
+    _settle(blocks, parser.elements)
     return "\n\n".join(b[0] for b, k in zip(blocks, _selected(blocks, parser.elements), strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html); null html is empty. No row meets another, so repeated and null ids are kept; other columns are ignored."""
+    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html); null or empty html, and a page without text, have an empty text.
+
+    No row meets another, so repeated rows, equal ids and null ids are kept, each judged alone; an empty table gives an empty one; columns of other
+    names are not looked at. Blocks of equal ratios fall into one cluster. A page of any length is read whole by one task, in time and memory
+    in proportion to it.
+    """
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -87,8 +87,9 @@ def test_languages(docs, none):
     got = {r.doc_id: r for r in languages(docs).collect()}
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (0, 1, 2, 7))
     out = identify(docs, train(docs))
-    assert out.columns == docs.columns and dict(out.dtypes)["lang_pred"] == "string"
-    assert {r.lang_pred for r in identify(docs, train(none)).select("lang_pred").collect()} == {"und"}
+    # the input's own columns of these names stay, the prediction comes beside them
+    assert out.columns == [*docs.columns, "_lang_pred", "_score"] and {(r.lang_pred, r.score) for r in out.collect()} == {(0, "")}
+    assert {r._lang_pred for r in identify(docs.withColumn("__letters", F.lit(1)), train(none)).collect()} == {"und"}
 
 
 def test_secrets_ledger_and_redaction(spark, tmp_path):

@@ -32,3 +32,22 @@ def test_each_group_keeps_its_least_row(spark):
     kept = [(5, A), (3, B + " end"), (None, A), (None, B), (7, None), (7, ""), (None, None)]
     out = corpus_pipeline.one_of_each(spark, docs, "")
     assert rows(out) == sorted(kept, key=repr) and out.columns == docs.columns
+
+
+def test_the_users_own_columns_stay(spark, tmp_path):
+    """Columns named like inner ones, nulls, empty and long texts, ties, repeated rows: through the whole pipeline."""
+    inner = ["score", "lang_pred", "letters", "__letters", "key", "goes", "single", "k1", "k2", "place", "piece", "bits", "blob", "n", "words", "spans", "own"]
+    long = " ".join(f"word{i} and" for i in range(400_000))
+    texts = [(1, A, "en"), (2, A + " end", "en"), (2, A + " end", "en"), (3, B, "de"), (4, None, "en"), (None, B, "de"), (None, None, None), (5, "", "en"), (6, "12 !!", "en"), (7, long, "en"), (8, f"{PASSAGE} {B}", "en"), (9, "token = abcdefgh1234 " + " ".join(f"gamma{i}" for i in range(30)), "en")]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` double" for c in inner)
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), *([0.77] * len(inner))) for i, t, lang in texts], shape)
+    spark.createDataFrame([("i", PASSAGE)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, str(tmp_path)).collect(), shape)
+        assert now.columns == docs.columns and {tuple(r)[5:] for r in now.collect()} == {(0.77,) * len(inner)}
+    kept = rows(now)
+    assert [(i, t[:10]) for i, t in kept] == sorted([(1, A[:10]), (3, B[:10]), (None, B[:10]), (7, long[:10]), (9, "[assign] g")], key=repr)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == len(kept)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
