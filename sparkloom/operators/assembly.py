@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.kmers import following
 from sparkloom.operators.lookup import BuiltTable
 from sparkloom.scratch import drop, saved
 
+REASONS = ("length", "letter", "extension")
 #: Letters of a contig in one row of its chunks.
 CHUNK = 1 << 16
 
@@ -25,10 +26,27 @@ def parsed(lines: DataFrame, k: int) -> DataFrame:
     return lines.select(F.substring("value", 1, k).alias("kmer"), F.substring("value", k + 2, 1).alias("b_ext"), F.substring("value", k + 3, 1).alias("f_ext"))
 
 
+def _fault(k: int) -> Column:
+    """Why a k-mer is none: another length, other letters, unknown extensions; null if it is one."""
+    return F.when(F.length("kmer") != k, "length").when(~F.col("kmer").rlike("^[ACGT]*$"), "letter").when(~(F.col("b_ext").rlike("^[ACGTF]$") & F.col("f_ext").rlike("^[ACGTF]$")), "extension")
+
+
 def faults(kmers: DataFrame, k: int) -> DataFrame:
     """(reason, n): k-mers of another length, with other letters, or with unknown extensions."""
-    reason = F.when(F.length("kmer") != k, "length").when(~F.col("kmer").rlike("^[ACGT]*$"), "letter").when(~(F.col("b_ext").rlike("^[ACGTF]$") & F.col("f_ext").rlike("^[ACGTF]$")), "extension")
-    return kmers.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    return kmers.select(_fault(k).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def valid(kmers: DataFrame, k: int, most: float = 0.0) -> tuple[DataFrame, dict[str, int]]:
+    """The k-mers that are ones, saved, and how many rows were left out for each reason, counted as they are written. More than the share ``most`` of all rows is an error."""
+    seen = Observation()
+    judged = kmers.withColumn("fault", _fault(k))
+    counts = [F.count_if(F.coalesce(F.col("fault") == r, F.lit(False))).alias(r) for r in REASONS]
+    kept = saved(judged.observe(seen, F.count("*").alias("rows"), *counts).where("fault is null").drop("fault"), "valid")
+    told = {r: seen.get[r] for r in REASONS if seen.get[r]}
+    if sum(told.values()) > most * seen.get["rows"]:
+        drop(kept)
+        raise ValueError(f"of {seen.get['rows']} k-mers these are none: {told}")
+    return kept, told
 
 
 def starts(kmers: DataFrame) -> DataFrame:

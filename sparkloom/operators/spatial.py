@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.prefix import running_sums
 from sparkloom.params import SimParams
+from sparkloom.scratch import drop, saved
 
 OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 FORWARD = OFFSETS[5:]
@@ -65,6 +67,45 @@ def forces_binned(p: DataFrame, size: float, params: SimParams) -> DataFrame:
     return _summed(p, pushes.select("id", "fx", "fy"))
 
 
+def forces_strips(p: DataFrame, params: SimParams) -> DataFrame:
+    """Adds ax, ay: every particle is compared with all in its strip of x and the two beside it, whatever their y."""
+    strips = p.withColumns({"bx": F.floor(F.col("x") / F.lit(params.cell)).cast("long"), "by": F.lit(0).cast("long")})
+    pushes = _pairs(_around(strips, [(-1, 0), (0, 0), (1, 0)]), _others(strips), ["bx", "by"], params)
+    return _summed(p, pushes.select("id", "fx", "fy"))
+
+
+#: Particles that look into one cell in one group, and the most cells for which these are dealt further: what is broadcast.
+LOOKING, SPLIT_CELLS = 2000, 4096
+
+
+def split_cells(binned: DataFrame, limit: int = LOOKING) -> DataFrame:
+    """(bx, by, parts): the occupied cells into which more than ``limit`` particles look, or than a 9 / SPLIT_CELLS-th of all where that is more, and into how many parts these are dealt. A particle looks into 9 cells, so these are at most SPLIT_CELLS rows. Saved."""
+    counts = saved(binned.groupBy("bx", "by").agg(F.count("*").alias("n")), "cells")
+    limit = max(limit, -(-9 * counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n // SPLIT_CELLS))
+    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in OFFSETS])).alias("s")
+    looking = counts.select("bx", "by", "n", steps).selectExpr("bx + s.dx as bx", "by + s.dy as by", "n").groupBy("bx", "by").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    out = saved(looking.join(counts.select("bx", "by"), ["bx", "by"], "left_semi").select("bx", "by", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "dense")
+    drop(counts)
+    return out
+
+
+def looks(binned: DataFrame, dense: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The particles with the cells they look into, and those in the cells, both keyed by (bx, by, part): the ones that look are dealt between a cell's parts, and the ones in it are in each."""
+    small = F.broadcast(dense)  # SPLIT_CELLS rows at most
+    parts = F.coalesce("parts", F.lit(1))
+    looking = _around(binned, OFFSETS).join(small, ["bx", "by"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
+    inside = _others(binned).join(small, ["bx", "by"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return looking, inside
+
+
+def forces_dense(p: DataFrame, size: float, params: SimParams, limit: int = LOOKING) -> DataFrame:
+    """Adds ax, ay as ``forces_binned`` does, however many particles share a cell: no group has more than about ``limit`` of them looking into a cell, or an even share."""
+    binned = with_cells(p, size, params)
+    dense = split_cells(binned, limit)
+    looking, inside = looks(binned, dense)
+    return _summed(p, _pairs(looking, inside, ["bx", "by", "part"], params).select("id", "fx", "fy"))
+
+
 def forces_half(p: DataFrame, size: float, params: SimParams) -> DataFrame:
     """Adds ax, ay: each pair is found once, in its own cell or a forward neighbour, and pushes both ways."""
     binned = with_cells(p, size, params)
@@ -79,23 +120,14 @@ def bin_counts(binned: DataFrame, dim: int) -> DataFrame:
     return spark.range(dim * dim).withColumnRenamed("id", "cell").join(binned.groupBy("cell").agg(F.count("*").alias("n")), "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def bin_starts(counts: DataFrame, dim: int) -> DataFrame:
-    """(cell, n, first, last): exclusive and inclusive prefix sums of n in cell order.
-
-    Sums run within each row of the grid, and over the dim row totals, so no task holds more than a row of cells.
-    """
-    rows = counts.withColumn("bx", F.floor(F.col("cell") / dim).cast("long"))
-    totals = rows.groupBy("bx").agg(F.sum("n").alias("total"))
-    before = totals.select("bx", F.coalesce(F.sum("total").over(Window.orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.sum("n").over(Window.partitionBy("bx").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("own", own).join(before, "bx").select("cell", "n", (F.col("before") + F.col("own") - F.col("n")).alias("first"), (F.col("before") + F.col("own")).alias("last"))
+def bin_starts(counts: DataFrame) -> DataFrame:
+    """(cell, n, first, last): exclusive and inclusive prefix sums of n in cell order."""
+    return running_sums(counts.select("cell", "n"), ["cell"], "n").select("cell", "n", F.col("before").alias("first"), F.col("upto").alias("last"))
 
 
-def scattered(binned: DataFrame, dim: int) -> DataFrame:
-    """(id, cell, slot): each particle's place in the array ordered by cell, then id."""
-    starts = bin_starts(bin_counts(binned, dim), dim).select("cell", "first")
-    nth = F.row_number().over(Window.partitionBy("cell").orderBy("id"))
-    return binned.select("id", "cell", (nth - 1).alias("nth")).join(starts, "cell").select("id", "cell", (F.col("first") + F.col("nth")).alias("slot"))
+def scattered(binned: DataFrame) -> DataFrame:
+    """(id, cell, slot): each particle's place in the array ordered by cell, then id: the particles before it."""
+    return running_sums(binned.select("id", "cell", F.lit(1).alias("one")), ["cell", "id"], "one").select("id", "cell", F.col("before").alias("slot"))
 
 
 def linked(binned: DataFrame) -> DataFrame:

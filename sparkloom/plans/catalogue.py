@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import kmers as fk
 from sparkloom.operators import assembly, blocks, dynamics, matrix, partition, spatial
 from sparkloom.operators.lookup import BuiltTable
+from sparkloom.operators.prefix import running_sums
 from sparkloom.params import RANKS, SimParams
 from sparkloom.plans.oracles import SQL  # noqa: F401
 from sparkloom.scratch import drop, new_path, saved
@@ -128,7 +129,7 @@ def _forces(df: DataFrame) -> DataFrame:
 
 @query
 def force_bruteforce(spark, sf_dir):
-    return _forces(spatial.forces_brute(fixtures.particles(spark, sf_dir)[0], P))
+    return _forces(spatial.forces_strips(fixtures.particles(spark, sf_dir)[0], P))
 
 
 @query
@@ -141,6 +142,14 @@ def force_halfstencil(spark, sf_dir):
     return _forces(spatial.forces_half(*fixtures.particles(spark, sf_dir), P))
 
 
+@query
+def force_dense(spark, sf_dir):
+    p, size = fixtures.particles(spark, sf_dir)
+    # every fourth particle in the first cell
+    crowded = p.withColumns({c: F.when(F.col("id") % 4 == 0, F.col(c) * F.lit(P.cell / size)).otherwise(F.col(c)) for c in "xy"})
+    return rounded(spatial.forces_dense(crowded, size, P, 500).select("id", "ax", "ay"), ax=2, ay=2)
+
+
 @query
 def force_equiv(spark, sf_dir):
     p, size = fixtures.particles(spark, sf_dir)
@@ -193,13 +202,19 @@ def bin_count(spark, sf_dir):
 @query
 def bin_prefix_sum(spark, sf_dir):
     binned, _, dim = _binned(spark, sf_dir)
-    return spatial.bin_starts(spatial.bin_counts(binned, dim), dim)
+    return spatial.bin_starts(spatial.bin_counts(binned, dim))
 
 
 @query
 def bin_scatter(spark, sf_dir):
-    binned, _, dim = _binned(spark, sf_dir)
-    return spatial.scattered(binned, dim)
+    binned = _binned(spark, sf_dir)[0]
+    return spatial.scattered(binned)
+
+
+@query
+def orders_running(spark, sf_dir):
+    orders = fixtures.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 10).alias("n"))
+    return running_sums(orders, ["o_totalprice", "o_orderkey"], "n").select("o_orderkey", "n", "before", "upto")
 
 
 @query
@@ -339,11 +354,21 @@ def kmer_block_split(spark, sf_dir):
     return lines.groupBy(F.floor(F.col("line_no") / share).cast("long").alias("rank")).agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
 
 
+def _spoilt() -> Column:
+    return F.when(F.col("line_no") % 97 == 0, F.concat(F.lit("N"), F.expr("substr(value, 2)"))).when(F.col("line_no") % 89 == 0, F.expr("concat(substr(value, 2, 18), '  ', substr(value, 21))")).otherwise(F.col("value"))
+
+
 @query
 def kmer_validate(spark, sf_dir):
     lines = fixtures.kmer_lines(spark, sf_dir, K)
-    spoilt = F.when(F.col("line_no") % 97 == 0, F.concat(F.lit("N"), F.expr("substr(value, 2)"))).when(F.col("line_no") % 89 == 0, F.expr("concat(substr(value, 2, 18), '  ', substr(value, 21))")).otherwise(F.col("value"))
-    return assembly.faults(assembly.parsed(lines.select(spoilt.alias("value")), K).withColumn("kmer", F.rtrim("kmer")), K)
+    return assembly.faults(assembly.parsed(lines.select(_spoilt().alias("value")), K).withColumn("kmer", F.rtrim("kmer")), K)
+
+
+@query
+def kmer_reject_counts(spark, sf_dir):
+    lines = fixtures.kmer_lines(spark, sf_dir, K)
+    kept, told = assembly.valid(assembly.parsed(lines.select(_spoilt().alias("value")), K).withColumn("kmer", F.rtrim("kmer")), K, 0.05)
+    return spark.createDataFrame([*told.items(), ("valid", kept.count())], "reason string, n long")
 
 
 @query

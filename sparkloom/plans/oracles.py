@@ -143,6 +143,7 @@ SQL: dict[str, str] = {
     "force_bruteforce": BRUTE,
     "force_binned": FORCES,
     "force_halfstencil": FORCES,
+    "force_dense": _with(*PARTICLES, f"pd AS (SELECT id, CASE WHEN id % 4 = 0 THEN x * ({B} / size) ELSE x END AS x, CASE WHEN id % 4 = 0 THEN y * ({B} / size) ELSE y END AS y FROM p, l)", OFFSETS, *_forces("f", "pd")) + f"SELECT id, {_round('ax', 2)}, {_round('ay', 2)} FROM f",
     "force_equiv": _with(*PARTICLES, OFFSETS, *_forces("f", "p"), f"q AS (SELECT s.id, t.id AS nid, t.x - s.x AS ex, t.y - s.y AS ey FROM (SELECT id, x, y, bx + dx AS bx, \"by\" + dy AS \"by\" FROM p_c, o WHERE dir >= 4) s JOIN p_c t ON s.bx = t.bx AND s.\"by\" = t.\"by\" AND (s.id < t.id OR s.bx <> floor(s.x / {B}) OR s.\"by\" <> floor(s.y / {B})))", f"h AS (SELECT id, nid, (1 - 0.01e0 / sqrt(greatest(ex * ex + ey * ey, {MIN_R2}))) / greatest(ex * ex + ey * ey, {MIN_R2}) / 0.01e0 * ex AS fx, (1 - 0.01e0 / sqrt(greatest(ex * ex + ey * ey, {MIN_R2}))) / greatest(ex * ex + ey * ey, {MIN_R2}) / 0.01e0 * ey AS fy FROM q WHERE ex * ex + ey * ey <= {CUT})", "hs AS (SELECT id, sum(fx) AS hx, sum(fy) AS hy FROM (SELECT id, fx, fy FROM h UNION ALL SELECT nid, -fx, -fy FROM h) GROUP BY id)") + "SELECT count(*) AS n_particles, CAST(coalesce(sum(CAST(abs(ax - coalesce(hx, 0e0)) > 1e-9 * greatest(1e0, abs(ax)) OR abs(ay - coalesce(hy, 0e0)) > 1e-9 * greatest(1e0, abs(ay)) AS INTEGER)), 0) AS BIGINT) AS n_different FROM f LEFT JOIN hs USING (id)",
     "particle_move": _with(*PARTICLES, OFFSETS, *_forces("f", "p"), *_moved("m", "f")) + STATE + "m",
     "particle_bounce": _with(*PARTICLES, "t AS (SELECT id, x + vx * (3.3e0 * size) AS x, y + vy * (3.3e0 * size) AS y, vx, vy FROM p, l)", _reflected("b", "t")) + STATE + "b",
@@ -152,6 +153,7 @@ SQL: dict[str, str] = {
     "bin_count": _with(*PARTICLES, _cells("c", "p"), DENSE) + "SELECT cell, n FROM d",
     "bin_prefix_sum": _with(*PARTICLES, _cells("c", "p"), DENSE, STARTS) + "SELECT * FROM st",
     "bin_scatter": _with(*PARTICLES, _cells("c", "p"), DENSE, STARTS) + "SELECT id, cell, first + row_number() OVER (PARTITION BY cell ORDER BY id) - 1 AS slot FROM c JOIN st USING (cell)",
+    "orders_running": "SELECT o_orderkey, o_custkey % 10 AS n, CAST(sum(o_custkey % 10) OVER w - o_custkey % 10 AS BIGINT) AS before, CAST(sum(o_custkey % 10) OVER w AS BIGINT) AS upto FROM orders WINDOW w AS (ORDER BY o_totalprice, o_orderkey)",
     "bin_linked_list": BINNED + "SELECT id, cell, lag(id) OVER (PARTITION BY cell ORDER BY id) AS next, id = max(id) OVER (PARTITION BY cell) AS head FROM c",
     "bin_members": BINNED + "SELECT cell, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM c GROUP BY cell",
     "cell_changes": CHANGES + "SELECT id, old_cell, new_cell FROM ch WHERE old_cell <> new_cell",
@@ -173,6 +175,7 @@ SQL: dict[str, str] = {
     "trajectory_file": _with(*PARTICLES, *FLOWN[:5]) + "SELECT CAST(frame AS BIGINT) AS frame, row_number() OVER (PARTITION BY frame ORDER BY id) - 1 AS nth, CAST(format('{:.6g}', x) AS DOUBLE) AS x, CAST(format('{:.6g}', y) AS DOUBLE) AS y FROM (SELECT 0 AS frame, id, x, y FROM p UNION ALL SELECT 1, id, x, y FROM ch0)",
     "kmer_block_split": KM + f"SELECT line_no // m AS rank, count(*) AS n, min(line_no) AS first_line FROM km, (SELECT (count(*) + {RANKS - 1}) // {RANKS} AS m FROM km) GROUP BY line_no // m",
     "kmer_validate": KM + "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN line_no % 97 = 0 THEN 'letter' WHEN line_no % 89 = 0 THEN 'length' END AS reason FROM km) WHERE reason IS NOT NULL GROUP BY reason",
+    "kmer_reject_counts": KM + "SELECT CASE WHEN line_no % 97 = 0 THEN 'letter' WHEN line_no % 89 = 0 THEN 'length' ELSE 'valid' END AS reason, count(*) AS n FROM km GROUP BY 1",
     "kmer_pack": KM + f"SELECT kmer, {_packed} AS packed FROM km",
     "kmer_unpack": KM + "SELECT kmer, kmer AS unpacked FROM km",
     "kmer_hash": KM + f"SELECT kmer, {H19} AS hash FROM km",
