@@ -12,9 +12,11 @@ from sparkloom.operators import assembly, blocks, dynamics, matrix, partition, s
 from sparkloom.operators.lookup import BuiltTable
 from sparkloom.operators.prefix import running_sums
 from sparkloom.params import RANKS, SimParams
+from sparkloom.plans import sql
 from sparkloom.plans.oracles import SQL  # noqa: F401
 from sparkloom.scratch import drop, new_path, saved
 from sparkloom.sources import files, fixtures
+from sparkloom.streaming import bins
 
 FLAGSHIP = "particle_step"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,6 +244,35 @@ def cell_changes(spark, sf_dir):
     return _changes(spark, sf_dir)[0].where("old_cell <> new_cell").select("id", "old_cell", "new_cell")
 
 
+@query
+def bins_streamed(spark, sf_dir):
+    moved, _ = _changes(spark, sf_dir)
+    path = new_path(spark, "moves")
+    shape = lambda step, old, new: moved.select(F.lit(step).cast("long").alias("step"), "id", old.cast("long").alias("old_cell"), new.cast("long").alias("new_cell"))
+    # they come in, fly, and every seventh goes for good
+    shape(0, F.lit(None), F.col("old_cell")).write.parquet(path)
+    shape(1, F.col("old_cell"), F.col("new_cell")).write.mode("append").parquet(path)
+    shape(2, F.col("new_cell"), F.lit(None)).where("id % 7 = 0").write.mode("append").parquet(path)
+    out = new_path(spark, "bins")
+    bins.run_bins(spark, path, out, new_path(spark, "state"), files_a_batch=4)
+    return bins.latest(spark, out)
+
+
+@query
+def kmers_by_sql(spark, sf_dir):
+    sql.register(spark)
+    fixtures.kmers(spark, sf_dir, WIDE_K).createOrReplaceTempView("wide_kmers")
+    return spark.sql("SELECT kmer, hex(kmer_pack(kmer)) AS packed, kmer_unpack(kmer_pack(kmer), 51) AS unpacked, conv(hex(kmer_hash(kmer)), 16, 10) AS hash, CASE WHEN f_ext <> 'F' THEN kmer_next(kmer, f_ext) END AS next, CASE WHEN b_ext <> 'F' THEN kmer_prev(kmer, b_ext) END AS prev FROM wide_kmers")
+
+
+@query
+def stencil_by_sql(spark, sf_dir):
+    binned, _, dim = _binned(spark, sf_dir)
+    sql.register(spark)
+    binned.createOrReplaceTempView("binned_particles")
+    return spark.sql(f"SELECT c.cell, s.dir, s.neighbour FROM (SELECT DISTINCT cell_of(x, y, {P.cell!r}D, {dim}L) AS cell FROM binned_particles) c, LATERAL cell_stencil(c.cell, {dim}L) s")
+
+
 # ranks
 
 

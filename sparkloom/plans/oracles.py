@@ -127,7 +127,13 @@ def _walk(k: int, short: str = "true", kept: str = "true") -> str:
 
 KM = _with(_kmers(19))
 H19 = _hash(19)
-_packed = " || ".join(f"substr('0123456789ABCDEF', {b} // 16 + 1, 1) || substr('0123456789ABCDEF', {b} % 16 + 1, 1)" for b in (_byte(n, 19) for n in range(5)))
+
+
+def _packed_bytes(k: int) -> str:
+    return " || ".join(f"substr('0123456789ABCDEF', {b} // 16 + 1, 1) || substr('0123456789ABCDEF', {b} % 16 + 1, 1)" for b in (_byte(n, k) for n in range(-(-k // 4))))
+
+
+_packed = _packed_bytes(19)
 
 SQL: dict[str, str] = {
     "dgemm_coo": _with(A, AA) + "SELECT i, j, round(v, 6) + 0.0e0 AS v FROM aa",
@@ -157,6 +163,9 @@ SQL: dict[str, str] = {
     "bin_linked_list": BINNED + "SELECT id, cell, lag(id) OVER (PARTITION BY cell ORDER BY id) AS next, id = max(id) OVER (PARTITION BY cell) AS head FROM c",
     "bin_members": BINNED + "SELECT cell, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM c GROUP BY cell",
     "cell_changes": CHANGES + "SELECT id, old_cell, new_cell FROM ch WHERE old_cell <> new_cell",
+    "bins_streamed": CHANGES + "SELECT new_cell AS cell, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM ch WHERE id % 7 <> 0 GROUP BY new_cell",
+    "kmers_by_sql": _with(_kmers(51)) + f"SELECT kmer, {_packed_bytes(51)} AS packed, kmer AS unpacked, CAST({_hash(51)} AS VARCHAR) AS hash, CASE WHEN f_ext <> 'F' THEN substr(kmer, 2) || f_ext END AS next, CASE WHEN b_ext <> 'F' THEN b_ext || substr(kmer, 1, 50) END AS prev FROM km",
+    "stencil_by_sql": _with(*PARTICLES, _cells("c", "p"), OFFSETS) + "SELECT cell, dir, (bx + dx) * dim + \"by\" + dy AS neighbour FROM (SELECT DISTINCT cell, bx, \"by\", dim FROM c), o WHERE bx + dx >= 0 AND bx + dx < dim AND \"by\" + dy >= 0 AND \"by\" + dy < dim",
     "rank_assign": BINNED + f"SELECT id, cell, {_rank('cell')} AS rank FROM c",
     "rank_assign_strip": BINNED + f"SELECT id, bx, least(bx // (dim // {RANKS}), {RANKS - 1}) AS rank, CASE WHEN bx - dim // {RANKS} >= -1 AND bx - dim // {RANKS} <= dim // {RANKS} THEN bx - dim // {RANKS} + 1 WHEN bx - dim // {RANKS} < -1 THEN -2 ELSE -3 END AS place FROM c",
     "halo_send": _with(*GRID) + "SELECT DISTINCT rank, other, cell FROM h WHERE rank <> other",
