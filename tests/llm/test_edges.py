@@ -247,7 +247,7 @@ def test_neighbours_among_many_copies(spark):
         equal = np.flatnonzero((rows == rows[copies[0]]).all(1))
         for n in (1, 7):  # one query in a task, or several
             asked = equal[:n]
-            for query, found, scores in scan_lists(ids, rows, asked, rows[asked], rotation, 10):
+            for query, found, scores, _ in scan_lists(ids, rows, asked, rows[asked], np.full(len(asked), np.inf), rotation, 10):
                 assert found.tolist() == [i for i in equal.tolist() if i != query][:10] and not scores.any()
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
     query = int(equal[3])
