@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from sparkloom.functions.kmers import following
 from sparkloom.operators.lookup import BuiltTable
 from sparkloom.scratch import drop, saved
 
+#: Letters of the substring by which k-mers are dealt to tasks, and the k-mers that a task puts together at a time.
+MINIMIZER, HELD = 9, 1 << 20
 REASONS = ("length", "letter", "extension")
 #: Letters of a contig in one row of its chunks.
 CHUNK = 1 << 16
@@ -78,36 +82,93 @@ def repeated(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _segments(links: DataFrame, begun: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(id, seg, pos) and the saved tables that it reads: each k-mer of ``links`` (id, next) with the head of its segment and how far behind it is.
+def _joints(known: DataFrame, begun: DataFrame, k: int) -> DataFrame:
+    """(kmer, f_ext, single): the k-mers of ``known``, and whether one k-mer and no start leads to each. What is known of a k-mer meets in one grouping: that it is there, what leads to it, and whether a walk of ``begun`` (ahead) begins with it."""
+    told = known.select("kmer", "f_ext", F.lit(0).alias("led"), F.lit(0).alias("begins"))
+    told = told.unionAll(known.where("f_ext <> 'F'").select(following(F.col("kmer"), F.col("f_ext"), k), F.lit(None).cast("string"), F.lit(1), F.lit(0)))
+    told = told.unionAll(begun.where("ahead is not null").select("ahead", F.lit(None).cast("string"), F.lit(0), F.lit(1)))
+    met = told.groupBy("kmer").agg(F.min("f_ext").alias("f_ext"), F.sum("led").alias("led"), F.sum("begins").alias("begins")).where("f_ext is not null")
+    return met.select("kmer", "f_ext", ((F.col("led") == 1) & (F.col("begins") == 0)).alias("single"))
 
-    A segment is a run of k-mers that each follow the one before and nothing else; it begins where walks begin (the column next of
-    ``begun``) or meet. Each round doubles how far back a k-mer points, until it points to a head; finished ones are not
+
+def _fragments(joints: DataFrame, k: int, most: int) -> DataFrame:
+    """(head, single, ahead, n, letters): k-mers that follow each other and nothing else, put together within a task.
+
+    K-mers that share the substring of least hash meet in one task, as neighbours mostly do, so that most of a chain is
+    put together at once. A fragment has ``most`` k-mers at the most, a task holds HELD of them at a time; where a chain is cut does not
+    matter, as fragments are linked afterwards. ``ahead`` is the k-mer that follows, null after an end. Rings that nothing leads into may be left out.
+    """
+    size = min(MINIMIZER, k)
+    shortest = F.array_min(F.transform(F.sequence(F.lit(1), F.lit(k - size + 1)), lambda i: F.xxhash64(F.substring(F.col("kmer"), i, F.lit(size)))))
+
+    def chained(kmers: list[str], ends: list[str], single: list[bool]) -> pa.RecordBatch:
+        place = {kmer: i for i, kmer in enumerate(kmers)}
+        ahead = [kmer[1:] + f if f != "F" else None for kmer, f in zip(kmers, ends, strict=True)]
+        next_one = [place.get(a, -1) for a in ahead]
+        next_one = [j if j >= 0 and single[j] else -1 for j in next_one]
+        inner = set(next_one)
+        todo = [i for i in range(len(kmers)) if i not in inner]
+        heads, lengths, texts, nexts = [], [], [], []
+        while todo:
+            i = todo.pop()
+            heads.append(i)
+            text = []
+            while True:
+                text.append(ends[i] if ends[i] != "F" else "")
+                j = next_one[i]
+                if j < 0 or len(text) == most:
+                    break
+                i = j
+            if j >= 0:
+                todo.append(j)
+            lengths.append(len(text))
+            texts.append("".join(text))
+            nexts.append(ahead[i])
+        columns = [pa.array([kmers[i] for i in heads], pa.string()), pa.array([single[i] for i in heads], pa.bool_()), pa.array(nexts, pa.string()), pa.array(lengths, pa.int64()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["head", "single", "ahead", "n", "letters"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
+        for batch in batches:
+            for own, column in zip(held, batch.columns, strict=True):
+                own.extend(column.to_pylist())
+            if len(held[0]) >= HELD:
+                yield chained(*held)
+                held = ([], [], [])
+        if held[0]:
+            yield chained(*held)
+
+    dealt = joints.withColumn("least", shortest).repartition("least").select("kmer", "f_ext", "single")
+    return dealt.mapInArrow(put, "head string, single boolean, ahead string, n long, letters string")
+
+
+def _segments(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, seg, pos, steps) and the saved tables that it reads: each fragment of ``links`` (id, single, n, next) with the head of its segment, and how many k-mers and fragments behind it is.
+
+    A segment is a run of fragments that each follow the one before and nothing else; it begins where walks begin or
+    meet. Each round doubles how far back a fragment points, until it points to a head; finished ones are not
     joined again, so that no two rows of a round share a key. What is unfinished after as many rounds as the longest
     run can need are rings that no walk enters; they are left out.
     """
-    # what is known of a k-mer meets in one grouping: that it is there, what it follows, and whether a walk begins with it
-    none = F.lit(None).cast("long")
-    told = links.select("id", none.alias("before"), F.lit(True).alias("there"), F.lit(False).alias("begins"))
-    told = told.unionAll(links.where("next is not null").select("next", "id", F.lit(False), F.lit(False)))
-    told = told.unionAll(begun.where("next is not null").select("next", none, F.lit(False), F.lit(True)))
-    met = told.groupBy("id").agg(F.count("before").alias("n"), F.min("before").alias("before"), F.max("there").alias("there"), F.max("begins").alias("begins")).where("there")
-    single = (F.col("n") == 1) & ~F.col("begins")
-    now = saved(met.select("id", F.when(single, F.col("before")).otherwise(F.col("id")).alias("back"), single.cast("long").alias("steps"), (~single).alias("done")), "back")
+    ends = links.where("single").select("id").withColumnRenamed("id", "next")
+    before = links.select(F.col("id").alias("back"), "n", "next").join(ends, "next").select(F.col("next").alias("id"), "back", "n")  # one for each
+    zero = F.lit(0).cast("long")
+    at = links.select("id").join(before, "id", "left").select("id", F.coalesce("back", "id").alias("back"), F.coalesce("n", zero).alias("pos"), F.col("back").isNotNull().cast("long").alias("steps"), F.col("back").isNull().alias("done"))
+    now = saved(at, "back")
     parts, active = [now], now.where("not done")
     left = active.count()
     done = [now.where("done")]
     for _ in range(max(1, left).bit_length() + 1):
         if not left:
             break
-        at = reduce(DataFrame.unionAll, [*done, active])  # a finished k-mer is a hop for those behind it
-        hops = at.select(F.col("id").alias("back"), F.col("back").alias("far"), F.col("steps").alias("more"), F.col("done").alias("ends"))
-        now = saved(active.join(hops, "back").select("id", F.col("far").alias("back"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done")), "back")
+        at = reduce(DataFrame.unionAll, [*done, active])  # a finished fragment is a hop for those behind it
+        hops = at.select(F.col("id").alias("back"), F.col("back").alias("far"), F.col("pos").alias("over"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+        now = saved(active.join(hops, "back").select("id", F.col("far").alias("back"), (F.col("pos") + F.col("over")).alias("pos"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done")), "back")
         parts.append(now)
         done.append(now.where("done"))
         active = now.where("not done")
         left = active.count()
-    return reduce(DataFrame.unionAll, done).select("id", F.col("back").alias("seg"), F.col("steps").alias("pos")), parts
+    return reduce(DataFrame.unionAll, done).select("id", F.col("back").alias("seg"), "pos", "steps"), parts
 
 
 def _paths(begun: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -161,32 +222,30 @@ class Walks:
     def __init__(self, kmers: DataFrame, k: int, chunk: int = CHUNK):
         ahead = F.when(F.col("f_ext") != "F", following(F.col("kmer"), F.col("f_ext"), k))
         letter = F.when(F.col("f_ext") != "F", F.col("f_ext")).otherwise("")
-        table = BuiltTable(nodes(kmers).withColumn("id", F.monotonically_increasing_id()), "kmer")
+        known = saved(nodes(kmers), "nodes")
+        first = saved(starts(kmers).select("kmer", "f_ext").distinct().select(F.monotonically_increasing_id().alias("walk"), F.col("kmer").alias("start"), letter.alias("letter"), ahead.alias("ahead")), "starts")
+        table = BuiltTable(_fragments(_joints(known, first, k), k, chunk).withColumn("id", F.monotonically_increasing_id()), "head")
         # both look-ups probe the one table
-        ids = table.table().select("id", letter.alias("letter"), ahead.alias("ahead"))
-        known = lambda asked: table.found(asked, "ahead").drop("f_ext")
-        links = saved(known(ids.withColumnRenamed("id", "own")).select(F.col("own").alias("id"), "letter", F.when(F.col("id").isNull(), F.col("ahead")).alias("lost"), F.col("id").alias("next")), "links")
-        begun = starts(kmers).select("kmer", "f_ext").distinct().select(F.monotonically_increasing_id().alias("walk"), F.col("kmer").alias("start"), letter.alias("letter"), ahead.alias("ahead"))
-        begun = saved(known(begun).select("walk", "start", "letter", F.when(F.col("id").isNull(), F.col("ahead")).alias("lost"), F.col("id").alias("next")), "begun")
-        placed, parts = _segments(links, begun)
-        letters = saved(placed.join(links, "id").select("seg", "pos", "letter", "lost", "next"), "letters")
+        find = lambda asked: table.found(asked, "ahead", ["id"]).withColumn("lost", F.when(F.col("id").isNull(), F.col("ahead"))).withColumnRenamed("id", "next").drop("ahead")
+        links = saved(find(table.table().drop("head").withColumnRenamed("id", "own")).withColumnRenamed("own", "id"), "links")
+        begun = saved(find(first), "begun")
+        placed, parts = _segments(links)
+        letters = saved(placed.join(links.select("id", "n", "letters", "lost", "next"), "id").select("seg", "pos", "steps", "n", "letters", "lost", "next"), "letters")
         drop(*parts)
-        last = F.max_by(F.struct("lost", "next"), "pos")
-        segments = saved(letters.groupBy("seg").agg(F.count("*").alias("n"), last.alias("last")).select("seg", "n", F.col("last.lost").alias("lost"), F.col("last.next").alias("after")), "runs")
-        nth = F.floor(F.col("pos") / chunk).cast("long")
-        listed = F.array_sort(F.collect_list(F.struct("pos", "letter")))
-        texts = letters.groupBy("seg", nth.alias("nth")).agg(F.array_join(F.transform(listed, lambda x: x.letter), "").alias("text")).select("seg", (F.col("nth") * chunk).alias("from"), "text")
+        last = F.max_by(F.struct("lost", "next"), "steps")
+        segments = saved(letters.groupBy("seg").agg(F.sum("n").alias("n"), last.alias("last")).select("seg", "n", F.col("last.lost").alias("lost"), F.col("last.next").alias("after")), "runs")
+        texts = letters.select("seg", F.col("pos").alias("from"), F.col("letters").alias("text"))
         paths, rings, self.rounds = _paths(begun, segments)
         met = paths.join(segments.select("seg", "n", "lost"), "seg")
         ends = met.groupBy("walk").agg(F.sum("n").alias("n"), F.max_by("lost", "nth").alias("stops"))
-        names = table.table().select(F.col("id").alias("seg"), F.col("kmer").alias("again"))
+        names = table.table().select(F.col("id").alias("seg"), F.col("head").alias("again"))
         closed = rings.join(names, "seg").select("walk", "again")
         told = begun.join(ends, "walk", "left").join(closed, "walk", "left").select("walk", "start", (1 + F.coalesce("n", F.lit(0))).alias("n_nodes"), F.coalesce("again", "stops", "lost").alias("next"))
         self.walks = saved(told.withColumn("ended", F.col("next").isNull()), "walks")
         more = paths.join(texts, "seg").select("walk", (F.lit(k + 1) + F.col("at") + F.col("from")).alias("at"), "text")
         self.pieces = saved(begun.select("walk", F.lit(0).cast("long").alias("at"), F.concat("start", "letter").alias("text")).unionAll(more), "pieces")
         table.drop()
-        drop(links, begun, letters, segments, paths, rings)
+        drop(known, first, links, begun, letters, segments, paths, rings)
 
     def texts(self) -> DataFrame:
         """(contig, n_nodes, next, ended): each walk's text in one row."""

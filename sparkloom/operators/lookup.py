@@ -25,9 +25,10 @@ class BuiltTable:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def found(self, asked: DataFrame, by: str, how: str = "left") -> DataFrame:
-        """``asked`` with the table's other columns, where its column ``by`` is a key of it."""
-        return asked.join(self.table().withColumnRenamed(self.key, by), by, how)
+    def found(self, asked: DataFrame, by: str, columns: list[str] | None = None) -> DataFrame:
+        """``asked`` with the table's other columns, or those named, where its column ``by`` is a key of it; else with nulls."""
+        held = self.table().select(self.key, *columns) if columns else self.table()
+        return asked.join(held.withColumnRenamed(self.key, by), by, "left")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
