@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.spatial import forces_binned
 from sparkloom.params import SimParams
-from sparkloom.scratch import saved
+from sparkloom.scratch import drop, saved
 
 
 def lattice(spark, n: int, params: SimParams, seed: int = 1) -> tuple[DataFrame, float]:
@@ -53,8 +53,10 @@ def step(p: DataFrame, size: float, params: SimParams) -> DataFrame:
 
 def simulate(p: DataFrame, size: float, steps: int, params: SimParams) -> DataFrame:
     """The state after some steps. Each step's state is a table in the shared folder, so lineage stays short and a lost executor costs one step."""
-    for _ in range(steps):
-        p = saved(step(p, size, params), "state")
+    for k in range(steps):
+        before, p = p, saved(step(p, size, params), "state")
+        if k:
+            drop(before)
     return p
 
 
@@ -62,7 +64,9 @@ def frames(p: DataFrame, size: float, steps: int, params: SimParams) -> DataFram
     """(frame, id, x, y): the places after steps 1, 1 + save_every, ..."""
     out = None
     for k in range(steps):
-        p = saved(step(p, size, params), "state")
+        before, p = p, saved(step(p, size, params), "state")
+        if k and (k - 1) % params.save_every:
+            drop(before)
         if k % params.save_every == 0:
             own = p.select(F.lit(k // params.save_every).alias("frame"), "id", "x", "y")
             out = own if out is None else out.unionByName(own)
