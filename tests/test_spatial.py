@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import assembly, spatial
 from sparkloom.operators.prefix import running_sums
 from sparkloom.params import SimParams
+from sparkloom.sources import fixtures
 
 P = SimParams()
 
@@ -58,3 +59,12 @@ def test_rejects_are_counted_as_rows_are_written(spark):
     with pytest.raises(ValueError, match="of 5 k-mers"):
         assembly.valid(kmers, 4)
     assert assembly.valid(kmers.where(F.length("kmer") == 0), 4)[1] == {}
+
+
+def test_places_of_large_ids(spark, tmp_path):
+    ids = [*range(-102, 21), -500_001, 499_999, 772_000, 6_000_000, 36_000_000, -36_000_000, 10**12, 2**63 - 1, -(2**63)]
+    spark.createDataFrame([(e,) for e in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    p, size = fixtures.particles(spark, str(tmp_path))
+    rest = lambda a, m: a % m if a >= 0 else -(-a % m)
+    want = {e: (rest(e * e * 7919 + e * 104729, 1000003) * size / 1000003.0, rest(e * e * 15485863 + e * 32452843, 999983) * size / 999983.0, (rest(e * 48271, 2001) - 1000) / 1000.0, (rest(e * 69621, 2001) - 1000) / 1000.0) for e in ids}
+    assert {r.id: (r.x, r.y, r.vx, r.vy) for r in p.collect()} == want
