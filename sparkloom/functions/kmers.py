@@ -13,6 +13,8 @@ HEX = "0123456789ABCDEF"
 HASH_START, HASH_FACTOR = 5381, 33
 #: Bytes in one number; bytes whose hash surely fits a long; the low half of a long.
 WORD, SURE, HALF = 7, 10, (1 << 32) - 1
+#: Bases that one non-negative long holds.
+LONGEST = 31
 
 
 def number(kmer: Column, first: int, bases: int) -> Column:
@@ -29,16 +31,17 @@ def byte(kmer: Column, n: int, k: int) -> Column:
 
 
 def packed(kmer: Column, k: int) -> Column:
-    """The 2-bit packing as binary, ceil(k / 4) bytes, padded as with A."""
-    return F.unhex(F.concat(*[F.lpad(F.hex(byte(kmer, n, k)), 2, "0") for n in range(-(-k // 4))]))
+    """The 2-bit packing as binary, ceil(k / 4) bytes, padded as with A: the numbers of WORD bytes each in hex digits."""
+    parts = [(p, min(4 * WORD, k - p)) for p in range(0, k, 4 * WORD)]
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftleft(number(kmer, p, n), 2 * (-n % 4))), 2 * -(-n // 4), "0") for p, n in parts]))
 
 
 def unpacked(data: Column, k: int) -> Column:
-    """The k-mer of a packing."""
-    digits = F.hex(data)
-    pairs = F.transform(F.split(digits, ""), lambda d: F.instr(F.lit(HEX), d) - 1)
-    text = F.transform(pairs, lambda d: F.concat(F.substring(F.lit(BASES), F.shiftright(d, 2) + 1, F.lit(1)), F.substring(F.lit(BASES), d % 4 + 1, F.lit(1))))
-    return F.substring(F.array_join(text, ""), 1, k)
+    """The k-mer of a packing, by WORD bytes at a time: their hex digits as a number in base 4."""
+    n = -(-k // 4)
+    parts = [(p, min(WORD, n - p)) for p in range(0, n, WORD)]
+    digits = [F.lpad(F.conv(F.hex(F.substring(data, p + 1, size)), 16, 4), 4 * size, "0") for p, size in parts]
+    return F.substring(F.translate(F.concat(*digits), "0123", BASES), 1, k)
 
 
 def hashed(kmer: Column, k: int) -> Column:
@@ -61,6 +64,13 @@ def unsigned(h: Column) -> Column:
     return F.conv(F.hex(h), 16, 10)
 
 
+def coded(kmer: Column, k: int) -> list[Column]:
+    """A k-mer as short values to join or group by: its bases by LONGEST as longs, and a text that is empty; anything that is no k-mer of ACGT is the text, beside longs of -1, or of -3 for null. None is ever null, so that joins do not compute them once more to ask."""
+    plain = (F.length(kmer) == k) & kmer.rlike(r"^[ACGT]*\z")
+    other = F.when(kmer.isNull(), F.lit(-3)).otherwise(F.lit(-1)).cast("long")
+    return [*[F.coalesce(F.when(plain, number(kmer, p, min(LONGEST, k - p))), other) for p in range(0, k, LONGEST)], F.coalesce(F.when(plain, F.lit("")).otherwise(kmer), F.lit(""))]
+
+
 def following(kmer: Column, f_ext: Column, k: int) -> Column:
     return F.concat(F.substring(kmer, 2, k - 1), f_ext)
 

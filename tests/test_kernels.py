@@ -147,3 +147,30 @@ def test_a_wrong_product_is_told(spark):
     wrong[1, 2] += 1e-6
     told = lambda c: tuple(matrix.verify(cells(spark, c), cells(spark, a), cells(spark, a.T), 4, 2).first())
     assert told(right) == (9, 0, True) and told(wrong) == (9, 1, False)
+
+
+@pytest.mark.parametrize("k", [3, 4, 31, 32, 51])
+def test_lookups_are_not_broadcast_and_keep_odd_rows(spark, k):
+    text = sequence(k, k + 20, 6)[0] if k > 4 else "ACGTTGCAACG"
+    rows = [(text[p : p + k], "F", text[p + k] if p + k < len(text) else "F") for p in range(len(text) - k + 1)]
+    rows += [("N" + text[: k - 1], "F", text[k - 1]), ("", "F", "A"), ("A", "F", "C"), (text[:k], "F", "T"), (text + "N", "F", "G"), (text[1 : k + 1], "F", None), ("A" * k, "F", ""), ("T" * k, "F", "N")]
+    follow = lambda r: r[0][1:k] + r[2]
+    want = []
+    for r in rows:
+        if r[2] not in (None, "F"):
+            found = [s[2] for s in rows if s[0] == follow(r)] or [None]
+            want += [(r[0], follow(r), f) for f in found]
+    out = assembly.lookup(frame(spark, rows), k)
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
+    two = []
+    for r in rows:
+        one = follow(r) if r[2] not in (None, "F") else None
+        for f in [s[2] for s in rows if one is not None and s[0] == one] or [None]:
+            second = one[1:k] + f if f not in (None, "F") else None
+            two += [(r[0], one, f, second, g) for g in [s[2] for s in rows if second is not None and s[0] == second] or [None]]
+    assert sorted(map(repr, (tuple(r) for r in assembly.next_two(frame(spark, rows), k).collect()))) == sorted(map(repr, two))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "Broadcast" not in assembly.lookup(frame(spark, rows), k)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
