@@ -63,3 +63,17 @@ def test_bins_equal_a_recount_after_every_batch(spark, tmp_path):
         want = Counter(where.values())
         got = {r.cell: (r.n, r.ids) for r in bins.latest(spark, out).collect()}
         assert got == {c: (n, sum(i for i, at in where.items() if at == c)) for c, n in want.items()}
+
+
+def test_functions_convert_by_slices_of_any_length(spark):
+    sql.register(spark)
+    assert all(body.count("div 28") or "div 7" in body for head, body in sql.FUNCTIONS.items() if head.startswith(("kmer_pack", "kmer_unpack", "kmer_hash")))
+    texts = [("TGCAACGTTACGGTCA" * 9)[:n] for n in (0, 1, 3, 4, 5, 27, 28, 29, 40, 51, 56, 57, 113)]
+    for text in texts:
+        data = bytes(sum("ACGT".index(c) << (6 - 2 * i) for i, c in enumerate(text[p : p + 4])) for p in range(0, len(text), 4))
+        h = 5381
+        for b in data:
+            h = (h * 33 + b) % 2**64
+        spark.createDataFrame([(text,)], "kmer string").createOrReplaceTempView("one_text")
+        row = spark.sql(f"SELECT kmer_pack(kmer) AS p, kmer_hash(kmer) AS h, kmer_unpack(kmer_pack(kmer), {len(text)}) AS u FROM one_text").first()
+        assert (bytes(row.p), row.h % 2**64, row.u) == (data, h, text)
