@@ -174,3 +174,42 @@ def test_lookups_are_not_broadcast_and_keep_odd_rows(spark, k):
         assert "Broadcast" not in assembly.lookup(frame(spark, rows), k)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def walked(rows, k):
+    """(contig, n_nodes, next) of every start, step by step."""
+    best = {}
+    for kmer, _, f in rows:
+        best[kmer] = min(f, best.get(kmer, f))
+    out = []
+    for y, f in {(r[0], r[2]) for r in rows if r[1] == "F"}:
+        text, n, seen, x = y, 1, set(), None
+        while f != "F":
+            text, x = text + f, y[1:k] + f
+            if x not in best or x in seen:
+                break
+            seen.add(x)
+            y, f, n, x = x, best[x], n + 1, None
+        out.append((text, n, x))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("k", "most", "held"), [(1, 100, 40), (4, 3, 40), (6, 1000, 60), (12, 5, 60)])
+def test_walks_over_many_tasks(spark, monkeypatch, k, most, held):
+    monkeypatch.setattr(assembly, "HELD", held)
+    rng = np.random.default_rng(k + most)
+    rows = []
+    for _ in range(25):
+        text = "".join("ACGT"[i] for i in rng.integers(0, 4, k + 11))
+        own = [(text[p : p + k], text[p - 1] if p else "F", text[p + k] if p < 11 else "F") for p in range(12)]
+        rows += [r for r in own if rng.random() > 0.02] + own[:3]
+    rows += [("A" * k, "F", "A"), ("N" + "C" * (k - 1), "F", "N"), ("G" * (k + 2), "F", "C"), ("", "F", "A"), ("T" * k, "F", "F"), ("T" * k, "F", "G"), ("C" * k, "F", "GG")]
+    found = assembly.Walks(frame(spark, rows).repartition(3), k, most)
+    assert sorted(((r.contig, r.n_nodes, r.next) for r in found.texts().collect()), key=repr) == walked(rows, k)
+    found.drop()
+
+
+def test_kmers_are_shuffled_once_to_be_put_together(spark):
+    rows = chain("AACCGGTTACGATTACA")
+    plan = assembly._fragments(frame(spark, rows), K, 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
