@@ -68,3 +68,11 @@ def test_places_of_large_ids(spark, tmp_path):
     rest = lambda a, m: a % m if a >= 0 else -(-a % m)
     want = {e: (rest(e * e * 7919 + e * 104729, 1000003) * size / 1000003.0, rest(e * e * 15485863 + e * 32452843, 999983) * size / 999983.0, (rest(e * 48271, 2001) - 1000) / 1000.0, (rest(e * 69621, 2001) - 1000) / 1000.0) for e in ids}
     assert {r.id: (r.x, r.y, r.vx, r.vy) for r in p.collect()} == want
+
+
+def test_kmers_are_judged_once(spark):
+    kmers = spark.createDataFrame([("ACG\n", "F", "A"), ("ACGT", "F", "A"), ("ACGT", "A\n", "A"), (None, "F", "A"), ("AC", None, None)], "kmer string, b_ext string, f_ext string")
+    out = assembly.faults(kmers, 4)
+    assert sorted(map(tuple, out.collect())) == [("extension", 1), ("length", 1), ("letter", 1)]
+    assert "RLIKE" not in "".join(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines(True) if "Filter" in line)
+    assert assembly.faults(kmers.limit(0), 4).collect() == []
