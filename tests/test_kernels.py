@@ -213,3 +213,12 @@ def test_kmers_are_shuffled_once_to_be_put_together(spark):
     rows = chain("AACCGGTTACGATTACA")
     plan = assembly._fragments(frame(spark, rows), K, 100)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_a_product_of_one_panel_is_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(blocks, "saved", lambda df, name: written.append(name) or saved(df, name))
+    a, b = np.arange(12.0).reshape(3, 4), np.arange(20.0).reshape(4, 5)
+    out = blocks.product(cells(spark, a), cells(spark, b), 2, 1, 2)
+    assert np.allclose(dense(out, (3, 5)), a @ b) and written == ["blocks", "blocks"]
+    assert np.allclose(dense(blocks.product(cells(spark, a), cells(spark, b), 2, 1, 1), (3, 5)), a @ b) and written[-1] == "product"
