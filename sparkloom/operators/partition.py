@@ -58,7 +58,8 @@ def sent(routes: DataFrame, ranks: int) -> DataFrame:
     spark = routes.sparkSession
     grid = spark.range(ranks * ranks).selectExpr(f"id div {ranks} as source", f"id % {ranks} as target")
     counts = routes.where("route = 'migrate'").groupBy(F.col("old_rank").alias("source"), F.col("new_rank").alias("target")).agg(F.count("*").alias("n"))
-    return grid.join(counts, ["source", "target"], "left").select("source", "target", F.coalesce("n", F.lit(0)).alias("n"))
+    # a left join would ask the counts' ranks not to be null, and that of each place's whole formula, before the join of the moves
+    return grid.withColumn("n", F.lit(0).cast("long")).unionAll(counts).groupBy("source", "target").agg(F.sum("n").alias("n"))
 
 
 def displacements(counts: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import assembly, spatial
+from sparkloom.operators import assembly, partition, spatial
 from sparkloom.operators.prefix import running_sums
 from sparkloom.params import SimParams
+from sparkloom.plans import catalogue
 from sparkloom.sources import fixtures
 
 P = SimParams()
@@ -76,3 +77,17 @@ def test_kmers_are_judged_once(spark):
     assert sorted(map(tuple, out.collect())) == [("extension", 1), ("length", 1), ("letter", 1)]
     assert "RLIKE" not in "".join(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines(True) if "Filter" in line)
     assert assembly.faults(kmers.limit(0), 4).collect() == []
+
+
+@pytest.mark.parametrize("name", ["migration_matrix", "send_displacements", "cell_changes"])
+def test_moves_are_not_computed_twice(spark, name):
+    out = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # a filter with the whole formula of a place grew past what Spark can compile
+    assert not [line for line in plan.splitlines() if "Filter" in line and "isnotnull" in line and len(line) > 300]
+
+
+def test_sent_has_zeros(spark):
+    routes = spark.createDataFrame([("migrate", 0, 1), ("migrate", 0, 1), ("local", 1, 1), ("stay", 0, 0)], "route string, old_rank long, new_rank long")
+    assert sorted(map(tuple, partition.sent(routes, 2).collect())) == [(0, 0, 0), (0, 1, 2), (1, 0, 0), (1, 1, 0)]
+    assert sorted(map(tuple, partition.sent(routes.limit(0), 2).collect())) == [(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 1, 0)]
