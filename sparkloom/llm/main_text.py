@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 SIGMA = 1.0
 #: Characters a tag below which no block is text; the part of its ratio that a block in boilerplate counts.
 LEAST, BOILERPLATE = 0.01, 1e-6
+#: Most tags a character that count: so no block has a smoothed ratio below LEAST for its tags alone, as its own ratio has 0.4 of the weight.
+TAGS = 25
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td template tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
@@ -198,7 +200,7 @@ def threshold(values: list[float]) -> float:
 def _scores(blocks: list[tuple[str, int, int, _Element]]) -> list[float]:
     """The smoothed ratio of each block; one that elements or their names tell to be no part of the text counts BOILERPLATE of its own, before and after smoothing, so that a long text beside it does not lift it."""
     prior = [BOILERPLATE if e.apart else 1.0 for _, _, _, e in blocks]
-    ratios = smoothed([p * len(text) / max(1, tags) for p, (text, tags, _, _) in zip(prior, blocks, strict=True)])
+    ratios = smoothed([p * len(text) / max(1, min(tags, TAGS * len(text))) for p, (text, tags, _, _) in zip(prior, blocks, strict=True)])
     return [p * r for p, r in zip(prior, ratios, strict=True)]
 
 

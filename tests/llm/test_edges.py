@@ -125,6 +125,12 @@ def test_main_text(spark):
     assert extract(pages.where("false")).collect() == []
 
 
+def test_tags_without_text_lose_no_text():
+    for tag in ("p", "div", "span"):
+        assert main_text(f"<{tag}>" * 3000 + "deep") == "deep"
+        assert main_text(f"<nav>menu</nav><p>A text of some length.</p>{f'<{tag}>' * 3000}<p>x</p><footer>end</footer>") == "A text of some length.\n\nx"
+
+
 def test_urls(spark):
     urls = ["http://A.EXAMPLE.com/en/x?q=1", "https://www.example.com/en/", "http://example.com", "http://x.net/es/1", None, "no scheme", "http://notnet/fr/", "http://x.net/fr/2#f", "http://x.net/fr/2#f", ""]
     pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, host string")
