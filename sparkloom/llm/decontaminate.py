@@ -23,8 +23,8 @@ from sparkloom.scratch import drop, saved
 WINDOW, PREFIX = 10, 2
 #: Bytes of prefix words that one pass over the documents sends to every executor.
 PART_BYTES = 16 << 20
-SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-WORDS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+#: ASCII but digits and letters, one by one: Java looks single characters up in a table, but tries range after range.
+SEPARATORS = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A text is known by two hashes of its bytes.
 TEXT = ["k1", "k2"]
@@ -32,7 +32,12 @@ TEXT = ["k1", "k2"]
 
 def raw_words(text: Column) -> Column:
     """The words of a text, letters as they are: A-Z in lower case would part it at the same places."""
-    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(text, SEPARATORS), "")
+
+
+def n_words(text: Column) -> Column:
+    """The number of words of a text; null has none. Parting takes a sixth of the time that counting the matches of a negated class does."""
+    return F.coalesce(F.array_size(raw_words(text)), F.lit(0)).cast("long")
 
 
 def ascii_lower(text: Column) -> Column:
@@ -116,7 +121,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     item_id counts as an item but adds nothing to the hash. Repeated items with one item_id count once.
     """
     found = hits(docs.select("text"), items)
-    rows = docs.select("doc_id", *text_keys(), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", *text_keys(), n_words(F.col("text")).alias("n_words"))
     out = rows.join(found.hint("merge"), TEXT, "left")
     n_hit, n_items = (F.coalesce(c, F.lit(0)).cast("long") for c in ("n_hit", "n_items"))
     judged = saved(out.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("joined", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")), "judged")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 queries = pytest.importorskip("sparkloom.llm.queries")
+from sparkloom.llm import decontaminate  # noqa: E402
 from sparkloom.llm.decontaminate import contamination  # noqa: E402
 from sparkloom.llm.language import identify, languages, train  # noqa: E402
 from sparkloom.llm.main_text import extract, main_text  # noqa: E402
@@ -125,6 +127,17 @@ def test_main_text(spark):
     assert extract(pages.where("false")).collect() == []
 
 
+def test_words_are_parted_at_single_characters_of_a_table(spark):
+    every = "".join(f"x{chr(c)}" for c in range(0x250)) + "\U0001f600 end"
+    texts = [None, "", " ", "a", " a", "a ", "_a_", "a\nb\u0000c", every, "é\u0085ü", every[::-1]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {i: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") for i, t in enumerate(texts)}
+    out = docs.select("id", decontaminate.raw_words(F.col("text")).alias("words"), decontaminate.n_words(F.col("text")).alias("n"))
+    assert {r.id: (r.words or [], r.n) for r in out.collect()} == {i: (w, len(w)) for i, w in want.items()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "-\\x" not in plan  # neither matches as texts of their own nor ranges, which Java tries one after another
+
+
 def test_tags_without_text_lose_no_text():
     for tag in ("p", "div", "span"):
         assert main_text(f"<{tag}>" * 3000 + "deep") == "deep"
