@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.suffix_array import common_prefixes, suffix_array
 from sparkloom.llm.text_hash import BASE, BASE_INV, BYTE, LANES, U, mix, powers, slices, utf8
-from sparkloom.scratch import drop, saved
+from sparkloom.scratch import drop, saved, small_batches
 
 LENGTH = 200
 GRAM, LONG_GRAM = 32, 184
 HOT = 5000
 #: Bytes of one suffix array (small enough for the caches of a core), bytes of a group beyond which it is parted, and most windows of a run.
 SHARD, LARGE, RUN = 1 << 19, 4 << 20, 400
+#: Bytes of texts whose hashes a task holds at once (their arrays are 150 times as large), and texts whose remains it passes on at once.
+TEXTS, REMAINS = 1 << 18, 500
 #: Parts of a window's occurrences.
 SALT = 16
 KEY = ["gram", "content", "size"]
@@ -100,7 +102,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         ids, ties = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tie"))
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, TEXTS):
             text, start, windows, gram, content, repeats = runs(data, offsets[i : j + 1], GRAM)
             if len(text):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + text]), pa.array(ties[i + text]), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(content.view(np.int64)), pa.array(repeats)], ["doc", "tie", "start", "size", "gram", "content", "repeats"])
@@ -202,7 +204,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(k, REMAINS) for whole in batches for k in range(0, len(whole), REMAINS)):
         data, offsets = utf8(batch.column("text"))
         spans = batch.column("spans").to_pylist()
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
@@ -230,7 +232,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     another; strings are judged on the input. Null is the empty text; texts shorter than LENGTH stay whole. Rows that
     repeat are copies of each other like any others, also with one doc_id or none. Bytes that are left may be no valid UTF-8.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with small_batches(docs.sparkSession):
+        return _without_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def _without_repeats(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.xxhash64("text", F.col("doc_id").isNull()).alias("tie"), "text")
     rows = saved(named.where(F.octet_length("text") >= LENGTH).mapInArrow(_run_rows, "doc long, tie long, start int, size int, gram long, content long, repeats int"), "runs")
     twice = saved(rows.groupBy("gram").agg(F.sum("repeats").alias("n")).where("n > 1").select("gram"), "grams")
