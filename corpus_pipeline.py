@@ -12,7 +12,7 @@ from sparkloom.llm.near_dup import near_duplicates
 from sparkloom.llm.pieces import piece_digests
 from sparkloom.llm.queries import vocabulary
 from sparkloom.llm.secrets import redacted
-from sparkloom.scratch import drop, saved
+from sparkloom.scratch import drop, saved, small_batches
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of every text, and the text they decode to, as digests."""
-    return piece_digests(docs, vocabulary("piece_bpe_32k.model"))
+    return piece_digests(docs, vocabulary("piece_bpe_32k.model"), keep=False)
 
 
 STAGES = [("language", known_language), ("near_duplicates", one_of_each), ("decontamination", decontaminated), ("secrets", without_secrets), ("pieces", encoded)]
@@ -68,6 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, each stage written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with small_batches(spark):
+            docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
         drop(before)
     return docs

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.marks import marks, parted
 from sparkloom.llm.text_hash import U, mix, text_shingles
-from sparkloom.scratch import drop, saved
+from sparkloom.scratch import drop, saved, small_batches
 
 WIDTH, PERCENT = 5, 75
 COORDINATES, MATCHES = 128, 76
@@ -291,6 +291,11 @@ def near_duplicates(docs: DataFrame, carry: str | None = None) -> DataFrame:
     true. Equal sets are one class from the start, so exact copies never meet in pairs. ``carry`` names a long column of
     ``docs`` that each row brings along, last in the result.
     """
+    with small_batches(docs.sparkSession):
+        return _judged(docs, carry)
+
+
+def _judged(docs: DataFrame, carry: str | None) -> DataFrame:
     own = [F.col(carry).cast("long").alias("carried")] if carry else []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own_text"), "text", *own)
     shape = f"doc_id long, own_text long, {'carried long, ' if carry else ''}n_shingles long, k1 long, k2 long, sig array<int>"

@@ -12,7 +12,7 @@ crosses such a place; texts are parted there, each distinct part is encoded once
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -66,6 +66,12 @@ class PieceTable:
         self.known: dict[str, tuple[int, str, str]] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
 
+    def forget(self) -> None:
+        """Drop what is kept of words and pairs of tokens."""
+        self.fits.clear()
+        self.known.clear()
+        self.words.clear()
+
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text: again and again the neighbours whose joint piece scores highest, the first of equals."""
         out, score = list(text), self.score
@@ -192,13 +198,7 @@ def piece_table(path: str) -> PieceTable:
     return _tables[path]
 
 
-def piece_digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text encoded with an end id and decoded again.
-
-    Columns used: doc_id, text (null: empty); others are ignored. No row meets another, so repeated and null ids are
-    kept as they are, and an empty table gives an empty one. ``model`` must be a path that executors see.
-    """
-
+def _digests(model: str, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
         end = str(table.end_id)
@@ -210,5 +210,17 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
                 ids.append(hashlib.sha256(f"{joined} {end}".encode() if n else end.encode()).hexdigest())
                 texts.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep:
+            table.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return digests
+
+
+def piece_digests(docs: DataFrame, model: str, keep: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text encoded with an end id and decoded again.
+
+    Columns used: doc_id, text (null: empty); others are ignored. No row meets another, so repeated and null ids are
+    kept as they are, and an empty table gives an empty one. ``model`` must be a path that executors see.
+    Words that are known once are kept by a Python worker for its next tasks, or, without ``keep``, until its task ends, as other stages may need the memory.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(model, keep), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

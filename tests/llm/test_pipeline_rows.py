@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -51,3 +52,24 @@ def test_the_users_own_columns_stay(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() == len(kept)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_stages_leave_little_in_python_workers(spark, monkeypatch):
+    from sparkloom.llm import near_dup, pieces, queries
+
+    path = queries.vocabulary("piece_bpe_32k.model")
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", "and some more"])], ["doc_id", "text"])
+    table = pieces.piece_table(path)
+    kept = pa.Table.from_batches(list(pieces._digests(path, True)(iter([docs]))))
+    assert table.words and table.fits
+    assert pa.Table.from_batches(list(pieces._digests(path, False)(iter([docs])))) == kept
+    assert not (table.words or table.known or table.fits)
+    told, plain = [], pieces._digests
+    monkeypatch.setattr(pieces, "_digests", lambda model, keep: told.append(keep) or plain(model, keep))
+    some = spark.createDataFrame([(1, "some words here"), (2, "some words here")], "doc_id long, text string")
+    assert corpus_pipeline.encoded(spark, some, "").count() == 2 and told == [False]
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(name), near_dup.saved
+    monkeypatch.setattr(near_dup, "saved", lambda df, n: seen.append(int(spark.conf.get(name))) or write(df, n))
+    assert sorted(r.kept for r in near_dup.near_duplicates(some).collect()) == [False, True]
+    assert seen and max(seen) <= 1000 and spark.conf.get(name) == before
