@@ -222,3 +222,20 @@ def test_a_product_of_one_panel_is_not_written(spark, monkeypatch):
     out = blocks.product(cells(spark, a), cells(spark, b), 2, 1, 2)
     assert np.allclose(dense(out, (3, 5)), a @ b) and written == ["blocks", "blocks"]
     assert np.allclose(dense(blocks.product(cells(spark, a), cells(spark, b), 2, 1, 1), (3, 5)), a @ b) and written[-1] == "product"
+
+
+@pytest.mark.parametrize("strip", [1, 400, 1 << 20])
+def test_strips_of_tiles_are_dealt_where_one_panel_is_deep_enough(spark, monkeypatch, strip):
+    monkeypatch.setattr(blocks, "STRIP", strip)
+    rng = np.random.default_rng(6)
+    a, b = rng.standard_normal((43, 5)), rng.standard_normal((9, 38))
+    a[7:13] = b[:, :11] = 0
+    a[20, 4] = a[30:, 2:4] = 0  # tiles that have other blocks
+    x, y = (saved(blocks.blocks(cells(spark, m).where("v <> 0"), 2), "blocks") for m in (a, b))
+    out = blocks.gemm(x, y, alpha=3.0, side=2, outer=2, panel=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # blocks were copied for each tile of the other side: work that grew with the square of the rows
+    assert "FlatMapCoGroups" not in plan and plan.count("Exchange") == 1
+    assert np.allclose(np.nan_to_num(dense(blocks.cells(out, 43, 38, 2), (43, 38))), 3 * a @ b[:5])
+    assert out.groupBy("bi", "bj").count().where("count > 1").count() == 0
+    assert blocks.gemm(x.limit(0), y, side=2, outer=2, panel=3).collect() == []
