@@ -239,3 +239,28 @@ def test_strips_of_tiles_are_dealt_where_one_panel_is_deep_enough(spark, monkeyp
     assert np.allclose(np.nan_to_num(dense(blocks.cells(out, 43, 38, 2), (43, 38))), 3 * a @ b[:5])
     assert out.groupBy("bi", "bj").count().where("count > 1").count() == 0
     assert blocks.gemm(x.limit(0), y, side=2, outer=2, panel=3).collect() == []
+
+
+@pytest.mark.parametrize(("k", "held"), [(1, 5), (5, 9), (12, 30), (31, 40)])
+def test_two_steps_ahead_take_one_shuffle_of_short_texts(spark, monkeypatch, k, held):
+    monkeypatch.setattr(assembly, "HELD", held)
+    rng = np.random.default_rng(k)
+    rows = []
+    for _ in range(20):
+        text = "".join("ACGT"[i] for i in rng.integers(0, 4, k + 11))
+        own = [(text[p : p + k], "F", text[p + k] if p < 11 else "F") for p in range(12)]
+        rows += [r for r in own if rng.random() > 0.03] + own[4:6]
+    rows += [("A" * k, "F", "A"), (rows[0][0], "F", "GT"), (rows[1][0] + "C", "F", "G"), (rows[2][0], "F", None)]
+    by = {}
+    for kmer, _, f in rows:
+        by.setdefault(kmer, []).append(f)
+    want = []
+    for y, _, f in rows:
+        x = None if f in (None, "F") else y[1:k] + f
+        for g in by.get(x, [None]) if x else [None]:
+            z = None if x is None or g in (None, "F") else x[1:k] + g
+            want += [(y, x, g, z, h) for h in (by.get(z, [None]) if z else [None])]
+    out = assembly.next_two(frame(spark, rows), k)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
