@@ -77,3 +77,19 @@ def test_functions_convert_by_slices_of_any_length(spark):
         spark.createDataFrame([(text,)], "kmer string").createOrReplaceTempView("one_text")
         row = spark.sql(f"SELECT kmer_pack(kmer) AS p, kmer_hash(kmer) AS h, kmer_unpack(kmer_pack(kmer), {len(text)}) AS u FROM one_text").first()
         assert (bytes(row.p), row.h % 2**64, row.u) == (data, h, text)
+
+
+def test_short_kmers_take_no_lambdas(spark):
+    from pyspark.sql import functions as F
+
+    sql.register(spark)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACGT") for _ in range(k)) for k in range(60)] + ["T" * k for k in (28, 40, 55, 56, 57)] + ["NACG", "ACNT" * 9, "acgt", "C" * 30 + "N"]
+    spark.createDataFrame([(t,) for t in [*texts, None]], "kmer string").createOrReplaceTempView("mixed")
+    plan = spark.sql("SELECT kmer_pack(kmer), kmer_hash(kmer), kmer_unpack(kmer_pack(kmer), 51) FROM mixed")._jdf.queryExecution().optimizedPlan().toString()
+    # each word is computed once, beneath; the lambdas are only for what is longer
+    assert "length(kmer" in plan and plan.count("Project") >= 3 and sum("CASE WHEN (length(" in line for line in plan.splitlines()) >= 1
+    whole = {"p": sql._ANY_PACK, "h": sql._ANY_HASH, "u": sql._ANY_UNPACK.replace("packed", f"({sql._ANY_PACK})").replace(", k)", ", 51)")}
+    want = spark.table("mixed").select("kmer", *[F.expr(e).alias(n) for n, e in whole.items()]).collect()
+    got = spark.sql("SELECT kmer, kmer_pack(kmer) AS p, kmer_hash(kmer) AS h, kmer_unpack(kmer_pack(kmer), 51) AS u FROM mixed").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == len(texts) + 1
